@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.llm.simhash import op10_simhash
+from lexiloom.llm.substring import op4_substring
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {"op4_substring": op4_substring, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {}
