@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from lexiloom.llm.lines import OP7_SQL, op7_lines
 from lexiloom.llm.simhash import op10_simhash
 from lexiloom.llm.substring import op4_substring
 
-QUERIES = {"op4_substring": op4_substring, "op10_simhash": op10_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op4_substring": op4_substring, "op7_lines": op7_lines, "op10_simhash": op10_simhash}
+ORACLE: dict[str, str] = {"op7_lines": OP7_SQL}
