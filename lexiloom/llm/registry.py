@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiloom.llm.lines import OP7_SQL, op7_lines
 from lexiloom.llm.simhash import op10_simhash
 from lexiloom.llm.substring import op4_substring
+from lexiloom.llm.tokens import op6_tokens
 
-QUERIES = {"op4_substring": op4_substring, "op7_lines": op7_lines, "op10_simhash": op10_simhash}
+QUERIES = {"op4_substring": op4_substring, "op6_tokens": op6_tokens, "op7_lines": op7_lines, "op10_simhash": op10_simhash}
 ORACLE: dict[str, str] = {"op7_lines": OP7_SQL}
