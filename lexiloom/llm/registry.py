@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiloom.llm.decontaminate import op9_decontaminate
 from lexiloom.llm.lines import OP7_SQL, op7_lines
 from lexiloom.llm.mixing import OP5_SQL, op5_mix
+from lexiloom.llm.quality import op8_quality
 from lexiloom.llm.simhash import op10_simhash
 from lexiloom.llm.substring import op4_substring
 from lexiloom.llm.tokens import op6_tokens
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op6_tokens": op6_tokens,
     "op7_lines": op7_lines,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
