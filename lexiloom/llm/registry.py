@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.llm.decontaminate import op9_decontaminate
+from lexiloom.llm.langid import op2_langid
 from lexiloom.llm.lines import OP7_SQL, op7_lines
 from lexiloom.llm.mixing import OP5_SQL, op5_mix
 from lexiloom.llm.quality import op8_quality
@@ -11,6 +12,7 @@ from lexiloom.llm.substring import op4_substring
 from lexiloom.llm.tokens import op6_tokens
 
 QUERIES = {
+    "op2_langid": op2_langid,
     "op4_substring": op4_substring,
     "op5_mix": op5_mix,
     "op6_tokens": op6_tokens,
