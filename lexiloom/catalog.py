@@ -1,4 +1,8 @@
 """All queries of the engine with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from lexiloom.plans import lexical  # noqa: F401
+from lexiloom.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
