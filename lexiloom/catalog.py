@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import lexical  # noqa: F401
+from lexiloom.plans import lexical, sequences  # noqa: F401
 from lexiloom.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
