@@ -133,7 +133,7 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, text
             count = np.bincount(row, minlength=len(per_row))
             keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.StructArray.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["k1", "k2"]))
             whole = [hashlib.sha256(t or b"").digest() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            held = pc.if_else(pa.array(count > 0), b.column(1), pa.scalar(None, b.column(1).type))
+            held = b.column(1).take(pa.array(np.arange(b.num_rows), mask=count == 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per_row), pa.array(whole, pa.binary()), keys, held], names=["doc_id", "n_lines", "whole", "keys", "text"])
 
     first = materialize(src.mapInArrow(suspects, "doc_id long, n_lines long, whole binary, keys array<struct<k1:long,k2:long>>, text string"), "lines-suspects")
