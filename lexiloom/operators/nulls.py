@@ -39,7 +39,7 @@ def subsample(df: DataFrame, key: str, strata: list[str], n: int | Column, seed:
 def sign_flips(values: Column) -> Column:
     """Sums of an array (20 entries at most) under all 2^n choices of signs."""
     n = F.size(values)
-    one = lambda m: F.aggregate(F.transform(values, lambda v, i: F.when(F.shiftright(m, i).bitwiseAND(1) == 1, -v).otherwise(v)), F.lit(0.0), lambda a, x: a + x)
+    one = lambda m: F.aggregate(F.transform(values, lambda v, i: F.when(F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1, -v).otherwise(v)), F.lit(0.0), lambda a, x: a + x)
     return F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2), n) - 1).cast("int")), one)
 
 
