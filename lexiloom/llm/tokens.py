@@ -16,7 +16,9 @@ so any chunk can be read alone.
 from __future__ import annotations
 
 import io
+import itertools
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -33,25 +35,91 @@ CHUNK = 1 << 16
 LEVEL = 3
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a task remembers before it starts afresh.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
+
+
+class Table:
+    """Arrays of ids by number, kept end to end."""
+
+    def __init__(self) -> None:
+        self.flat, self.first, self.size = (np.zeros(1 << 10, kind) for kind in (np.uint32, np.int64, np.int64))
+        self.ids, self.rows = 0, 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        for name, need in (("flat", self.ids + len(ids)), ("first", self.rows + len(size)), ("size", self.rows + len(size))):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
+        self.flat[self.ids : self.ids + len(ids)] = ids
+        self.first[self.rows : self.rows + len(size)] = self.ids + np.cumsum(size) - size
+        self.size[self.rows : self.rows + len(size)] = size
+        self.ids, self.rows = self.ids + len(ids), self.rows + len(size)
+
+    def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given rows one after the other, and how many each has."""
+        n = self.size[rows]
+        return self.flat[np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins what ASCII white space parts.
+    """Ids of whole texts by a tokenizer that drops white space and never joins what white space parts.
 
-    Each distinct word is encoded once and remembered, which gives the same ids as encoding the text.
+    Each distinct word is encoded once and remembered, which gives the same ids as encoding the text. Words of printable
+    ASCII and Latin-1 letters are first lower-cased and cut where this tokenizer cuts them (fixed pattern), so that
+    `The`, `the,` and `the.` share a piece, and pieces skip the tokenizer's own normaliser and cutter; others are encoded
+    as they are. Tokenizers that cut otherwise get every word as it is.
     """
 
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9]|[^a-zß-öø-ÿªµº0-9]+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        probe = "Thé,IT'S 2nd&*ÀÖ'reß÷ª!"
+        parts = [p for w in probe.split() if self.PLAIN.fullmatch(w) for p in self.PIECES.findall(w.lower())]
+        rest = [w for w in probe.split() if not self.PLAIN.fullmatch(w)]
+        self.cuts = sum(self._encode(self.bare, parts), []) + sum(self._encode(self.tokenizer, rest), []) == sum(self._encode(self.tokenizer, [w for w in probe.split() if w not in rest] + rest), [])
         self.forget()
 
     def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.ids, self.size = [], []
+        self.piece: dict[str, int] = {}
+        self.words, self.pieces = Table(), Table()
+
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words, by way of their pieces."""
+        known, own, whole, fresh = self.piece, [], [], []
+        plain, cut = self.PLAIN.fullmatch, self.PIECES.findall
+        for w in new:
+            if self.cuts and plain(w) and "<|" not in w:
+                parts = cut(w.lower())
+            else:
+                parts = ["\0" + w]
+            own.append(len(parts))
+            for p in parts:
+                k = known.get(p)
+                if k is None:
+                    k = known[p] = len(known)
+                    fresh.append(p)
+                whole.append(k)
+        plain_ids = self._encode(self.bare, [p for p in fresh if p[0] != "\0"])
+        odd_ids = self._encode(self.tokenizer, [p[1:] for p in fresh if p[0] == "\0"])
+        if odd_ids:
+            a, b = iter(plain_ids), iter(odd_ids)
+            plain_ids = [next(b if p[0] == "\0" else a) for p in fresh]
+        self.pieces.add(np.fromiter(itertools.chain.from_iterable(plain_ids), np.uint32), np.fromiter(map(len, plain_ids), np.int64, len(plain_ids)))
+        ids, n = self.pieces.get(np.array(whole, np.int64))
+        self.words.add(ids, sums(n, np.array(own, np.int64)))
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
 
     def encode(self, text: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after the other (u32, each row ended by `end`) and ids per row."""
@@ -59,19 +127,14 @@ class Encoder:
             self.forget()
         codes, per_row, names = word_codes(text)
         names = names.to_pylist()
-        new = [x for x in names if x not in self.row]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.row[x] = len(self.size)
-            self.ids.extend(e.ids)
-            self.size.append(len(e.ids))
-        of = np.fromiter((self.row[x] for x in names), np.int64, len(names))
-        size = np.array(self.size, np.int64)
-        first, flat = np.cumsum(size) - size, np.array(self.ids, np.uint32)
-        words = of[codes] if len(codes) else np.zeros(0, np.int64)
-        n = size[words]
-        at = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ids = flat[at] if len(at) else np.zeros(0, np.uint32)
-        total = np.add.reduceat(np.r_[n, 0], np.minimum(np.cumsum(per_row) - per_row, len(n))) * (per_row > 0) if len(per_row) else np.zeros(0, np.int64)
+        row = self.row
+        of = np.fromiter((row.get(x, -1) for x in names), np.int64, len(names))
+        missing = np.flatnonzero(of < 0)
+        if len(missing):
+            of[missing] = len(row) + np.arange(len(missing))
+            self._learn([names[i] for i in missing.tolist()])
+        ids, n = self.words.get(of[codes] if len(codes) else np.zeros(0, np.int64))
+        total = sums(n, per_row)
         if end is None:
             return ids, total
         out = np.full(len(ids) + len(total), end, np.uint32)
@@ -81,6 +144,13 @@ class Encoder:
         return out, total + 1
 
 
+def sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of the given sizes."""
+    total = np.r_[0, np.cumsum(values)]
+    ends = np.cumsum(size)
+    return (total[ends] - total[ends - size]).astype(np.int64)
+
+
 def _array(x: np.ndarray) -> bytes:
     return struct.pack("<Q", len(x)) + x.tobytes()
 
