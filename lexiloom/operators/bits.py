@@ -19,4 +19,4 @@ def decode_chunks(bits: DataFrame, by: list[str], pos: str, bit: str, width: int
 def encode_bits(text, width: int = 5):
     """Bits of a lower-case text, `width` to a letter, as an array column."""
     letters = F.filter(F.split(text, ""), lambda x: x != "")
-    return F.flatten(F.transform(letters, lambda x: F.transform(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), lambda k: F.shiftright(F.ascii(x) - 97, k).bitwiseAND(1))))
+    return F.flatten(F.transform(letters, lambda x: F.transform(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), lambda k: (F.floor((F.ascii(x) - 97) / F.pow(F.lit(2.0), k)) % 2).cast('int'))))
