@@ -95,13 +95,17 @@ def _(t):
     return w.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("w").desc(), "word"))).where("k <= 5")
 
 
-@query("cyclic_alignment", """WITH v AS (SELECT user_id, list(event_type ORDER BY event_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 6 GROUP BY 1 HAVING count(*) = 6),
+@query("cyclic_alignment", """WITH c AS (SELECT user_id, hour(ts) // 4 AS bin, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY user_id, bin ORDER BY n DESC, event_type) AS k FROM c), u AS (SELECT DISTINCT user_id FROM events),
+v AS (SELECT u.user_id, list(coalesce(m.event_type, '-') ORDER BY b.bin) AS r FROM u CROSS JOIN range(6) b(bin) LEFT JOIN m ON m.user_id = u.user_id AND m.bin = b.bin AND m.k = 1 GROUP BY 1),
 p AS (SELECT a.user_id AS a, b.user_id AS b, a.r AS x, b.r AS y, list_reverse(b.r) AS z FROM v a JOIN v b ON b.user_id = a.user_id + 1),
 s AS (SELECT a, b, o, list_sum(list_transform(range(6), lambda i: CASE WHEN x[i + 1] = y[(i + o) % 6 + 1] THEN 1 ELSE 0 END)) AS f, list_sum(list_transform(range(6), lambda i: CASE WHEN x[i + 1] = z[(i + o) % 6 + 1] THEN 1 ELSE 0 END)) AS g FROM p, range(6) q(o))
 SELECT a AS user_a, b AS user_b, round(max(greatest(f, g)) / 6.0::DOUBLE, 6) + 0.0 AS score FROM s GROUP BY 1, 2""")
 def _(t):
-    e = t.events.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 6")
-    v = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("r")).where("size(r) = 6")
+    """Rings of a user's commonest event in each sixth of the day, aligned with the next user's over all turns and both directions."""
+    c = t.events.groupBy("user_id", F.floor(F.hour("ts") / 4).alias("bin"), "event_type").agg(F.count("*").alias("n"))
+    m = c.groupBy("user_id", "bin").agg(F.min(F.struct((-F.col("n")).alias("n"), "event_type")).alias("m"))
+    at = F.map_from_entries(F.collect_list(F.struct("bin", "m.event_type")))
+    v = m.groupBy("user_id").agg(at.alias("at")).select("user_id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.coalesce(F.element_at("at", i.cast("long")), F.lit("-"))).alias("r"))
     b = v.select((F.col("user_id") - 1).alias("user_id"), F.col("user_id").alias("user_b"), F.col("r").alias("s"))
     score = pairs.best_alignment(F.col("r"), F.col("s"), lambda x, y: x == y)
     return v.join(b, "user_id").select(F.col("user_id").alias("user_a"), "user_b", r6(score).alias("score"))
@@ -134,13 +138,14 @@ def _(t):
     return nulls.subsample(t.documents.select("doc_id", "source"), "doc_id", ["source"], 5, "sub")
 
 
-@query("sign_flip_exact", """WITH v AS (SELECT p_brand, p_size - 25.5::DOUBLE AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part), u AS (SELECT * FROM v WHERE i <= 8), n AS (SELECT p_brand, count(*) AS n, sum(x) AS t FROM u GROUP BY 1),
-f AS (SELECT n.p_brand, m, max(n.t) AS t, sum(CASE WHEN (m // (CAST(power(2, u.i - 1) AS BIGINT))) % 2 = 1 THEN -x ELSE x END) AS s FROM n JOIN u ON n.p_brand = u.p_brand CROSS JOIN (SELECT unnest(range(256)) AS m) q WHERE m < CAST(power(2, n.n) AS BIGINT) GROUP BY 1, 2)
-SELECT p_brand, round(avg(CASE WHEN s >= t - 1e-12::DOUBLE THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p FROM f GROUP BY 1""")
+@query("sign_flip_exact", """WITH u AS (SELECT l_returnflag, l_linestatus, l_linenumber AS i, round(avg(l_quantity) - 25.5, 9) AS x FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(x) AS t, min(i) AS base FROM u GROUP BY 1, 2),
+f AS (SELECT n.l_returnflag, n.l_linestatus, m, max(n.t) AS t, sum(CASE WHEN (m // CAST(power(2, u.i - n.base) AS BIGINT)) % 2 = 1 THEN -x ELSE x END) AS s FROM n JOIN u ON n.l_returnflag = u.l_returnflag AND n.l_linestatus = u.l_linestatus CROSS JOIN (SELECT unnest(range(128)) AS m) q WHERE m < CAST(power(2, n.n) AS BIGINT) GROUP BY 1, 2, 3)
+SELECT l_returnflag, l_linestatus, round(avg(CASE WHEN s >= t - 1e-9::DOUBLE THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p FROM f GROUP BY 1, 2""")
 def _(t):
-    v = t.part.withColumn("i", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("i <= 8")
-    v = v.groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("p_size") - 25.5).alias("x")))), lambda s: s["x"]).alias("xs"))
-    return v.select("p_brand", r6(nulls.exact_sign_flip_p(F.col("xs"))).alias("p"))
+    """Exact one-sided test of the mean quantity against 25.5 over the seven line numbers of each group."""
+    v = t.lineitem.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.round(F.avg("l_quantity") - 25.5, 9).alias("x"))
+    v = v.groupBy("l_returnflag", "l_linestatus").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "x"))), lambda s: s["x"]).alias("xs"))
+    return v.select("l_returnflag", "l_linestatus", r6(nulls.exact_sign_flip_p(F.col("xs"), eps=1e-9)).alias("p"))
 
 
 @query("block_bootstrap_ci", TOK + """, b AS (SELECT source, sum(length(word))::DOUBLE AS s, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY source) - 1 AS i FROM tokens GROUP BY 1), k AS (SELECT count(*) AS m FROM b),
@@ -152,10 +157,10 @@ def _(t):
     return e.agg(r6(F.percentile("x", 0.025)).alias("low"), r6(F.avg("x")).alias("mean"), r6(F.percentile("x", 0.975)).alias("high"))
 
 
-@query("cyclic_rotation_null", TOK + """, l AS (SELECT doc_id, line_no, pos, n_line FROM tokens WHERE line_no = 0) SELECT doc_id, rep::INT AS rep, pos, (pos + floor(('0x' || substr(md5('rot|' || rep || '|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n_line)::BIGINT) % n_line AS rotated FROM l, range(3) r(rep)""")
+@query("cyclic_rotation_null", TOK + """, l AS (SELECT doc_id, line_no, pos, n_line FROM tokens) SELECT doc_id, line_no, rep::INT AS rep, pos, (pos + floor(('0x' || substr(md5('rot|' || rep || '|' || doc_id || '|' || line_no), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n_line)::BIGINT) % n_line AS rotated FROM l, range(3) r(rep)""")
 def _(t):
-    ring = corpus(t).where("line_no = 0").select("doc_id", "pos", "n_line")
-    return nulls.rotate(ring, ["doc_id"], "pos", "n_line", 3, "rot").select("doc_id", "rep", "pos", "rotated")
+    ring = corpus(t).select("doc_id", "line_no", "pos", "n_line")
+    return nulls.rotate(ring, ["doc_id", "line_no"], "pos", "n_line", 3, "rot").select("doc_id", "line_no", "rep", "pos", "rotated")
 
 
 @query("max_stat_omnibus", _PERM + """, c AS (SELECT rep, p_brand, avg(CASE WHEN (p_partkey % 5) = permuted % 5 THEN 1.0 ELSE 0.0 END) AS x FROM m GROUP BY 1, 2) SELECT rep::INT AS rep, round(max(x), 6) + 0.0 AS top FROM c GROUP BY rep""")
