@@ -31,19 +31,18 @@ class AffixGrammar:
 
     def prefix(self, word: Column | str) -> Column:
         """Longest prefix of the word, or ''."""
-        w, out = _c(word), F.lit("")
-        for p in sorted(self.prefixes, key=len):
-            out = F.when(w.startswith(p), p).otherwise(out)
-        return out
+        return F.regexp_extract(_c(word), f"^({'|'.join(sorted(self.prefixes, key=len, reverse=True))})", 1)
 
     def split(self, word: Column | str) -> Column:
-        """struct(prefix, core, suffix): longest prefix, then longest suffix that leaves something; the core may be empty."""
+        """struct(prefix, core, suffix): longest prefix, then longest suffix that leaves something; the core may be empty.
+
+        The suffix pattern begins with a lazy stretch, so the first place from which a suffix reaches the end wins,
+        which is that of the longest one.
+        """
         w = _c(word)
         pre = self.prefix(w)
         rest = F.substring(w, F.length(pre) + 1, F.length(w))
-        scope, suf = rest if self.suffix_scope == "rest" else w, F.lit("")
-        for s in sorted(self.suffixes, key=len):
-            suf = F.when(scope.endswith(s) & (F.length(scope) > len(s)), s).otherwise(suf)
+        suf = F.regexp_extract(rest if self.suffix_scope == "rest" else w, rf"(?s)^.+?({'|'.join(self.suffixes)})\z", 1)
         core = F.substring(rest, F.lit(1), F.greatest(F.length(rest) - F.length(suf), F.lit(0)))
         return F.struct(pre.alias("prefix"), core.alias("core"), suf.alias("suffix"))
 
@@ -265,9 +264,12 @@ def signature(word: Column | str, channel: str, grammar: AffixGrammar = FULL) ->
 
 
 def ngrams(word: Column | str, k: int, pad: bool = False) -> Column:
-    """Letter k-grams in order; with pad, of ^word$."""
+    """Character k-grams in order; with pad, of ^word$. Linear in the length, so whole texts will do."""
     w = F.concat(F.lit("^"), _c(word), F.lit("$")) if pad else _c(word)
-    return F.when(F.length(w) >= k, F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: F.substring(w, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    letters = F.split(w, "")
+    n = F.greatest(F.size(letters) - k + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(letters, F.lit(j + 1), n).alias(f"c{j}") for j in range(k)])
+    return F.when(F.length(w) >= k, F.transform(shifted, lambda x: F.concat(*[x[f"c{j}"] for j in range(k)]))).otherwise(F.array().cast("array<string>"))
 
 
 def prefix_layers(word: Column | str, grammar: AffixGrammar = FULL, most: int = 3) -> Column:

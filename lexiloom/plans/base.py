@@ -29,7 +29,14 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name == "documents" else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its scan has fewer splits than there are cores; larger inputs are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 #: Words of the corpus as the token table counts them.

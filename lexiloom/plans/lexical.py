@@ -17,7 +17,7 @@ def corpus(t, *carry: str) -> DataFrame:
 
 
 def slots(df: DataFrame, *carry: str) -> DataFrame:
-    """Slots are computed once for each distinct word."""
+    """prefix, core and suffix of each word, and the columns `carry`."""
     return df.select(*carry, "word", W.FULL.split("word").alias("s")).select(*carry, "word", "s.*")
 
 
