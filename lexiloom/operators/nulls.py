@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.words import stable_hash, uniform
+from lexiloom.operators.sequence import ranks
 
 
 def replicate(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
@@ -16,18 +17,20 @@ def replicate(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
 def permute_within(df: DataFrame, key: str, value: str, strata: list[str], reps: int, seed: str, name: str = "permuted") -> DataFrame:
     """(rep, *strata, key, value, name): in each replicate, the values of a stratum dealt anew to its keys.
 
-    Slots are ranks by key, draws ranks by hash; both windows share the partitioning by (rep, stratum), so one shuffle
-    serves both and the rank match is a window over the union of slots and draws, not a join.
+    Slots are ranks by key, draws are ranks by hash, and both are numbered in stretches (`sequence.ranks`), so that a
+    stratum with a third of all rows is dealt to many tasks. Null strata are a stratum like any other.
     """
     rows = replicate(df.select(*strata, F.col(key).alias("k_"), F.col(value).alias("v_")), reps)
     by = ["rep", *strata]
-    hashed = stable_hash(seed, F.col("rep").cast("string"), F.col("k_").cast("string"))
-    ranked = rows.withColumns({
-        "slot_": F.row_number().over(Window.partitionBy(*by).orderBy("k_")), "draw_": F.row_number().over(Window.partitionBy(*by).orderBy(hashed, "k_")),
-    })
-    slots = ranked.select(*by, F.col("slot_").alias("at_"), "k_", "v_")
-    draws = ranked.select(*by, F.col("draw_").alias("at_"), F.col("v_").alias(name))
-    return slots.join(draws, [*by, "at_"]).select(*by, F.col("k_").alias(key), F.col("v_").alias(value), name)
+    hashed = rows.withColumn("h_", stable_hash(seed, F.col("rep").cast("string"), F.col("k_").cast("string")))
+    draws = ranks(hashed, by, F.substring("h_", 1, 3), ["h_", "k_"], "at_")
+    stretch = F.floor(F.col("k_") / 4096) if dict(rows.dtypes)["k_"] in ("tinyint", "smallint", "int", "bigint") else F.substring(F.col("k_").cast("string"), 1, 3)
+    slots = ranks(rows, by, stretch, ["k_"], "at_")
+    slots = slots.select(*[F.col(c).alias(f"{c}_s") for c in by], F.col("at_").alias("at_s"), F.col("k_").alias(key), F.col("v_").alias(value))
+    same = F.col("at_") == F.col("at_s")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_s"))
+    return slots.join(draws.select(*by, "at_", F.col("v_").alias(name)), same).select(*by, key, value, name)
 
 
 def subsample(df: DataFrame, key: str, strata: list[str], n: int | Column, seed: str) -> DataFrame:

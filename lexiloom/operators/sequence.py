@@ -85,3 +85,21 @@ def reverse_interior(rows: DataFrame, by: list[str], pos: str = "pos", n: str =
     """Places of a line with the order of its words reversed between the first two and the last two."""
     p, m = F.col(pos), F.col(n)
     return rows.withColumn(name, F.when((p >= 2) & (p < m - 2), m - 1 - p).otherwise(p))
+
+
+def ranks(rows: DataFrame, by: list[str], block: Column, order: list, name: str = "rank") -> DataFrame:
+    """Column `name`: row_number() of `order` within `by`, without a group meeting in one task.
+
+    `block` cuts a group into stretches and must not fall along `order`, like doc_id // 4096 for an order by doc_id or
+    the first digits of a hash for an order by it. Rows are numbered inside their stretch; the rows before it come from a
+    table with one row for each group and stretch.
+    """
+    cut = rows.withColumn("block_", block)
+    size = cut.groupBy(*by, "block_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = size.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("block_").alias("block__"), before.alias("before_"))
+    same = F.col("block_").eqNullSafe(F.col("block__"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    inner = cut.withColumn(name, F.row_number().over(Window.partitionBy(*by, "block_").orderBy(*order)))
+    return inner.join(start, same).withColumn(name, F.col(name) + F.col("before_")).select(*rows.columns, name)

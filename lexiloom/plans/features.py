@@ -93,8 +93,9 @@ def _(t):
 
 @query("residual_autocorrelation", TOK + """, r AS (SELECT doc_id, line_no, pos, length(word) - avg(length(word)) OVER (PARTITION BY source, least(pos, 4)) AS r FROM tokens), l AS (SELECT r, lag(r) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS b FROM r) SELECT count(b) AS n, round(corr(r, b), 6) + 0.0 AS r FROM l""")
 def _(t):
-    res = F.length("word") - F.avg(F.length("word")).over(Window.partitionBy("source", F.least(F.col("pos"), F.lit(4))))
-    r = corpus(t, "source").withColumn("r", res)
+    c = corpus(t, "source").select("doc_id", "line_no", "pos", F.coalesce("source", F.lit("\0")).alias("source"), F.length("word").alias("n"), F.least(F.col("pos"), F.lit(4)).alias("place"))
+    mean = c.groupBy("source", "place").agg(F.avg("n").alias("mean"))  # five rows for each source
+    r = c.join(mean, ["source", "place"]).withColumn("r", F.col("n") - F.col("mean"))
     b = r.withColumn("b", F.lag("r").over(Window.partitionBy("doc_id", "line_no").orderBy("pos")))
     return b.agg(F.count("b").alias("n"), r6(F.corr("r", "b")).alias("r"))
 

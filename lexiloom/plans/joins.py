@@ -176,9 +176,10 @@ SELECT p, g, count(*) AS n FROM m GROUP BY 1, 2""")
 def _(t):
     e = corpus(t, "source", "lang").select("doc_id", "source", "lang", "seq", F.substring("word", 1, 1).alias("g"), F.least(F.col("pos"), F.lit(5)).cast("long").alias("p"))
     stratum = ["source", "lang", "p"]
-    w = Window.partitionBy(*stratum)
-    r = e.withColumns({"k": F.row_number().over(w.orderBy("doc_id", "seq")), "j": F.row_number().over(w.orderBy(W.stable_hash("swap", F.col("doc_id").cast("string"), F.col("seq").cast("string")), "doc_id", "seq"))})
-    m = r.select(*stratum, "k").join(r.select(*stratum, F.col("j").alias("k"), "g"), [*stratum, "k"])
+    h = e.withColumn("h", W.stable_hash("swap", F.col("doc_id").cast("string"), F.col("seq").cast("string")))
+    r = sequence.ranks(e, stratum, F.floor(F.col("doc_id") / 1024), ["doc_id", "seq"], "k")
+    d = sequence.ranks(h, stratum, F.substring("h", 1, 3), ["h", "doc_id", "seq"], "k")
+    m = r.select(*stratum, "k").join(d.select(*stratum, "k", "g"), [*stratum, "k"])
     return m.groupBy("p", "g").agg(F.count("*").alias("n"))
 
 

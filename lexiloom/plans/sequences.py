@@ -102,7 +102,7 @@ def _(t):
 @query("copy_state_bins", TOK + """, a AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY doc_id, seq) AS i FROM tokens), g AS (SELECT source, i - lag(i) OVER (PARTITION BY source, word ORDER BY i) AS gap FROM a)
 SELECT source, CASE WHEN gap = 1 THEN 'lag1' WHEN gap <= 5 THEN 'lag2-5' WHEN gap <= 40 THEN 'lag6-40' ELSE 'new' END AS state, count(*) AS n FROM g GROUP BY 1, 2""")
 def _(t):
-    a = corpus(t, "source").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "seq")))
+    a = sequence.ranks(corpus(t, "source").select("doc_id", "source", "seq", "word"), ["source"], F.floor(F.col("doc_id") / 64), ["doc_id", "seq"], "i")
     gap = F.col("i") - F.lag("i").over(Window.partitionBy("source", "word").orderBy("i"))
     return a.withColumn("state", sequence.copy_state(gap)).groupBy("source", "state").agg(F.count("*").alias("n"))
 
