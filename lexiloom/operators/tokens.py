@@ -108,3 +108,33 @@ def run_lengths(rows: DataFrame, by: list[str], order: str, value: str) -> DataF
 def carry_forward(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
     """Column `name`: the last value that is not null, up to and with the row."""
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order)))
+
+
+def text_grams(docs: DataFrame, by: list[str], n: int, padded: bool = False, text: str = "text", pattern: str = WORD) -> DataFrame:
+    """(by, g, c): letter n-grams (n <= 4) of the documents' words joined by one space, counted; padded puts a space at both ends.
+
+    A gram that starts in a word, or at the space before it, ends in the next word's first n - 2 letters at the latest,
+    or in the space behind a shorter one. So pieces of a word with that much of its surroundings are counted first, and
+    only distinct pieces are cut into letters. At the end of a text that is not padded, shorter grams are counted too.
+    """
+    if not 1 <= n <= 4:
+        raise ValueError("pieces hold grams of one to four letters")
+    words = F.flatten(F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))))
+    held = docs.select(*by, words.alias("ws_")).where(F.size("ws_") > 0)
+    size = F.size("ws_")
+
+    def piece(w, i):
+        space, none = F.lit(" "), F.lit("")
+        lead = space if padded else F.when(i > 0, space).otherwise(none)
+        if n == 1:
+            tail = none
+        else:
+            end = space if padded else none
+            after = F.concat(F.get("ws_", i + 1), space if padded else F.when(i + 2 < size, space).otherwise(none))
+            tail = F.when(i + 1 < size, F.concat(space, F.substring(after, 1, n - 2) if n > 2 else none)).otherwise(end)
+        own = F.concat(lead, w)
+        return F.struct(F.concat(own, tail).alias("s"), F.length(own).alias("own"))
+
+    pieces = held.select(*by, F.explode(F.transform("ws_", piece)).alias("p")).groupBy(*by, "p.s", "p.own").agg(F.count("*").alias("k"))
+    grams = pieces.select(*by, "k", F.explode(F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.substring("s", i, F.lit(n)))).alias("g"))
+    return grams.groupBy(*by, "g").agg(F.sum("k").alias("c"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import words as W
 from lexiloom.operators import info
 from lexiloom.operators.info import r6
-from lexiloom.operators.tokens import lines, tokens
+from lexiloom.operators.tokens import lines, text_grams, tokens
 from lexiloom.plans.base import CTOK, TOK, WORD, query, slots_sql
 
 
@@ -94,21 +94,23 @@ h1 AS (SELECT lang, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h, count(*) AS k
 SELECT h1.lang, round(log2(k), 6) + 0.0 AS h0, round(h1.h, 6) + 0.0 AS h1, round(h2.h - hf.h, 6) + 0.0 AS h2 FROM h1 JOIN h2 ON h1.lang = h2.lang JOIN hf ON h1.lang = hf.lang"""
 
 
-def _text_chars(t) -> DataFrame:
-    """(lang, x): a document's words joined by one space."""
-    words = F.flatten(F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(f"({WORD})"), F.lit(1))))
-    return t.documents.select("lang", F.array_join(words, " ").alias("x")).where("x <> ''")
-
-
 @query("char_entropy_by_lang", _CHARS)
 def _(t):
-    x = _text_chars(t)
-    grams = lambda k: x.select("lang", F.explode(W.ngrams("x", k)).alias("g"))
-    one = info.counts(grams(1), ["g"], ["lang"]).groupBy("lang").agg(F.log2(F.count("*").cast("double")).alias("h0"), (F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h1"))
-    two = info.conditional_entropy(grams(2).select("lang", F.substring("g", 1, 1).alias("a"), F.substring("g", 2, 1).alias("b")), ["b"], ["a"], ["lang"], "h2")
+    g = text_grams(t.documents, ["lang"], 2)
+    c = lambda x: F.sum(x) * F.log2(F.sum(x)) - F.sum(x * F.log2(x))
+    n = F.col("c").cast("double")
+    one = g.groupBy("lang", F.substring("g", 1, 1).alias("a")).agg(F.sum("c").cast("double").alias("c")).groupBy("lang").agg(F.log2(F.count("*").cast("double")).alias("h0"), (c(F.col("c")) / F.sum("c")).alias("h1"))
+    two = _gram_entropy(g.where("length(g) = 2").withColumn("c", n), 1).withColumnRenamed("h", "h2")
     return one.join(two, "lang").select("lang", r6("h0").alias("h0"), r6("h1").alias("h1"), r6("h2").alias("h2"))
 
 
+def _gram_entropy(grams: DataFrame, k: int) -> DataFrame:
+    """(lang, h): entropy of the last letter given the first k, of counted grams."""
+    c = F.col("c").cast("double")
+    p = grams.groupBy("lang", F.substring("g", 1, k).alias("ctx")).agg(F.sum(c).alias("m"), F.sum(c * F.log2(c)).alias("s"))
+    return p.groupBy("lang").agg((F.sum(F.col("m") * F.log2("m") - F.col("s")) / F.sum("m")).alias("h"))
+
+
 def _k_sql(k: int) -> str:
     return TOK + f""", s AS (SELECT doc_id, lang, ' ' || string_agg(word, ' ' ORDER BY seq) || ' ' AS x FROM tokens GROUP BY 1, 2),
 g AS (SELECT lang, substr(x, i, {k + 1}) AS g FROM (SELECT lang, x, unnest(range(1, length(x) - {k} + 1)) AS i FROM s)),
@@ -119,8 +121,7 @@ SELECT lang, round(sum(m * log2(m) - s) / sum(m), 6) + 0.0 AS h FROM p GROUP BY
 
 def _k_entropy(k: int):
     def run(t):
-        g = _text_chars(t).select("lang", F.explode(W.ngrams(F.concat(F.lit(" "), "x", F.lit(" ")), k + 1)).alias("g"))
-        out = info.conditional_entropy(g.select("lang", F.substring("g", 1, k).alias("ctx"), F.substring("g", k + 1, 1).alias("x")), ["x"], ["ctx"], ["lang"])
+        out = _gram_entropy(text_grams(t.documents, ["lang"], k + 1, padded=True).where(F.length("g") == k + 1), k)
         return out.select("lang", r6("h").alias("h"))
 
     return run

@@ -1,4 +1,4 @@
-"""Vector operators, box merging and block-wise ranks against NumPy and plain windows."""
+"""Vector operators, box merging, block-wise ranks and text grams against NumPy and plain windows."""
 
 from __future__ import annotations
 
@@ -86,3 +86,22 @@ def test_permutation_of_null_strata(spark):
         for s in (None, "s"):
             part = [r for r in got if r["rep"] == rep and r["s"] == s]
             assert sorted(r["v"] for r in part) == sorted(r["permuted"] for r in part)
+
+
+@pytest.mark.parametrize("padded", [False, True])
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_text_grams(spark, n, padded):
+    from collections import Counter
+
+    from lexiloom.operators.tokens import text_grams
+
+    texts = ["A b\nccc d", "", None, "x", "ab", "a b c d", "1 2", "été Où a"]
+    want = Counter()
+    for x in texts:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in (x or "").lower()).split(" ") if w]
+        s = " ".join(words)
+        s = f" {s} " if padded and words else s
+        want.update(s[i : i + n] for i in range(len(s) - n + 1))
+    got = {r["g"]: r["c"] for r in text_grams(spark.createDataFrame([(x, "l") for x in texts], "text string, lang string"), ["lang"], n, padded).where(F.length("g") == n).collect()}
+    want.pop(" ", None), got.pop(" ", None)
+    assert got == dict(want)
