@@ -115,7 +115,8 @@ def text_grams(docs: DataFrame, by: list[str], n: int, padded: bool = False, tex
 
     A gram that starts in a word, or at the space before it, ends in the next word's first n - 2 letters at the latest,
     or in the space behind a shorter one. So pieces of a word with that much of its surroundings are counted first, and
-    only distinct pieces are cut into letters. At the end of a text that is not padded, shorter grams are counted too.
+    only distinct pieces are cut into letters. At the end of a text that is not padded, shorter
+    grams are counted too; the space that ends a padded text starts none.
     """
     if not 1 <= n <= 4:
         raise ValueError("pieces hold grams of one to four letters")
