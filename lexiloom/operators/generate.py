@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.words import uniform
+from lexiloom.operators.sequence import ranks
 
 
 def cumulative(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
@@ -45,9 +46,9 @@ def homophonic(letters: DataFrame, letter: str, key: list[Column], homophones: i
     return letters.withColumn("symbol", F.concat(letter, pick.cast("string")))
 
 
-def reflow(template: DataFrame, stream: DataFrame, order: list[str], index: str = "i", word: str = "word") -> DataFrame:
-    """The lines of a template filled with the words of a stream, in order; positions beyond the stream go."""
-    at = template.drop(word).withColumn(index, F.row_number().over(Window.orderBy(*order)) - 1)
+def reflow(template: DataFrame, stream: DataFrame, order: list[str], block: Column, index: str = "i", word: str = "word") -> DataFrame:
+    """The lines of a template filled with the words of a stream, in order; positions beyond the stream go. `block` as in `sequence.ranks`."""
+    at = ranks(template.drop(word), [], block, order, index).withColumn(index, F.col(index) - 1)
     return at.join(stream.select(index, word), index)
 
 

@@ -45,12 +45,15 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, name: str = "rho")
     return ranked.groupBy(*by).agg(F.corr("rx_", "ry_").alias(name))
 
 
-def equal_chunks(rows: DataFrame, by: list[str], order: str | list[str], chunks: int, name: str = "chunk") -> DataFrame:
-    """`chunks` stretches of n div chunks rows each in order; the rest at the end goes."""
+def equal_chunks(rows: DataFrame, by: list[str], order: str | list[str], chunks: int, block: Column, name: str = "chunk") -> DataFrame:
+    """`chunks` stretches of n div chunks rows each in order; the rest at the end goes. `block` as in `ranks`."""
     order = [order] if isinstance(order, str) else order
-    w = Window.partitionBy(*by)
-    at = rows.withColumns({"i_": F.row_number().over(w.orderBy(*order)) - 1, "k_": F.floor(F.count("*").over(w) / chunks)})
-    return at.where("k_ > 0").withColumn(name, F.floor(F.col("i_") / F.col("k_")).cast("int")).where(F.col(name) < chunks).drop("i_", "k_")
+    size = rows.groupBy(*[F.col(c).alias(f"{c}_k") for c in by]).agg(F.floor(F.count("*") / chunks).alias("k_"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_k"))
+    at = ranks(rows, by, block, order, "i_").join(size, same).where("k_ > 0")
+    return at.withColumn(name, F.floor((F.col("i_") - 1) / F.col("k_")).cast("int")).where(F.col(name) < chunks).select(*rows.columns, name)
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
@@ -96,7 +99,7 @@ def ranks(rows: DataFrame, by: list[str], block: Column, order: list, name: str
     """
     cut = rows.withColumn("block_", block)
     size = cut.groupBy(*by, "block_").agg(F.count("*").alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = size.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("block_").alias("block__"), before.alias("before_"))
     same = F.col("block_").eqNullSafe(F.col("block__"))
     for c in by:

@@ -66,15 +66,16 @@ def _(t):
 s AS (SELECT lang, avg(d) + 1.2::DOUBLE * stddev_pop(d) AS thr FROM d GROUP BY 1) SELECT lang, doc_id, round(d, 6) + 0.0 AS delta FROM d JOIN s USING (lang) WHERE d > thr""")
 def _(t):
     p = corpus(t, "lang").groupBy("lang", "doc_id").agg(F.avg(F.length("word")).alias("x"))
-    d = p.withColumn("d", F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("lang").orderBy("doc_id"))))
-    w = Window.partitionBy("lang")
-    return d.withColumn("thr", F.avg("d").over(w) + 1.2 * F.stddev_pop("d").over(w)).where("d > thr").select("lang", "doc_id", r6("d").alias("delta"))
+    r = sequence.ranks(p, ["lang"], F.floor(F.col("doc_id") / 4096), ["doc_id"], "i")
+    d = r.join(r.select("lang", (F.col("i") + 1).alias("i"), F.col("x").alias("before")), ["lang", "i"]).withColumn("d", F.abs(F.col("x") - F.col("before")))
+    thr = d.groupBy("lang").agg((F.avg("d") + 1.2 * F.stddev_pop("d")).alias("thr"))  # a row for each language
+    return d.join(thr, "lang").where("d > thr").select("lang", "doc_id", r6("d").alias("delta"))
 
 
 @query("equal_token_chunks", TOK + """, a AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY doc_id, seq) - 1 AS i, count(*) OVER (PARTITION BY source) // 10 AS k FROM tokens)
 SELECT source, (i // k)::INT AS chunk, count(*) AS n, count(DISTINCT word) AS types FROM a WHERE i // k < 10 GROUP BY 1, 2""")
 def _(t):
-    return sequence.equal_chunks(corpus(t, "source"), ["source"], ["doc_id", "seq"], 10).groupBy("source", "chunk").agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
+    return sequence.equal_chunks(corpus(t, "source").select("source", "doc_id", "seq", "word"), ["source"], ["doc_id", "seq"], 10, F.floor(F.col("doc_id") / 64)).groupBy("source", "chunk").agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
 
 
 @query("event_run_lengths", """WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events),

@@ -105,3 +105,18 @@ def test_text_grams(spark, n, padded):
     got = {r["g"]: r["c"] for r in text_grams(spark.createDataFrame([(x, "l") for x in texts], "text string, lang string"), ["lang"], n, padded).where(F.length("g") == n).collect()}
     want.pop(" ", None), got.pop(" ", None)
     assert got == dict(want)
+
+
+def test_reflow_and_chunks(spark):
+    from lexiloom.operators.generate import reflow
+    from lexiloom.operators.sequence import equal_chunks
+
+    lines = spark.createDataFrame([(d, p, "old") for d in (3, 1, 70) for p in range(4)], "doc long, pos int, word string").repartition(3)
+    stream = spark.createDataFrame([(i, f"w{i}") for i in range(10)], "i long, word string")
+    got = {(r["doc"], r["pos"]): r["word"] for r in reflow(lines, stream, ["doc", "pos"], F.floor(F.col("doc") / 64)).collect()}
+    assert got == {key: f"w{i}" for i, key in enumerate(sorted((d, p) for d in (3, 1, 70) for p in range(4))) if i < 10}
+    rows = spark.createDataFrame([(None if i % 3 else "s", i) for i in range(34)], "g string, k long")
+    cut = equal_chunks(rows, ["g"], "k", 5, F.floor(F.col("k") / 7)).collect()
+    for g, n in (("s", 12), (None, 22)):
+        part = sorted((r["k"], r["chunk"]) for r in cut if r["g"] == g)
+        assert [c for _, c in part] == [c for c in range(5) for _ in range(n // 5)]
