@@ -35,9 +35,24 @@ def copy_state(gap: Column) -> Column:
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 0, ties sharing their mean."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) - 1 + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    """Ranks of a number from 0, ties sharing their mean; nulls come first.
+
+    From counts of distinct values, added up inside stretches of 4096 and over the stretches before: no group meets in one task.
+    """
+    c = rows.groupBy(*by, value).agg(F.count("*").alias("c_")).withColumn("b_", F.floor(F.col(value) / 4096))
+    c = c.select(*[F.col(k).alias(f"{k}_k") for k in by], F.col(value).alias("value_k"), "c_", "b_")
+    keys = [f"{k}_k" for k in by]
+    earlier = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))
+    blocks = c.groupBy(*keys, "b_").agg(F.sum("c_").alias("n_")).withColumn("o_", earlier(group.orderBy("b_"), "n_"))
+    blocks = blocks.select(*[F.col(k).alias(f"{k}k") for k in keys], F.col("b_").alias("b_k"), "o_")
+    same = F.col("b_").eqNullSafe(F.col("b_k"))
+    back = F.col(value).eqNullSafe(F.col("value_k"))
+    for k in by:
+        same = same & F.col(f"{k}_k").eqNullSafe(F.col(f"{k}_kk"))
+        back = back & F.col(k).eqNullSafe(F.col(f"{k}_k"))
+    ranked = c.join(blocks, same).withColumn("r_", F.col("o_") + earlier(Window.partitionBy(*keys, "b_").orderBy("value_k"), "c_") + (F.col("c_") - 1) / 2)
+    return rows.join(ranked.select(*keys, "value_k", "r_"), back).select(*rows.columns, F.col("r_").alias(name))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, name: str = "rho") -> DataFrame:

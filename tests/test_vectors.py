@@ -1,4 +1,4 @@
-"""Vector operators, box merging, block-wise ranks and text grams against NumPy and plain windows."""
+"""Vector operators, box merging, block-wise ranks, chunks and text grams against NumPy and plain windows."""
 
 from __future__ import annotations
 
@@ -120,3 +120,18 @@ def test_reflow_and_chunks(spark):
     for g, n in (("s", 12), (None, 22)):
         part = sorted((r["k"], r["chunk"]) for r in cut if r["g"] == g)
         assert [c for _, c in part] == [c for c in range(5) for _ in range(n // 5)]
+
+
+def test_average_ranks(spark):
+    from lexiloom.operators.sequence import average_ranks
+
+    rows = [("hot" if i % 4 else None, None if i % 11 == 0 else (i * 7919) % 30 * 1000 - 9000) for i in range(90)]
+    got = average_ranks(spark.createDataFrame(rows, "g string, v long"), ["g"], "v").collect()
+    assert len(got) == 90
+    for g in ("hot", None):
+        values = [v for a, v in rows if a == g]
+        size = lambda v: float("-inf") if v is None else v
+        low = lambda v: sum(size(u) < size(v) for u in values)
+        for r in got:
+            if r["g"] == g:
+                assert r["rank"] == low(r["v"]) + (values.count(r["v"]) - 1) / 2
