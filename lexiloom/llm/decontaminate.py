@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, an upper bound of the score, then Smith-Waterman alignment.
 
-Words are lower-cased and stripped of everything but letters and digits; words without any vanish. All n-grams of a
-test item are counted over the whole corpus. A gram is rare if it lies in no more than `rare_times` times as many
-documents as the item's median gram (plus `rare_plus`): the yardstick is the item's own, so an item that is copied into
-a third of the corpus keeps its seeds, and a phrase of everyday words is none, at any corpus size. Every place of a
-document that holds a seed is aligned with the item (match 2, mismatch -1, gap -2), and scored by the best local
-alignment over that of the item with itself.
+Words are lower-cased and stripped of everything but letters and digits; words without any vanish. Every n-gram of a
+test item is a seed, however common it is: an edited passage that lies in many documents makes its own grams common, so
+no count of documents tells it from everyday words. A stretch of a document around seeds of an item is aligned with the
+item (match 2, mismatch -1, gap -2) unless a bound shows that it cannot reach the threshold, and scored by the best
+local alignment over that of the item with itself. The bound costs no result: an alignment gains at most 2 for a word of
+the document that the item holds, and loses at least 1 for any other.
 
 Documents are never shuffled: the index of the test items, which is read in blocks of bounded size, goes to them.
 """
@@ -42,6 +42,7 @@ class Index:
 
     items: list[int]
     words: list[np.ndarray]
+    sets: list[np.ndarray]  # sorted distinct words
     grams: np.ndarray  # sorted hashes
     first: np.ndarray  # where each gram's postings begin; one more at the end
     item: np.ndarray
@@ -80,24 +81,21 @@ def build_index(items: list[tuple[int, str | None]], n: int = GRAM) -> Index:
         ids.append(item_id)
         words.append(w)
     if not ids:
-        return Index([], [], np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Index([], [], [], np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     keys, item, place = (np.concatenate(x) for x in (keys, item, place))
     order = np.argsort(keys, kind="stable")
     keys, item, place = keys[order], item[order], place[order]
     grams, first = np.unique(keys, return_index=True)
-    return Index(ids, words, grams, np.r_[first, len(keys)], item, place)
+    return Index(ids, words, [np.unique(w) for w in words], grams, np.r_[first, len(keys)], item, place)
 
 
-def _hits(index: Index, words: np.ndarray, per_row: np.ndarray, n: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(index: Index, words: np.ndarray, per_row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word position in the row, gram) wherever a row holds a gram of the index."""
     if len(words) < n or not len(index.grams):
         return (np.zeros(0, np.int64),) * 3
     g = _grams(words, n)
     at = np.minimum(np.searchsorted(index.grams, g), len(index.grams) - 1)
-    good = index.grams[at] == g
-    if wanted is not None:
-        good &= wanted[at]
-    where = np.flatnonzero(good)
+    where = np.flatnonzero(index.grams[at] == g)
     ends = np.cumsum(per_row)
     row = np.searchsorted(ends, where, "right")
     inside = where + n <= ends[row]
@@ -105,37 +103,6 @@ def _hits(index: Index, words: np.ndarray, per_row: np.ndarray, n: int, wanted:
     return row, where - (ends - per_row)[row], at[where]
 
 
-def gram_counts(docs: DataFrame, index: Index, n: int = GRAM) -> np.ndarray:
-    """Documents that hold each gram of the index, over all of docs (one column: text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(index.grams), np.int64)
-        for b in slices(batches, 0):
-            row, _, gram = _hits(index, *hashed(b.column(0)), n, None)
-            pair = np.unique(row * len(index.grams) + gram)
-            total += np.bincount(pair % max(1, len(index.grams)), minlength=len(total))
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
-
-    out = np.zeros(len(index.grams), np.int64)
-    for x in docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # as many as the block has grams
-        out[x["gram"]] = x["n"]
-    return out
-
-
-def rare_grams(index: Index, df: np.ndarray, rare_times: int, rare_plus: int) -> np.ndarray:
-    """Whether a gram is a seed: rare for one of the items that hold it at least."""
-    out = np.zeros(len(df), bool)
-    gram = np.repeat(np.arange(len(df)), np.diff(index.first))
-    order = np.argsort(index.item, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(index.item[order]) != 0, True]) if len(order) else [0]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        own = gram[order[a:b]]
-        out[own[df[own] <= rare_times * np.median(df[own]) + rare_plus]] = True
-    return out
-
-
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment score of a with b, and its end (exclusive) in a and in b; one row of the table at a time."""
     steps = -GAP * np.arange(len(b) + 1)
@@ -150,10 +117,17 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _matches(index: Index, seeds: np.ndarray, text: pa.Array, n: int, threshold: float) -> list[tuple[int, int, float, int, int, int]]:
+def _bound(own: np.ndarray, passage: np.ndarray) -> int:
+    """No local alignment of the passage with an item of the (sorted) words `own` scores more."""
+    held = own[np.minimum(np.searchsorted(own, passage), len(own) - 1)] == passage
+    c = np.r_[0, np.cumsum(np.where(held, MATCH, MISMATCH))]
+    return int((c - np.minimum.accumulate(c)).max())
+
+
+def _matches(index: Index, text: pa.Array, n: int, threshold: float) -> list[tuple[int, int, float, int, int, int]]:
     """(row, item, score, first and last word in the row, seeds) for each pair that scores threshold or more."""
     words, per_row = hashed(text)
-    row, pos, gram = _hits(index, words, per_row, n, seeds)
+    row, pos, gram = _hits(index, words, per_row, n)
     if not len(row):
         return []
     many = np.diff(index.first)[gram]
@@ -170,6 +144,8 @@ def _matches(index: Index, seeds: np.ndarray, text: pa.Array, n: int, threshold:
         m = int(size[k])
         lo, hi = max(0, int(pos[a]) - m), min(int(per_row[r]), int(pos[b - 1]) + n + m)
         passage = words[begins[r] + lo : begins[r] + hi]
+        if _bound(index.sets[k], passage) / (MATCH * m) < threshold:
+            continue
         score, end_item, end = smith_waterman(index.words[k], passage)
         value = score / (MATCH * m)
         if value >= threshold and value > found.get((r, k), (0.0,))[0]:
@@ -178,19 +154,18 @@ def _matches(index: Index, seeds: np.ndarray, text: pa.Array, n: int, threshold:
     return [(r, index.items[k], *v) for (r, k), v in sorted(found.items())]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, n: int, rare_times: int, rare_plus: int):
-    """Index and seeds of each block of test items."""
+def _blocks(benchmark: DataFrame, item: str, item_text: str, n: int) -> Iterator[Index]:
+    """The index of each block of test items."""
     src = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     total = src.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
     blocks = -(-total // BLOCK_CHARS) or 1
     for k in range(blocks):
         own = src.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else src
-        index = build_index(sorted(map(tuple, own.collect()), key=str), n)  # about BLOCK_CHARS of text
-        yield index, rare_grams(index, gram_counts(docs.select(F.col("text").cast("string")), index, n), rare_times, rare_plus)
+        yield build_index(sorted(map(tuple, own.collect()), key=str), n)  # about BLOCK_CHARS of text
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, rare_times: int = 8, rare_plus: int = 16, item: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, n_seeds) for each document and test item that score `threshold` or more.
 
@@ -200,13 +175,13 @@ def contaminated(
     """
     kinds = "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long"
     out = None
-    for index, seeds in _blocks(docs, benchmark, item, item_text, n, rare_times, rare_plus):
-        given = docs.sparkSession.sparkContext.broadcast((index, seeds))
+    for index in _blocks(benchmark, item, item_text, n):
+        given = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            index, seeds = given.value
+            index = given.value
             for b in slices(batches, 1):
-                rows = _matches(index, seeds, b.column(1), n, threshold)
+                rows = _matches(index, b.column(1), n, threshold)
                 if rows:
                     at, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, rest)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
@@ -216,16 +191,16 @@ def contaminated(
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, rare_times: int = 8, rare_plus: int = 16) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM) -> DataFrame:
     """docs without the rows whose text holds a test item; columns as they are, and no shuffle."""
     at = docs.columns.index("text")
-    for index, seeds in _blocks(docs, benchmark, "item_id", "text", n, rare_times, rare_plus):
-        given = docs.sparkSession.sparkContext.broadcast((index, seeds))
+    for index in _blocks(benchmark, "item_id", "text", n):
+        given = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            index, seeds = given.value
+            index = given.value
             for b in slices(batches, at):
-                bad = {r for r, *_ in _matches(index, seeds, b.column(at), n, threshold)}
+                bad = {r for r, *_ in _matches(index, b.column(at), n, threshold)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])) if bad else b
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -319,3 +319,27 @@ def test_decontamination(spark, docs):
     assert got[1, 7]["score"] == 1 and (got[1, 7]["first_word"], got[1, 7]["last_word"]) == (50, 89) and 0.5 <= got[2, 7]["score"] < 1
     assert sorted(r["doc_id"] for r in drop_contaminated(table, bench).collect()) == [3, 4, 5, 6]
     assert drop_contaminated(docs, bench).columns == docs.columns
+
+
+@pytest.mark.parametrize("copies", [16, 17, 1000])
+def test_decontamination_of_a_widely_copied_edit(spark, copies):
+    from lexiloom.llm.decontaminate import contaminated, drop_contaminated
+
+    item = [f"w{i}x" for i in range(40)]
+    edited = [f"e{i}y" if i % 4 == 3 else x for i, x in enumerate(item)]
+    table = spark.createDataFrame([(i, f"a{i} b{i} " + " ".join(edited) + f" c{i}") for i in range(copies)] + [(5000, "w0x w1x w2x and then other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = contaminated(table, bench).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(copies)) and all(r["score"] >= 0.5 for r in got)
+    assert [r["doc_id"] for r in drop_contaminated(table, bench).collect()] == [5000]
+
+
+def test_bound_is_never_below_the_alignment():
+    import numpy as np
+
+    from lexiloom.llm.decontaminate import _bound, smith_waterman
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        item, passage = rng.integers(0, 12, rng.integers(3, 20)), rng.integers(0, 20, rng.integers(3, 50))
+        assert _bound(np.unique(item), passage) >= smith_waterman(item, passage)[0]
