@@ -97,6 +97,44 @@ def test_pipeline_against_brute_force(spark, data):
     assert [r["start"] for r in out] == np.cumsum([0, *[r["n_tokens"] for r in out][:-1]]).tolist()
 
 
+def test_pipeline_drops_near_copies_of_similar_shingles(spark, monkeypatch):
+    import corpus_pipeline
+    from lexiloom.llm import similar
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [[word() for _ in range(rng.randint(60, 200))] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    line = " ".join(word() for _ in range(12))
+    for b in base:
+        for k in range(1, 5):
+            copy = list(b)
+            for at in rng.sample(range(len(b)), k):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    texts += [f"{line} {word()} {word()}" for _ in range(8)] + [" ".join(word() for _ in range(30)) + " " + line for _ in range(8)] + ["a b", "a b", "a c", ""]
+    for n in range(40):  # copies of one text that are similar to it but not to each other
+        copy = list(base[0])
+        for at in rng.sample(range(len(copy)), len(copy) // 60 + 1):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    own = [sets(t) for t in texts]
+    from tests.llm.test_text_ops import components, simhash
+
+    fps = [simhash(t) for t in texts]
+    near = lambda a, b: bool(own[a] | own[b]) and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
+    root = components(list(range(len(texts))), lambda a, b: near(a, b) or (fps[a] ^ fps[b]).bit_count() <= 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = sorted(i for i in range(len(texts)) if root[i] == i)
+    for ranked in (similar.RANKED, 1):  # the order of the shingles decides nothing
+        monkeypatch.setattr(similar, "RANKED", ranked)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == expected
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
+
+
 def test_registered_queries_follow_their_contracts(spark, data):
     from lexiloom.llm.registry import QUERIES
 
