@@ -124,7 +124,7 @@ def substitution_search(streams: DataFrame, model: np.ndarray, alphabet: str, re
 
 
 def breadth_first(edges: DataFrame, root: str, most_depth: int = 64) -> DataFrame:
-    """(node, depth) of a rooted tree of edges (parent, child): one join a level, until a level is empty."""
+    """(node, depth) of a rooted tree of edges (parent, child): one join a level, until a level is empty; an error if `most_depth` levels do not end it."""
     level = edges.sparkSession.createDataFrame([(root,)], "node string").withColumn("depth", F.lit(0))
     out = level
     for depth in range(1, most_depth + 1):
@@ -132,4 +132,6 @@ def breadth_first(edges: DataFrame, root: str, most_depth: int = 64) -> DataFram
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise RuntimeError(f"the tree may have more than {most_depth} levels")
     return out

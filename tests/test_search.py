@@ -90,3 +90,14 @@ def test_tree_order(spark):
 
     edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c")], "parent string, child string")
     assert sorted(map(tuple, breadth_first(edges, "r").collect())) == [("a", 1), ("b", 1), ("c", 2), ("r", 0)]
+
+
+def test_breadth_first_fails_on_trees_deeper_than_its_bound(spark):
+    import pytest
+
+    from lexiloom.operators.search import breadth_first
+
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(4)], "parent string, child string")
+    assert breadth_first(edges, "0", 5).count() == 5
+    with pytest.raises(RuntimeError):
+        breadth_first(edges, "0", 3)
