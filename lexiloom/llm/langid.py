@@ -24,7 +24,6 @@ UNKNOWN = "und"
 #: Charge for a language beyond the first: CHARGE x log(trigrams + 1) + CHARGE_SHARE x trigrams.
 CHARGE, CHARGE_SHARE = 3.0, 0.02
 STEPS = 12
-MOST_LANGUAGES = 5
 _LETTER = re.compile(r"[A-Za-z]")
 
 
@@ -115,7 +114,10 @@ def infer(text: pa.Array, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = new[row] >= 0
         r, w, q = new[row[mine]], n[mine], p[mine]
         value, chosen = alone[open_, best[open_]], out[open_]
-        for k in range(2, min(languages, MOST_LANGUAGES) + 1):
+        for k in range(2, languages + 1):
+            # the full mixture bounds all sets; one charge of slack, since its steps are few
+            if not (full[open_] - (k - 2) * charge[open_] > value).any():
+                break
             allowed = np.zeros((len(open_), languages))
             np.put_along_axis(allowed, order[:, :k], 1, axis=1)
             start = np.maximum(share[open_], 1e-6) * allowed

@@ -343,3 +343,17 @@ def test_bound_is_never_below_the_alignment():
     for _ in range(300):
         item, passage = rng.integers(0, 12, rng.integers(3, 20)), rng.integers(0, 20, rng.integers(3, 50))
         assert _bound(np.unique(item), passage) >= smith_waterman(item, passage)[0]
+
+
+def test_a_text_of_seven_languages_gets_all_of_them():
+    import numpy as np
+    import pyarrow as pa
+
+    from lexiloom.llm.langid import BUCKETS, infer, trigrams
+
+    texts = [" ".join(a + b + c for a in x for b in x for c in x) for x in ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwx")]
+    row, bucket, n = trigrams(pa.array(texts))
+    counts = np.full((8, BUCKETS), 0.5)
+    np.add.at(counts, (row, bucket), 1000 * n)
+    share, _ = infer(pa.array([" ".join(texts[:7]), texts[7]]), np.log(counts / counts.sum(axis=1, keepdims=True)))
+    assert (share[0] > 0).sum() == 7 and share[0, 7] == 0 and (share[1] > 0).sum() == 1
