@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +22,36 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow kernel that hands freed memory back to the system when it ends, since Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return kernel
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the session's checkpoint folder.
+
+    Where both are unset, a session that is one process (local[n]) gets a temporary folder; any other session is an
+    error, since executors elsewhere could not read a folder of this machine.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -39,7 +64,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of `materialize` that nothing reads any more: what was made from them is written, or not needed."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fs_write(uri: str, data_iter, name: str) -> str:
@@ -142,8 +176,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: long); root is the smallest node that can be reached.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): O(log^2 n) rounds of joins and partial
-    aggregates, each written to the shared folder. No group is ever collected; a hub's rows are dealt by a join that
-    adaptive execution can split. Null ends and loops are ignored.
+    aggregates, each written to the shared folder. No group is ever collected. The least neighbours are written before
+    the edges meet them, so that join and aggregate have a shuffle each, and adaptive execution can split a hub's rows.
+    Null ends and loops are ignored. RuntimeError if `most_rounds` do not suffice.
     """
     now = materialize(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -155,11 +190,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-low")
+        large = materialize(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        discard(now, low, large, least)
+        now = after
     else:
         raise RuntimeError(f"no stable components after {most_rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(

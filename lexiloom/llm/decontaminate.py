@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import hash_names, mix64, slices, word_codes
+from lexiloom.llm.common import hash_names, lean, mix64, slices, word_codes
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -2
@@ -186,7 +186,7 @@ def contaminated(
                     at, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, rest)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
 
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), kinds)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -203,7 +203,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 bad = {r for r, *_ in _matches(index, b.column(at), n, threshold)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])) if bad else b
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import mix64, slices
+from lexiloom.llm.common import lean, mix64, slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -73,7 +73,7 @@ def train(docs: DataFrame, languages: list[str], smooth: float = 0.5) -> np.ndar
         if len(at[0]):
             yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    counts = docs.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(lean(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     out = np.full((len(languages), BUCKETS), smooth)
     got = counts.toPandas()  # at most languages x BUCKETS rows
     out[got["lang"], got["bucket"]] += got["n"]
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray) -> DataFra
             )
 
     kinds = "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), kinds)
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:

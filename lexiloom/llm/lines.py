@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialize, mix64, slices
+from lexiloom.llm.common import lean, materialize, mix64, slices
 
 #: Bits of a filter for each line, and the most bits of a filter (32 MB): what is broadcast never exceeds it.
 BITS_PER_LINE, MOST_BITS, PROBES = 12, 1 << 28, 3
@@ -98,7 +98,7 @@ def twice_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
             if twice.any():
                 yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([twice.tobytes()])], names=["page", "twice"])
 
-    pages = docs.mapInArrow(mark, "page int, once binary, twice binary").repartition("page").mapInArrow(merge, "page int, twice binary")
+    pages = docs.mapInArrow(lean(mark), "page int, once binary, twice binary").repartition("page").mapInArrow(lean(merge), "page int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for x in pages.collect():  # at most bits / PAGE rows
         at = x["page"] * (PAGE // 8)
@@ -136,7 +136,7 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, text
             held = b.column(1).take(pa.array(np.arange(b.num_rows), mask=count == 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per_row), pa.array(whole, pa.binary()), keys, held], names=["doc_id", "n_lines", "whole", "keys", "text"])
 
-    first = materialize(src.mapInArrow(suspects, "doc_id long, n_lines long, whole binary, keys array<struct<k1:long,k2:long>>, text string"), "lines-suspects")
+    first = materialize(src.mapInArrow(lean(suspects), "doc_id long, n_lines long, whole binary, keys array<struct<k1:long,k2:long>>, text string"), "lines-suspects")
     pairs = first.where("size(keys) > 0").select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).select("doc_id", "k.*").distinct()
     pairs = materialize(pairs, "lines-pairs")
     common = pairs.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs).select("k1", "k2", "last")
@@ -160,7 +160,7 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, text
 
     judged = first.where("size(keys) > 0").join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("doc_"), "left").drop("doc_")
     kinds = "doc_id long, n_lines long, whole binary, n_dropped long, kept string"
-    changed = judged.where("`drop` is not null").select("doc_id", "n_lines", "whole", "text", "drop").mapInArrow(cut, kinds)
+    changed = judged.where("`drop` is not null").select("doc_id", "n_lines", "whole", "text", "drop").mapInArrow(lean(cut), kinds)
     same = judged.where("`drop` is null").select("doc_id", "n_lines", "whole").unionByName(first.where("size(keys) = 0").select("doc_id", "n_lines", "whole"))
     out = changed.unionByName(same.withColumns({"n_dropped": F.lit(0).cast("long"), "kept": F.lit(None).cast("string")}))
     return out.select("doc_id", "n_lines", "n_dropped", "kept", "whole")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import mix64, slices, word_codes
+from lexiloom.llm.common import lean, mix64, slices, word_codes
 
 #: At most about as many labelled rows, chosen by hash of doc_id, are used to fit.
 MOST_ROWS = 30_000
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = own.select(F.col("doc_id").cast("long"), "y_", F.col("text").cast("string")).mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    found = own.select(F.col("doc_id").cast("long"), "y_", F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, y int, x array<double>").toPandas()
     found = found.sort_values("doc_id", kind="stable")
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
     return fit(x, found["y"].to_numpy(np.float64))
@@ -245,7 +245,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         for b in slices(batches, 1, 2 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(given.value.score(features(b.column(1))))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -257,7 +257,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
         for b in slices(batches, at, 2 << 20):
             yield b.filter(pa.array(given.value.score(features(b.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

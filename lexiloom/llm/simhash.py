@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import connected_components, materialize, slices
+from lexiloom.llm.common import connected_components, lean, materialize, slices
 
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY_GENERATOR = 0xAE3
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
             fp = fingerprint_texts(b.column(1).cast(pa.large_binary()).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _key_rows(fps: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _key_rows(fps: DataFrame) -> DataFrame:
                 at_row = np.nonzero(new)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(fp[at_row]), b.column(1).take(pa.array(at_row))], names=["key", "fp", "node"])
 
-    return fps.mapInArrow(run, "key long, fp long, node long")
+    return fps.mapInArrow(lean(run), "key long, fp long, node long")
 
 
 def _spanning(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -172,7 +172,7 @@ def _bucket_edges(keys: DataFrame, radius: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return keys.mapInArrow(run, "a long, b long")
+    return keys.mapInArrow(lean(run), "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

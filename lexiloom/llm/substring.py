@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import hash_names, materialize, mix64, slices, word_codes
+from lexiloom.llm.common import hash_names, lean, materialize, mix64, slices, word_codes
 
 #: Odd multipliers of the two 64-bit hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -104,7 +104,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             offsets = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(per_row), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(offsets, rows)], names=["doc_id", "th", "n_words", "whole", "anchors"])
 
-    return docs.mapInArrow(run, f"doc_id long, th long, n_words long, whole binary, anchors array<struct<{', '.join(x.replace(' ', ':', 1) for x in ANCHOR.split(', '))}>>")
+    return docs.mapInArrow(lean(run), f"doc_id long, th long, n_words long, whole binary, anchors array<struct<{', '.join(x.replace(' ', ':', 1) for x in ANCHOR.split(', '))}>>")
 
 
 def _repeated(rows: DataFrame, *by: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _window_rows(texts: DataFrame, window: int) -> DataFrame:
             row = pa.array(d)
             yield pa.RecordBatch.from_arrays([*keys, b.column(0).take(row), b.column(1).take(row), pa.array(start, pa.int32())], names=["k1", "k2", "doc_id", "th", "s"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, th long, s int")
+    return texts.mapInArrow(lean(run), "k1 long, k2 long, doc_id long, th long, s int")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()).cast(pa.string())], names=["doc_id", "th", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "doc_id long, th long, n_removed long, kept string")
+    return texts.mapInArrow(lean(run), "doc_id long, th long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -18,24 +18,26 @@ from __future__ import annotations
 import io
 import itertools
 import os
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fs_write, materialize, open_fs, scratch, slices, word_codes
+from lexiloom.llm.common import fs_write, lean, materialize, open_fs, scratch, slices, word_codes
 
 MAGIC = b"LXBP0001"
 CHUNK = 1 << 16
 LEVEL = 3
 NO_ID = np.iinfo(np.int64).min
-#: Words whose ids a task remembers before it starts afresh.
-KNOWN_WORDS = 800_000
+#: Bytes of words, pieces and their ids that a task remembers before it starts afresh.
+KNOWN_BYTES = 64 << 20
+#: Bytes of text that are encoded at a time.
+TEXT_BYTES = 4 << 20
 
 
 class Table:
@@ -61,17 +63,43 @@ class Table:
         return self.flat[np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
+class Known:
+    """Distinct strings, numbered as they come, and the ids of each."""
+
+    def __init__(self) -> None:
+        self.names = pa.array([], pa.large_string())
+        self.ids = Table()
+
+    def numbers(self, names: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of distinct names, and those of them that are new: they get the next numbers, in their order."""
+        of = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(of < 0)
+        of[missing] = len(self.names) + np.arange(len(missing))
+        return of, names.take(pa.array(missing))
+
+    def add(self, names: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.ids.add(ids, size)
+
+    @property
+    def nbytes(self) -> int:
+        return self.names.nbytes + 4 * self.ids.ids + 16 * self.ids.rows
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins what white space parts.
 
     Each distinct word is encoded once and remembered, which gives the same ids as encoding the text. Words of printable
     ASCII and Latin-1 letters are first lower-cased and cut where this tokenizer cuts them (fixed pattern), so that
     `The`, `the,` and `the.` share a piece, and pieces skip the tokenizer's own normaliser and cutter; others are encoded
-    as they are. Tokenizers that cut otherwise get every word as it is.
+    as they are. Tokenizers that cut otherwise get every word as it is. What is remembered are Arrow strings and arrays
+    of at most KNOWN_BYTES; a task that has seen more starts afresh.
     """
 
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9]|[^a-zß-öø-ÿªµº0-9]+")
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9]|[^a-zß-öø-ÿªµº0-9]+)"
+    PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+    #: Between pieces that are encoded together; no piece holds it.
+    GAP = "\0"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,61 +107,64 @@ class Encoder:
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        probe = "Thé,IT'S 2nd&*ÀÖ'reß÷ª!"
-        parts = [p for w in probe.split() if self.PLAIN.fullmatch(w) for p in self.PIECES.findall(w.lower())]
-        rest = [w for w in probe.split() if not self.PLAIN.fullmatch(w)]
-        self.cuts = sum(self._encode(self.bare, parts), []) + sum(self._encode(self.tokenizer, rest), []) == sum(self._encode(self.tokenizer, [w for w in probe.split() if w not in rest] + rest), [])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(self.GAP, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        gap = self.bare.encode(self.GAP, add_special_tokens=False).ids
+        self.gap, self.cuts = (gap[0] if len(gap) == 1 else None), True
+        self.forget()
+        probe = "Thé,IT'S 2nd&*ÀÖ'reß÷ª! a<|b x's. Ünïcode's12 naïve"
+        ids, _ = self.encode(pa.array([probe]), None)
+        self.cuts = self.gap is not None and ids.tolist() == self.tokenizer.encode(probe, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.piece: dict[str, int] = {}
-        self.words, self.pieces = Table(), Table()
-
-    @staticmethod
-    def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new words, by way of their pieces."""
-        known, own, whole, fresh = self.piece, [], [], []
-        plain, cut = self.PLAIN.fullmatch, self.PIECES.findall
-        for w in new:
-            if self.cuts and plain(w) and "<|" not in w:
-                parts = cut(w.lower())
-            else:
-                parts = ["\0" + w]
-            own.append(len(parts))
-            for p in parts:
-                k = known.get(p)
-                if k is None:
-                    k = known[p] = len(known)
-                    fresh.append(p)
-                whole.append(k)
-        plain_ids = self._encode(self.bare, [p for p in fresh if p[0] != "\0"])
-        odd_ids = self._encode(self.tokenizer, [p[1:] for p in fresh if p[0] == "\0"])
-        if odd_ids:
-            a, b = iter(plain_ids), iter(odd_ids)
-            plain_ids = [next(b if p[0] == "\0" else a) for p in fresh]
-        self.pieces.add(np.fromiter(itertools.chain.from_iterable(plain_ids), np.uint32), np.fromiter(map(len, plain_ids), np.int64, len(plain_ids)))
-        ids, n = self.pieces.get(np.array(whole, np.int64))
-        self.words.add(ids, sums(n, np.array(own, np.int64)))
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.words, self.pieces = Known(), Known()
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words as the tokenizer has them, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, many encoded as one text with gaps between them, and how many each has."""
+        names, flat = pieces.to_pylist(), [np.zeros(0, np.uint32)]
+        for at in range(0, len(names), 1024):
+            flat.append(np.array(self.bare.encode(self.GAP.join([*names[at : at + 1024], ""]), add_special_tokens=False).ids, np.uint32))
+        flat = np.concatenate(flat)
+        ends = np.flatnonzero(flat == self.gap)
+        if len(ends) != len(names):
+            raise ValueError("the tokenizer makes the gap's id of something else")
+        return np.delete(flat, ends), np.diff(np.r_[-1, ends]) - 1
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Adds new words: plain ones by way of their pieces, then others whole; their numbers."""
+        base = len(self.words.names)
+        plain = pc.and_(pc.match_substring_regex(new, self.PLAIN), pc.invert(pc.match_substring(new, "<|"))) if self.cuts else pa.array(np.zeros(len(new), bool))
+        words, odd = new.filter(plain), new.filter(pc.invert(plain))
+        if len(words):
+            cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words), self.PIECES, "\\1" + self.GAP), self.GAP)
+            many = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64) - 1  # the last part is empty
+            parts = cut.flatten()
+            coded = parts.filter(pc.not_equal(parts, "")).dictionary_encode()
+            of, fresh = self.pieces.numbers(coded.dictionary)
+            if len(fresh):
+                self.pieces.add(fresh, *self._pieces(fresh))
+            ids, n = self.pieces.ids.get(of[coded.indices.to_numpy(zero_copy_only=False)])
+            self.words.add(words, ids, sums(n, many))
+        if len(odd):
+            self.words.add(odd, *self._whole(odd))
+        first = plain.to_numpy(zero_copy_only=False)
+        return base + np.where(first, np.cumsum(first) - 1, len(words) + np.cumsum(~first) - 1)
 
     def encode(self, text: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after the other (u32, each row ended by `end`) and ids per row."""
-        if len(self.row) > KNOWN_WORDS:
+        if self.words.nbytes + self.pieces.nbytes > KNOWN_BYTES:
             self.forget()
         codes, per_row, names = word_codes(text)
-        names = names.to_pylist()
-        row = self.row
-        of = np.fromiter((row.get(x, -1) for x in names), np.int64, len(names))
-        missing = np.flatnonzero(of < 0)
-        if len(missing):
-            of[missing] = len(row) + np.arange(len(missing))
-            self._learn([names[i] for i in missing.tolist()])
-        ids, n = self.words.get(of[codes] if len(codes) else np.zeros(0, np.int64))
+        of, new = self.words.numbers(names)
+        if len(new):
+            fresh = of >= len(self.words.names)
+            of[fresh] = self._learn(new)
+        ids, n = self.words.ids.get(of[codes])
         total = sums(n, per_row)
         if end is None:
             return ids, total
@@ -268,7 +299,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder, told = Encoder(tokenizer), {}
-        it = slices(batches, 1)
+        it = slices(batches, 1, TEXT_BYTES)
         first = next(it, None)
         if first is None:
             return
@@ -282,7 +313,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
         yield pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "n_docs": [told["n_docs"]], "n_ids": [told["n_ids"]]})
 
     dealt = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = materialize(dealt.mapInArrow(run, "path string, part int, n_docs long, n_ids long"), "token-files")
+    files = materialize(dealt.mapInArrow(lean(run), "path string, part int, n_docs long, n_ids long"), "token-files")
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     return files.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
 
@@ -306,7 +337,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     at += int(size.sum())
 
     spread = files.select("path", "start").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fs_write, materialize, open_fs, scratch, slices
+from lexiloom.llm.common import fs_write, lean, materialize, open_fs, scratch, slices
 
 #: Fields of a record's header line, by version of the file (fixed values of the format).
 ARC_FIELDS = {
@@ -236,7 +236,7 @@ def write_arcs(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": paths})
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return materialize(src.mapInArrow(run, "path string"), "arc-files")
+    return materialize(src.mapInArrow(lean(run), "path string"), "arc-files")
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def index_arcs(files: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return _spread(files.select("path")).mapInArrow(run, "path string, ordinal int, page_id long, url string, date string, n long, sha1 binary")
+    return _spread(files.select("path")).mapInArrow(lean(run), "path string, ordinal int, page_id long, url string, date string, n long, sha1 binary")
 
 
 def repeats(index: DataFrame, least: int = 1000) -> DataFrame:
@@ -295,7 +295,7 @@ def convert_arcs(files: DataFrame, folder: str, revisits: DataFrame | None = Non
     src = files.select("path")
     kinds = "array<struct<ordinal:int,of_path:string,of_ordinal:int,uri:string,date:string>>"
     src = src.withColumn("revisits", F.lit(None).cast(kinds)) if revisits is None else src.join(revisits, "path", "left")
-    return materialize(_spread(src).mapInArrow(run, "path string"), "warc-files")
+    return materialize(_spread(src).mapInArrow(lean(run), "path string"), "warc-files")
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def read_warcs(files: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return _spread(files).mapInArrow(run, "record_id string, page_id long, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to_id string")
+    return _spread(files).mapInArrow(lean(run), "record_id string, page_id long, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to_id string")
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:

@@ -122,16 +122,20 @@ def test_pipeline_drops_near_copies_of_similar_shingles(spark, monkeypatch):
         w = t.lower().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     own = [sets(t) for t in texts]
-    from tests.llm.test_text_ops import components, simhash
-
-    fps = [simhash(t) for t in texts]
-    near = lambda a, b: bool(own[a] | own[b]) and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
-    root = components(list(range(len(texts))), lambda a, b: near(a, b) or (fps[a] ^ fps[b]).bit_count() <= 2)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    expected = sorted(i for i in range(len(texts)) if root[i] == i)
-    for ranked in (similar.RANKED, 1):  # the order of the shingles decides nothing
-        monkeypatch.setattr(similar, "RANKED", ranked)
-        assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == expected
+    from tests.llm.test_text_ops import components
+
+    near = lambda a, b: 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
+    root = components(list(range(len(texts))), near)
+    docs = spark.createDataFrame([(i, t, "clash", 1, "x") for i, t in enumerate(texts)] + [(None, texts[0], "", 2, ""), (3, texts[3], "again", 3, "")], "doc_id long, text string, sid string, n int, key string")
+    docs = docs.unionByName(spark.createDataFrame([(len(texts), None, None, None, None)], docs.schema))  # null: as the empty text
+    expected = sorted([-1, 3, *(i for i in range(len(texts)) if root[i] == i)])
+    # the order of the shingles decides nothing, and neither does the size of the blocks that a key's texts are dealt in
+    for ranked, block, rounds in ((similar.RANKED, similar.BLOCK, similar.ROUNDS), (1, 7, 1)):
+        for name, value in (("RANKED", ranked), ("BLOCK", block), ("ROUNDS", rounds)):
+            monkeypatch.setattr(similar, name, value)
+        found = corpus_pipeline.near_dedup(spark, docs, "")
+        assert found.columns == docs.columns
+        assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in found.collect()) == expected
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
 
 
