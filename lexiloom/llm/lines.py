@@ -140,6 +140,7 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, text
     pairs = first.where("size(keys) > 0").select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).select("doc_id", "k.*").distinct()
     pairs = materialize(pairs, "lines-pairs")
     common = pairs.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs).select("k1", "k2", "last")
+    common = materialize(common, "lines-common")  # so that the join below has shuffles of its own, and a hot key can be split
     drops = pairs.join(common, ["k1", "k2"]).where("doc_id <> last").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop")).withColumnRenamed("doc_id", "doc_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,7 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, text
                 kept.append(b"\n".join(x for n, x in enumerate((t or b"").split(b"\n")) if n not in off))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "whole", "n_dropped", "kept"])
 
-    judged = first.where("size(keys) > 0").join(drops.hint("shuffle_hash"), F.col("doc_id") == F.col("doc_"), "left").drop("doc_")
+    judged = first.where("size(keys) > 0").join(drops, F.col("doc_id") == F.col("doc_"), "left").drop("doc_")
     kinds = "doc_id long, n_lines long, whole binary, n_dropped long, kept string"
     changed = judged.where("`drop` is not null").select("doc_id", "n_lines", "whole", "text", "drop").mapInArrow(lean(cut), kinds)
     same = judged.where("`drop` is null").select("doc_id", "n_lines", "whole").unionByName(first.where("size(keys) = 0").select("doc_id", "n_lines", "whole"))

@@ -224,14 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     n = known.count()
     if n > most_rows:
         known = known.where(F.pmod(F.xxhash64("key_"), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
-    own = docs.join(F.broadcast(known), F.col("doc_id") == F.col("key_"))  # about most_rows x 12 bytes
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("key_"))  # about most_rows x 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2, 2 << 20):
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = own.select(F.col("doc_id").cast("long"), "y_", F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, y int, x array<double>").toPandas()
+    found = own.select("doc_id", "y_", "text").mapInArrow(lean(run), "doc_id long, y int, x array<double>").toPandas()
     found = found.sort_values("doc_id", kind="stable")
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
     return fit(x, found["y"].to_numpy(np.float64))

@@ -11,8 +11,9 @@ level: short ones first, and only those that repeat across documents are extende
 * Level 3 (50 words and more): whole runs. A run that also lies in a smaller document goes at once. The first
   document of a run whose anchor also has other runs is opened into its single windows, which are compared exactly.
 
-Each level is a partial aggregate (smallest and largest document of a hash) and a join with the survivors, both of
-which deal hot hashes well; nothing is collected by group. Hashes of whole windows have 128 bits.
+Each level is a partial aggregate (smallest and largest document of a hash) and a join with the survivors. The aggregate
+is written before the rows meet it, so that the join has shuffles of its own and adaptive execution can split a hot
+hash; nothing is collected by group. Hashes of whole windows have 128 bits.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 def _repeated(rows: DataFrame, *by: str) -> DataFrame:
     """Hashes that lie in two documents at least."""
-    return rows.groupBy(*by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*by)
+    return materialize(rows.groupBy(*by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*by), "sub-repeated")
 
 
 def _window_rows(texts: DataFrame, window: int) -> DataFrame:
@@ -189,19 +190,20 @@ def substring_dedup(docs: DataFrame, window: int = 50, text: str = "text", key:
         "sub-half",
     )
     runs = materialize(level2.groupBy("x1", "x2").agg(F.min("doc_id").alias("m"), F.min("h1").alias("h")), "sub-runs")
-    several = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("h_"), F.lit(True).alias("several"))
-    judged = level2.join(runs.join(several, F.col("h") == F.col("h_"), "left").select("x1", "x2", "m", "several"), ["x1", "x2"]).select(
+    several = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("h_"), F.lit(True).alias("several")), "sub-several")
+    known = materialize(runs.join(several, F.col("h") == F.col("h_"), "left").select("x1", "x2", "m", "several"), "sub-known")
+    judged = level2.join(known, ["x1", "x2"]).select(
         "doc_id", "th", F.struct("s1", "s2").alias("span"), (F.col("doc_id") > F.col("m")).alias("gone"), "several"
     ).where("gone or several")
     per_doc = judged.groupBy("doc_id", "th").agg(
         F.collect_list(F.when(F.col("gone"), F.col("span"))).alias("gone"), F.collect_list(F.when(~F.col("gone"), F.col("span"))).alias("open")
     ).withColumnsRenamed({"doc_id": "doc_", "th": "th_"})
-    held = materialize(src.join(per_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("doc_")) & (F.col("th") == F.col("th_"))).drop("doc_", "th_"), "sub-texts")
+    held = materialize(src.join(per_doc, (F.col("doc_id") == F.col("doc_")) & (F.col("th") == F.col("th_"))).drop("doc_", "th_"), "sub-texts")
     opened = materialize(_window_rows(held.where("size(open) > 0").select("doc_id", "th", "text", "open"), window), "sub-windows")
-    least = opened.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    least = materialize(opened.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "sub-least")
     single = opened.join(least, ["k1", "k2"]).where("doc_id > lo").groupBy("doc_id", "th").agg(F.collect_set("s").alias("single")).withColumnsRenamed({"doc_id": "doc_", "th": "th_"})
     cut = _cut(
-        held.join(single.hint("shuffle_hash"), (F.col("doc_id") == F.col("doc_")) & (F.col("th") == F.col("th_")), "left")
+        held.join(single, (F.col("doc_id") == F.col("doc_")) & (F.col("th") == F.col("th_")), "left")
         .where("size(gone) > 0 or single is not null").select("doc_id", "th", "text", "gone", "single"),
         window,
     ).dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "doc_", "th": "th_"})

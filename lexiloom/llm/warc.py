@@ -14,6 +14,7 @@ import base64
 import gzip
 import hashlib
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,17 @@ ROLL = 64 << 20
 DATE = "20000101000000"
 
 
+#: The empty line that ends a header block; old servers ended lines with LF alone.
+_GAP = re.compile(rb"\r?\n\r?\n")
+
+
+def split_http(content: bytes) -> tuple[bytes, bytes]:
+    """Header block (with the empty line that ends it) and payload of an HTTP message; all is header if no line is empty."""
+    gap = _GAP.search(content)
+    at = gap.end() if gap else len(content)
+    return content[:at], content[at:]
+
+
 def _member(data: bytes, level: int) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -76,13 +88,7 @@ class ArcRecord:
     @property
     def http(self) -> tuple[bytes, bytes] | None:
         """Header block and payload if the content is an HTTP response."""
-        if not self.content.startswith(b"HTTP/"):
-            return None
-        for gap in (b"\r\n\r\n", b"\n\n"):
-            at = self.content.find(gap)
-            if at >= 0:
-                return self.content[: at + len(gap)], self.content[at + len(gap) :]
-        return self.content, b""
+        return split_http(self.content) if self.content.startswith(b"HTTP/") else None
 
     @property
     def payload(self) -> bytes:
@@ -103,8 +109,8 @@ def read_arc(stream) -> Iterator[ArcRecord]:
             if not text.startswith("filedesc:"):
                 raise ValueError("no ARC version block")
             length = int(text.rsplit(" ", 1)[1])
-            content = stream.read(length)
-            version = int(content.split(None, 1)[0])
+            content = stream.read(max(0, length))
+            version = int(content[: content.index(b" ")])
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {version}")
         names = ARC_FIELDS[version]
@@ -116,7 +122,7 @@ def read_arc(stream) -> Iterator[ArcRecord]:
         fields = dict(zip(names, parts, strict=True))
         if ordinal:
             length = int(fields["length"])
-            content = stream.read(length)
+            content = stream.read(max(0, length))
         if len(content) != length:
             raise ValueError(f"record {ordinal} is cut short")
         yield ArcRecord(ordinal, version, fields, content)
@@ -130,6 +136,18 @@ def open_gzip(path: str):
     return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
+def salvage(path: str, faults: list[str]) -> Iterator[ArcRecord]:
+    """Records of a file as far as it can be read; what stopped the reading goes to `faults`.
+
+    A record whose declared length is wrong leaves no place where the next one surely begins, so that the file ends there.
+    """
+    try:
+        with open_gzip(path) as stream:
+            yield from read_arc(stream)
+    except (ValueError, EOFError, zlib.error, gzip.BadGzipFile) as e:
+        faults.append(f"{type(e).__name__}: {e}")
+
+
 # WARC --------------------------------------------------------------------------------------------------------------
 
 
@@ -194,8 +212,7 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def http_header(block: bytes, name: str) -> str | None:
-    head = block.split(b"\r\n\r\n", 1)[0]
-    for line in head.split(b"\r\n")[1:]:
+    for line in split_http(block)[0].splitlines()[1:]:
         k, _, v = line.partition(b":")
         if k.strip().lower() == name.lower().encode():
             return v.strip().decode("utf-8", "replace")
@@ -240,22 +257,28 @@ def write_arcs(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    """Deals files evenly to tasks, in ranges of their names: a join on path has no such partitioning, so Spark keeps this one."""
+    return files.repartitionByRange(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def _page(content: bytes) -> int | None:
+    """The page that a record of `write_arcs` holds; null for records from elsewhere."""
+    page = http_header(content, "X-Page-Id") if content.startswith(b"HTTP/") else None
+    return int(page) if page is not None and page.lstrip("-").isdigit() else None
 
 
 def index_arcs(files: DataFrame) -> DataFrame:
-    """(path, ordinal, page_id, url, date, n, sha1) of every record but the version blocks."""
+    """(path, ordinal, page_id, url, date, n, sha1) of every record but the version blocks, as far as a file can be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
                 out: dict[str, list] = {k: [] for k in ("path", "ordinal", "page_id", "url", "date", "n", "sha1")}
-                with open_gzip(path) as stream:
-                    for r in read_arc(stream):
-                        if r.ordinal:
-                            page = http_header(r.content, "X-Page-Id")
-                            for k, v in zip(out, (path, r.ordinal, None if page is None else int(page), r.fields["url"], warc_date(r.fields["date"]), len(r.payload), hashlib.sha1(r.payload).digest()), strict=True):
-                                out[k].append(v)
+                for r in salvage(path, []):
+                    if r.ordinal:
+                        row = (path, r.ordinal, _page(r.content), r.fields["url"], warc_date(r.fields["date"]), len(r.payload), hashlib.sha1(r.payload).digest())
+                        for k, v in zip(out, row, strict=True):
+                            out[k].append(v)
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -276,7 +299,10 @@ def repeats(index: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def convert_arcs(files: DataFrame, folder: str, revisits: DataFrame | None = None) -> DataFrame:
-    """Converts every ARC file of `files` to a WARC file below folder; the table of files (path)."""
+    """Converts every ARC file of `files` to a WARC file below folder; the table of files (path, fault).
+
+    A file that is cut short or malformed is converted up to the fault, which its row names; fault is null for the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
@@ -285,23 +311,26 @@ def convert_arcs(files: DataFrame, folder: str, revisits: DataFrame | None = Non
                 name = path.rsplit("/", 1)[1]
                 of = {x["ordinal"]: {"id": record_id(x["of_path"].rsplit("/", 1)[1], x["of_ordinal"]), "uri": x["uri"], "date": x["date"]} for x in again or ()}
 
-                def data(path=path, name=name, of=of):
-                    with open_gzip(path) as stream:
-                        for r in read_arc(stream):
-                            yield _member(convert(r, name, of.get(r.ordinal)), 6)
+                faults: list[str] = []
+
+                def data(path=path, name=name, of=of, faults=faults):
+                    for r in salvage(path, faults):
+                        yield _member(convert(r, name, of.get(r.ordinal)), 6)
 
-                yield pa.RecordBatch.from_pydict({"path": [fs_write(folder, data(), f"{name.split('.arc')[0]}-{attempt}.warc.gz")]})
+                done = fs_write(folder, data(), f"{name.split('.arc')[0]}-{attempt}.warc.gz")
+                yield pa.RecordBatch.from_pydict({"path": [done], "fault": pa.array([faults[0] if faults else None], pa.string())})
 
     src = files.select("path")
     kinds = "array<struct<ordinal:int,of_path:string,of_ordinal:int,uri:string,date:string>>"
     src = src.withColumn("revisits", F.lit(None).cast(kinds)) if revisits is None else src.join(revisits, "path", "left")
-    return materialize(_spread(src).mapInArrow(lean(run), "path string"), "warc-files")
+    return materialize(_spread(src).mapInArrow(lean(run), "path string, fault string"), "warc-files")
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
     """(record_id, page_id, record_type, uri, date, payload_bytes, payload_digest hex, refers_to_id) of every record but warcinfo.
 
-    Digests of responses are measured on what was read and must equal the header's.
+    Digests of responses are measured on what was read and must equal the header's. A revisit has no payload of its own:
+    its payload_bytes are what its HTTP header declares, null if that is no number.
     """
     names = ("record_id", "page_id", "record_type", "uri", "date", "payload_bytes", "payload_digest", "refers_to_id")
 
@@ -314,17 +343,18 @@ def read_warcs(files: DataFrame) -> DataFrame:
                         if h["warc-type"] == "warcinfo":
                             continue
                         http = h.get("content-type", "").startswith("application/http")
-                        page = http_header(block, "X-Page-Id") if http else None
+                        page = _page(block) if http else None
                         declared = h.get("warc-payload-digest", h.get("warc-block-digest", ""))
                         if h["warc-type"] == "revisit":
-                            size = int(http_header(block, "Content-Length") or 0)
+                            said = http_header(block, "Content-Length") or ""
+                            size = int(said) if said.isdigit() else None
                         else:
-                            payload = block.split(b"\r\n\r\n", 1)[1] if http and b"\r\n\r\n" in block else block
+                            payload = split_http(block)[1] if http else block
                             size = len(payload)
                             if digest32(payload) != declared:
                                 raise ValueError(f"{path}: digest of {h['warc-record-id']} is wrong")
                         row = (
-                            h["warc-record-id"].strip("<>"), None if page is None else int(page), h["warc-type"], h.get("warc-target-uri"), h["warc-date"], size,
+                            h["warc-record-id"].strip("<>"), page, h["warc-type"], h.get("warc-target-uri"), h["warc-date"], size,
                             base64.b32decode(declared.split(":", 1)[1]).hex(), h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None,
                         )
                         for k, v in zip(out, row, strict=True):
@@ -332,7 +362,7 @@ def read_warcs(files: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return _spread(files).mapInArrow(lean(run), "record_id string, page_id long, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to_id string")
+    return _spread(files.select("path")).mapInArrow(lean(run), "record_id string, page_id long, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to_id string")
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -347,8 +377,8 @@ def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
     index = materialize(index_arcs(arcs), "arc-index")
     warcs = convert_arcs(arcs, scratch(spark, "warc"), repeats(index, least))
     rows = materialize(read_warcs(warcs), "warc-rows")
-    of = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("id_"), F.col("page_id").alias("refers_to"))
-    again = rows.where("record_type = 'revisit'").join(of, F.col("refers_to_id") == F.col("id_"), "left")
+    of = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("id_"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes_"))
+    again = rows.where("record_type = 'revisit'").join(of, F.col("refers_to_id") == F.col("id_"), "left").withColumn("payload_bytes", F.coalesce("bytes_", "payload_bytes"))
     first = rows.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return first.select(*names).unionByName(again.select(*names))

@@ -52,8 +52,8 @@ def test_nearest_neighbours(spark, monkeypatch):
     x[100:300] = x[100]  # one vector for many ids: ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [1.0, None] * 12), (1004, [float("inf")] * 24), (1005, []), (None, [1.0] * 24), (1020, [1.0, 2.0]), (5, x[5].tolist())]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'clash' as id", "'clash' as score")
-    monkeypatch.setattr(ann, "INDEX_BLOCK", 128)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "INDEX_BYTES", 128 * 24 * 8)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 16 * 24 * 8)
     got = {}
     for r in ann.search(table, table.where("vec_id % 20 = 0")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
