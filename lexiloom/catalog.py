@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import experiments, features, joins, lexical, sequences  # noqa: F401
+from lexiloom.plans import controls, experiments, features, joins, lexical, sequences  # noqa: F401
 from lexiloom.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -221,46 +221,43 @@ def polynomial(word: Column | str, base: int = 3, modulus: int = 23) -> Column:
     return F.aggregate(F.split(_c(word), ""), F.lit(0), lambda acc, x: F.pmod(acc * base + F.when(x == "", 0).otherwise(letter_value(x)), F.lit(modulus)))
 
 
+def _numbers(w: Column, grammar: AffixGrammar, modulus: int) -> dict[str, Column]:
+    """The numeric coordinates of a word before they are taken modulo `modulus`."""
+    values = F.transform(F.filter(F.split(w, ""), lambda x: x != ""), letter_value)
+    weighted = F.transform(values, lambda v, i: (i + 1) * v)
+    total = lambda v: F.aggregate(v, F.lit(0), lambda acc, x: acc + x)
+    hashed = lambda part: polynomial(part, modulus=modulus)
+    parts = grammar.split(w)
+    return {
+        "length": F.size(values), "first": F.coalesce(F.get(values, F.lit(0)), F.lit(0)), "last": F.coalesce(F.get(values, F.size(values) - 1), F.lit(0)), "glyph_sum": total(values),
+        "weighted_sum": total(weighted), "polynomial": hashed(w), "core_polynomial": hashed(parts["core"]), "affix_polynomial": 5 * hashed(parts["prefix"]) + hashed(parts["suffix"]),
+    }
+
+
+#: Names of the numeric coordinates.
+NUMBERS = ("length", "first", "last", "glyph_sum", "weighted_sum", "polynomial", "core_polynomial", "affix_polynomial")
+
+
 def numeric_feature(word: Column | str, name: str, modulus: int = 23, grammar: AffixGrammar = FULL) -> Column:
-    """A number below `modulus` for a word: length, first, last, glyph_sum, weighted_sum, polynomial, core_polynomial, affix_polynomial."""
-    w = _c(word)
-    letters = F.filter(F.split(w, ""), lambda x: x != "")
-    add = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + x)
-    if name == "length":
-        out = F.length(w)
-    elif name in ("first", "last"):
-        out = letter_value(F.substring(w, 1, 1) if name == "first" else F.right(w, F.lit(1)))
-    elif name == "glyph_sum":
-        out = add(F.transform(letters, letter_value))
-    elif name == "weighted_sum":
-        out = add(F.transform(letters, lambda x, i: (i + 1) * letter_value(x)))
-    elif name == "polynomial":
-        out = polynomial(w, modulus=modulus)
-    elif name == "core_polynomial":
-        out = polynomial(grammar.split(w)["core"], modulus=modulus)
-    elif name == "affix_polynomial":
-        s = grammar.split(w)
-        out = polynomial(s["prefix"], modulus=modulus) * 5 + polynomial(s["suffix"], modulus=modulus)
-    else:
-        raise ValueError(f"unknown feature {name}")
-    return F.pmod(out, F.lit(modulus))
+    """A number below `modulus` for a word, by one of the NUMBERS; KeyError for another name."""
+    return F.pmod(_numbers(_c(word), grammar, modulus)[name], F.lit(modulus))
+
+
+def _clipped(c: Column, most: int = 2) -> Column:
+    return F.least(c, F.lit(most)).cast("string")
 
 
 def signature(word: Column | str, channel: str, grammar: AffixGrammar = FULL) -> Column:
+    """Shape of a word in one string: `edges` (first and last letter, size), `affixes`, or `shape` (size, gallows, benches, a double letter); '_' for the empty word."""
     w = _c(word)
-    n = F.length(w)
-    size = F.when(n <= 3, "s").when(n <= 5, "m").when(n <= 7, "l").otherwise("x")
-    if channel == "edges":
-        out = F.concat_ws(":", F.substring(w, 1, 1), F.right(w, F.lit(1)), size)
-    elif channel == "affixes":
-        s = grammar.split(w)
-        out = F.concat_ws(":", or_none(s["prefix"], "-"), or_none(s["suffix"], "-"))
-    elif channel == "shape":
-        most2 = lambda c: F.least(c, F.lit(2)).cast("string")
-        out = F.concat(size, F.lit(":g"), most2(F.regexp_count(w, F.lit("[ktpf]"))), F.lit(":b"), most2(F.regexp_count(w, F.lit("[cs]h"))), F.lit(":r"), w.rlike(r"(.)\1").cast("int").cast("string"))
-    else:
-        raise ValueError(channel)
-    return F.when(n == 0, "_").otherwise(out)
+    size = F.element_at(F.array(*map(F.lit, "sssmmllx")), F.least(F.greatest(F.length(w), F.lit(1)), F.lit(8)))
+    parts = grammar.split(w)
+    joined = {
+        "edges": (F.substring(w, 1, 1), F.right(w, F.lit(1)), size),
+        "affixes": (or_none(parts["prefix"], "-"), or_none(parts["suffix"], "-")),
+        "shape": (size, F.concat(F.lit("g"), _clipped(F.regexp_count(w, F.lit(f"[{GALLOWS}]")))), F.concat(F.lit("b"), _clipped(plain_bench(w))), F.concat(F.lit("r"), w.rlike(r"(.)\1").cast("int").cast("string"))),
+    }
+    return F.when(F.length(w) == 0, "_").otherwise(F.concat_ws(":", *joined[channel]))
 
 
 def ngrams(word: Column | str, k: int, pad: bool = False) -> Column:
@@ -357,12 +354,27 @@ def logsum2(values: Column) -> Column:
     return F.when(F.size(v) > 0, top + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), x - top))))
 
 
+# Fixed values of the page kinds: thresholds of the shares (least, below), in the order in which they are tried.
+PAGE_KINDS = (
+    ("empty", {"ink": (None, 0.02)}),
+    ("plant with roots", {"green": (0.05, None), "red": (0.005, None)}),
+    ("plant", {"green": (0.05, None)}),
+    ("text", {"ink": (0.06, None), "edge": (1.2, None), "pigment": (None, 0.03)}),
+    ("rings", {"blue": (0.02, None), "edge": (None, 1.4)}),
+    ("drawing", {"pigment": (0.06, None), "edge": (None, 1.2)}),
+)
+
+
 def page_label(ink: Column, green: Column, red: Column, blue: Column, edge: Column) -> Column:
-    """Kind of a page by its pigment shares; the first rule that holds decides."""
-    pigment = green + red + blue
-    text = (ink > 0.06) & (edge >= 1.2)
-    return (
-        F.when(ink < 0.02, "blank/cover").when((green > 0.05) & (red > 0.005), "HERBAL (foliage+roots)").when(green > 0.05, "foliage")
-        .when(text & (pigment < 0.03), "TEXT-DENSE (recipes/stars)").when((blue > 0.02) & (edge < 1.4), "ASTRO/COSMO (pigment+radial)")
-        .when((pigment > 0.06) & (edge < 1.2), "drawing-heavy").otherwise("mixed")
-    )
+    """Kind of a page by its pigment shares: the first of PAGE_KINDS whose bounds all hold, else `mixed`. Lower bounds are strict but for the edge's."""
+    share = {"ink": ink, "green": green, "red": red, "blue": blue, "edge": edge, "pigment": green + red + blue}
+    kinds = []
+    for name, bounds in PAGE_KINDS:
+        ok = F.lit(True)
+        for key, (low, high) in bounds.items():
+            if low is not None:
+                ok = ok & (share[key] >= low if key == "edge" else share[key] > low)
+            if high is not None:
+                ok = ok & (share[key] < high)
+        kinds.append(F.when(ok, name))
+    return F.coalesce(*kinds, F.lit("mixed"))

@@ -73,7 +73,7 @@ def information_gain(df: DataFrame, feature: str, column: str, by: list[str] = (
 def shares(df: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name): relative frequencies."""
     c = df.groupBy(key).agg(F.count("*").alias("c"))
-    return c.select(key, (F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1)))).alias(name))
+    return c.join(F.broadcast(c.agg(F.sum("c").alias("t_")))).select(key, (F.col("c") / F.col("t_")).alias(name))  # one row is broadcast
 
 
 def kl(p: DataFrame, q: DataFrame, key: str, rule: str = "floor", eps: float = 1e-9, name: str = "kl") -> DataFrame:

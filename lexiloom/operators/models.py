@@ -43,9 +43,11 @@ def nested_backoff(pairs: DataFrame, block: str, levels: list[list[str]], y: str
     part = lambda *k: F.sum("c").over(Window.partitionBy(*k)) - F.sum("c").over(Window.partitionBy(*k, block))
     values = c.select(y).distinct().agg(F.count("*").alias("v"))
     s = c.join(F.broadcast(values)).withColumn("p0", 1 / F.col("v"))
+    whole = c.agg(F.sum("c").alias("whole_"))
+    rest = c.groupBy(F.col(block).alias("b__")).agg(F.sum("c").alias("own_")).join(F.broadcast(whole)).select("b__", (F.col("whole_") - F.col("own_")).alias("rest_"))
+    s = s.join(F.broadcast(rest), F.col(block).eqNullSafe(F.col("b__"))).drop("b__")  # a row for each block
     for i, level in enumerate(levels, 1):
-        context = level or [F.lit(1)]
-        s = s.withColumns({f"h{i}": part(*level, y), f"t{i}": part(*context)})
+        s = s.withColumns({f"h{i}": part(*level, y), f"t{i}": part(*level) if level else F.col("rest_")})
         s = s.withColumn(f"p{i}", (F.col(f"h{i}") + mass * F.col(f"p{i - 1}")) / (F.col(f"t{i}") + mass))
     bits = [(F.sum(-F.col("c") * F.log2(f"p{i}")) / F.sum("c")).alias(f"bits{i}") for i in range(len(levels) + 1)]
     return s.groupBy(block).agg(F.sum("c").alias("n"), *bits)

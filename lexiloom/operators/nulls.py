@@ -55,7 +55,8 @@ def exact_sign_flip_p(values: Column, two_sided: bool = False, eps: float = 1e-1
 
 def bootstrap(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
     """(rep, draw, *df): as many draws with replacement as df has rows, for each replicate. df is a table of blocks, numbered by key."""
-    n = df.withColumns({"i_": F.row_number().over(Window.orderBy(key)) - 1, "n_": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    i = Window.orderBy(key)  # a table of blocks: a row for each source, user or the like
+    n = df.withColumn("i_", F.row_number().over(i) - 1).join(F.broadcast(df.agg(F.count("*").alias("n_"))))
     draws = replicate(n.select(F.col("i_").alias("draw"), F.col("n_").alias("m_")), reps)
     pick = F.floor(uniform(seed, F.col("rep").cast("string"), F.col("draw").cast("string")) * F.col("m_")).cast("int")
     return draws.select("rep", "draw", pick.alias("i_")).join(n.drop("n_"), "i_").drop("i_")
@@ -82,3 +83,34 @@ def westfall_young(nulls: DataFrame, cell: list[str], rep: str, value: str) -> D
     w = Window.partitionBy(*cell)
     p = F.count("*").over(w.orderBy(F.col(value).desc()).rangeBetween(Window.unboundedPreceding, 0)) / F.count("*").over(w)
     return nulls.withColumn("p_", p).groupBy(rep).agg(F.min("p_").alias("min_p"))
+
+
+def shuffle_columns(df: DataFrame, key: str, columns: list[str], strata: list[str], reps: int, seed: str) -> DataFrame:
+    """(rep, *strata, key, *columns): each column dealt anew on its own, so that only the columns' own distributions stay."""
+    out = None
+    for c in columns:
+        one = permute_within(df, key, c, strata, reps, f"{seed}-{c}", f"{c}_").select("rep", *strata, key, F.col(f"{c}_").alias(c))
+        out = one if out is None else out.join(one.drop(*strata), ["rep", key])
+    return out
+
+
+def draw_columns(df: DataFrame, key: str, columns: list[str], block: Column, reps: int, seed: str) -> DataFrame:
+    """(rep, draw, *columns): as many rows as df has, each column drawn on its own, with replacement, from df's."""
+    at = ranks(df.select(key, *columns), [], block, [key], "at_").withColumn("at_", F.col("at_") - 1)
+    n = df.agg(F.count("*").alias("n_"))
+    out = replicate(at.select(F.col("at_").alias("draw")), reps).join(F.broadcast(n))
+    for c in columns:
+        pick = F.floor(uniform(f"{seed}-{c}", F.col("rep").cast("string"), F.col("draw").cast("string")) * F.col("n_")).cast("long")
+        out = out.withColumn("p_", pick).join(at.select(F.col("at_").alias("p_"), c), "p_").drop("p_")
+    return out.drop("n_")
+
+
+def signs(df: DataFrame, key: str, reps: int, seed: str, name: str = "sign") -> DataFrame:
+    """Column `name`: 1 or -1 by hash, for each row and replicate: the Monte Carlo form of `exact_sign_flip_p`."""
+    up = uniform(seed, F.col("rep").cast("string"), F.col(key).cast("string")) < 0.5
+    return replicate(df, reps).withColumn(name, F.when(up, 1).otherwise(-1))
+
+
+def bonferroni(p: Column) -> Column:
+    """Smallest p times the number of tests, at most 1; an aggregate."""
+    return F.least(F.lit(1.0), F.min(p) * F.count(p))

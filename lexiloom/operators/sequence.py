@@ -121,3 +121,48 @@ def ranks(rows: DataFrame, by: list[str], block: Column, order: list, name: str
         same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
     inner = cut.withColumn(name, F.row_number().over(Window.partitionBy(*by, "block_").orderBy(*order)))
     return inner.join(start, same).withColumn(name, F.col(name) + F.col("before_")).select(*rows.columns, name)
+
+
+def depth_boundaries(curve: DataFrame, by: list[str], order: str, value: str, reach: int = 6, eps: float = 1e-9) -> DataFrame:
+    """Rows of a similarity curve that are section limits, with column depth: how far the value lies below the peaks within `reach` rows on either side.
+
+    A limit is deeper than the mean plus one (population) deviation of its group's depths and no shallower than its
+    neighbours; the first and the last row of a group are none.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    peak = lambda a, b: F.max(value).over(w.rowsBetween(a, b))
+    d = curve.withColumn("depth", peak(-reach, 0) + peak(0, reach) - 2 * F.col(value))
+    level = d.groupBy(*[F.col(c).alias(f"{c}__") for c in by]).agg((F.avg("depth") + F.stddev_pop("depth")).alias("level_"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    d = d.withColumns({"before_": F.lag("depth").over(w), "after_": F.lead("depth").over(w)}).join(level, same)
+    return d.where((F.col("depth") > F.col("level_") + eps) & (F.col("depth") >= F.col("before_") - eps) & (F.col("depth") >= F.col("after_") - eps)).select(*curve.columns, "depth")
+
+
+def offsets(sizes: DataFrame, by: list[str], key: str, size: str, block: Column, name: str = "offset") -> DataFrame:
+    """Column `name`: the sum of `size` over rows of a smaller key within `by`, without a group meeting in one task; `block` as in `ranks`."""
+    cut = sizes.withColumn("block_", block)
+    total = cut.groupBy(*by, "block_").agg(F.sum(size).alias("n_"))
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("n_").over(every.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = total.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("block_").alias("block__"), before.alias("before_"))
+    same = F.col("block_").eqNullSafe(F.col("block__"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    inner = F.coalesce(F.sum(size).over(Window.partitionBy(*by, "block_").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("inner_", inner).join(start, same).withColumn(name, F.col("inner_") + F.col("before_")).select(*sizes.columns, name)
+
+
+def neighbours(rows: DataFrame, by: list[str], stretch: Column, order: str, value: str, name: str = "before") -> DataFrame:
+    """Column `name`: the value of the row before within `by`; stretches as in `ranks`, their edges met by a table with a row for each of them."""
+    cut = rows.withColumn("block_", stretch)
+    w = Window.partitionBy(*by, "block_").orderBy(order)
+    cut = cut.withColumns({name: F.lag(value).over(w), "first_": F.row_number().over(w) == 1})
+    last = cut.groupBy(*by, "block_").agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))["v"].alias("last_"))
+    edge = last.withColumn("edge_", F.lag("last_").over(Window.partitionBy(*by).orderBy("block_") if by else Window.orderBy("block_")))
+    edge = edge.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("block_").alias("block__"), "edge_")
+    same = F.col("block_").eqNullSafe(F.col("block__"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    return cut.join(edge, same).withColumn(name, F.when(F.col("first_"), F.col("edge_")).otherwise(F.col(name))).select(*rows.columns, name)

@@ -13,19 +13,23 @@ def lines(docs: DataFrame, *carry: str, key: str = "doc_id", text: str = "text")
     return docs.select(key, *carry, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
-def tokens(docs: DataFrame, *carry: str, key: str = "doc_id", text: str = "text", pattern: str = WORD) -> DataFrame:
+def tokens(docs: DataFrame, *carry: str, key: str = "doc_id", text: str = "text", pattern: str = WORD, line: bool = True, seq: bool = True) -> DataFrame:
     """(key, *carry, line_no, n_line, pos, seq, word): lower-cased words in reading order, without a shuffle.
 
-    pos and n_line count words of the line from 0, seq words of the document. Null texts have no tokens.
+    pos and n_line count words of the line from 0, seq words of the document. Null texts have no tokens. Without `line`
+    there are no line_no, n_line and pos, without `seq` no seq: words are then cut out of the text, or of its exploded
+    lines, by one generated expression each, and only both together need a lambda for each word.
     """
-    words = F.transform(
-        F.split(F.lower(text), "\n", -1),
-        lambda line, i: F.transform(
-            F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1)), lambda w, j: F.struct(i.alias("line_no"), j.alias("pos"), w.alias("word"))
-        ),
-    )
-    sized = F.transform(words, lambda ws: F.transform(ws, lambda x: F.struct(x["line_no"].alias("line_no"), F.size(ws).alias("n_line"), x["pos"].alias("pos"), x["word"].alias("word"))))
-    return docs.select(key, *carry, F.posexplode(F.flatten(sized)).alias("seq", "t")).select(key, *carry, "t.line_no", "t.n_line", "t.pos", "seq", "t.word")
+    words = lambda x: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+    if not line:
+        held = docs.select(key, *carry, words(F.lower(text)).alias("ws_"))
+        return held.select(key, *carry, F.posexplode("ws_").alias("seq", "word")) if seq else held.select(key, *carry, F.explode("ws_").alias("word"))
+    if not seq:
+        held = docs.select(key, *carry, F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line_no", "line_")).select(key, *carry, "line_no", words("line_").alias("ws_"))
+        return held.select(key, *carry, "line_no", F.size("ws_").alias("n_line"), F.posexplode("ws_").alias("pos", "word"))
+    by_line = F.transform(F.split(F.lower(text), "\n", -1), words)
+    placed = F.transform(by_line, lambda ws, i: F.transform(ws, lambda w, j: F.struct(i.alias("line_no"), F.size(ws).alias("n_line"), j.alias("pos"), w.alias("word"))))
+    return docs.select(key, *carry, F.posexplode(F.flatten(placed)).alias("seq", "t")).select(key, *carry, "t.line_no", "t.n_line", "t.pos", "seq", "t.word")
 
 
 #: Eligibility of a word by profile (the others build on these; see `eligible`).

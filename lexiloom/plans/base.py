@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.functions import words
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -13,6 +15,9 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Registers a function of a `Tables` under a name, with the SQL that must give the same rows."""
 
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
+
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
@@ -57,8 +62,8 @@ WITH cl AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '{WORD}'
 ctok AS (SELECT conv_id, turn, role, len(ws) AS n_line, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM cl)
 """
 
-_PREFIXES = ("qok", "qot", "cth", "ckh", "cph", "cfh", "qo", "ok", "ot", "ch", "sh", "o", "y", "d")
-_SUFFIXES = ("eedy", "eody", "aiin", "aiir", "edy", "ain", "iin", "dam", "eey", "dy", "ol", "or", "ar", "al", "am", "ey", "y")
+#: A CASE takes the first hit, so the longest affixes come first.
+_PREFIXES, _SUFFIXES = (sorted(x, key=lambda a: (-len(a), a)) for x in (words.PREFIXES, words.SUFFIXES))
 
 
 def slots_sql(source: str, word: str = "word") -> str:

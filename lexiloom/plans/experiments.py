@@ -10,7 +10,7 @@ from lexiloom.operators import info, models, nulls, programs, search, sequence,
 from lexiloom.operators.info import r6
 from lexiloom.operators.tokens import runs
 from lexiloom.plans.base import TOK, query, slots_sql
-from lexiloom.plans.lexical import corpus, slots
+from lexiloom.plans.lexical import bare, flow, lined, slots
 
 _SLOTS = TOK + "," + slots_sql("tokens")
 #: Column x of the letters of words.
@@ -32,7 +32,7 @@ def _letters(words, *by: str):
 SELECT lang, sum(pairs) AS pairs, round(sum(same) / sum(pairs), 6) + 0.0 AS agree FROM w GROUP BY lang HAVING sum(pairs) > 0""")
 def _(t):
     """Of all pairs of documents that share a word, the share with the same source; from counts, no pair is made."""
-    d = corpus(t, "lang", "source").select("lang", "source", "word", "doc_id").distinct()
+    d = bare(t, "lang", "source").select("lang", "source", "word", "doc_id").distinct()
     s = d.groupBy("lang", "word", "source").agg(F.count("*").cast("double").alias("n"))
     w = s.groupBy("lang", "word").agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).alias("same"), (F.sum("n") * (F.sum("n") - 1) / 2).alias("pairs"))
     return w.groupBy("lang").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same")).where("pairs > 0").select("lang", "pairs", r6(F.col("same") / F.col("pairs")).alias("agree"))
@@ -43,7 +43,7 @@ p AS (SELECT a.lang, a.source AS donor, b.source AS target, a.n AS dn, b.n AS tn
 SELECT p.lang, donor, target, round(sum(-t.c * log2((coalesce(d.c, 0) * tn / dn + 0.5::DOUBLE) / (tn + 0.5::DOUBLE * v))) / max(tn), 6) + 0.0 AS bits FROM p JOIN c t ON t.lang = p.lang AND t.source = p.target LEFT JOIN c d ON d.lang = p.lang AND d.source = p.donor AND d.g = t.g GROUP BY 1, 2, 3""")
 def _(t):
     """Initials of a source scored by the counts of each other source of its language, scaled to its size."""
-    c = corpus(t, "lang", "source").groupBy("lang", "source", F.substring("word", 1, 1).alias("g")).agg(F.count("*").cast("double").alias("c"))
+    c = bare(t, "lang", "source").groupBy("lang", "source", F.substring("word", 1, 1).alias("g")).agg(F.count("*").cast("double").alias("c"))
     n = c.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     v = c.groupBy("lang").agg(F.count_distinct("g").alias("v"))
     # sources within a language: a dimension-sized pair table
@@ -56,7 +56,7 @@ def _(t):
 @query("symbol_recurrence", TOK + """, g AS (SELECT lang, word, doc_id, seq, seq - lag(seq) OVER (PARTITION BY doc_id, word ORDER BY seq) AS gap, lead(word) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM tokens), c AS (SELECT lang, word, nxt, count(*)::DOUBLE AS c FROM g WHERE nxt IS NOT NULL GROUP BY 1, 2, 3), h AS (SELECT lang, word, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h, count(*) AS successors FROM c GROUP BY 1, 2)
 SELECT lang, word, count(*) AS n, count(gap) AS gaps, round(avg(gap), 6) + 0.0 AS mean, round(stddev_pop(gap), 6) + 0.0 AS sigma, round(quantile_cont(gap, 0.5), 6) + 0.0 AS median, successors, round(h, 6) + 0.0 AS entropy FROM g JOIN h USING (lang, word) GROUP BY lang, word, successors, h HAVING count(*) >= 10 AND count(gap) > 0""")
 def _(t):
-    g = corpus(t, "lang").select("lang", "word", "doc_id", "seq")
+    g = flow(t, "lang").select("lang", "word", "doc_id", "seq")
     g = g.withColumn("gap", F.col("seq") - F.lag("seq").over(Window.partitionBy("doc_id", "word").orderBy("seq"))).withColumn("nxt", F.lead("word").over(Window.partitionBy("doc_id").orderBy("seq")))
     c = g.where("nxt is not null")
     h = info.entropy(c, ["nxt"], ["lang", "word"]).join(c.groupBy("lang", "word").agg(F.count_distinct("nxt").alias("successors")), ["lang", "word"])
@@ -68,7 +68,7 @@ def _(t):
 SELECT x, y, count(*) AS sources, round(min(v), 6) + 0.0 AS least FROM k GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT source) FROM c) AND min(v) > 1e-5""")
 def _(t):
     """Cells whose contribution to the mutual information of first and last letter is positive in every source."""
-    c = corpus(t, "source").where("source is not null").groupBy("source", F.substring("word", 1, 1).alias("x"), F.right("word", F.lit(1)).alias("y")).agg(F.count("*").cast("double").alias("c"))
+    c = bare(t, "source").where("source is not null").groupBy("source", F.substring("word", 1, 1).alias("x"), F.right("word", F.lit(1)).alias("y")).agg(F.count("*").cast("double").alias("c"))
     part = lambda *k: F.sum("c").over(Window.partitionBy(*k))
     m = c.withColumns({"cx": part("source", "x"), "cy": part("source", "y"), "n": part("source")})
     k = m.withColumn("v", F.col("c") / F.col("n") * F.log2(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy"))))
@@ -79,7 +79,7 @@ def _(t):
 @query("letter_entropy_rollup", TOK + ", l AS (" + _LETTERS.format(k="lang, source") + """), c AS (SELECT lang, source, g, count(*) AS c FROM l GROUP BY 1, 2, 3), r AS (SELECT grouping(lang) AS gl, grouping(source) AS gs, lang, source, g, sum(c)::DOUBLE AS c FROM c GROUP BY GROUPING SETS ((g), (lang, g), (lang, source, g)))
 SELECT CASE WHEN gl = 1 THEN 'ALL' ELSE lang END AS lang, CASE WHEN gs = 1 THEN 'ALL' ELSE source END AS source, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) + 0.0 AS h FROM r GROUP BY gl, gs, r.lang, r.source""")
 def _(t):
-    c = _letters(corpus(t, "lang", "source"), "lang", "source")
+    c = _letters(bare(t, "lang", "source"), "lang", "source")
     r = c.groupingSets([["g"], ["lang", "g"], ["lang", "source", "g"]], "lang", "source", "g").agg(F.grouping("lang").alias("gl"), F.grouping("source").alias("gs"), F.sum("c").cast("double").alias("c"))
     h = r.groupBy("gl", "gs", "lang", "source").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"))
     return h.select(F.when(F.col("gl") == 1, "ALL").otherwise(F.col("lang")).alias("lang"), F.when(F.col("gs") == 1, "ALL").otherwise(F.col("source")).alias("source"), r6("h").alias("h"))
@@ -89,7 +89,7 @@ def _(t):
 SELECT lang, round(data, 3) + 0.0 AS data, round(map, 3) + 0.0 AS map, round(plain, 3) + 0.0 AS plain, data + map < plain AS worth FROM d""")
 def _(t):
     """Bits of the letters under their own table, the table's charge, and the bits without a table."""
-    c = _letters(corpus(t, "lang"), "lang").withColumn("c", F.col("c").cast("double"))
+    c = _letters(bare(t, "lang"), "lang").withColumn("c", F.col("c").cast("double"))
     n = F.sum("c")
     d = c.groupBy("lang").agg((n * F.log2(n) - F.sum(F.col("c") * F.log2("c"))).alias("data"), (F.count("*") / 2 * F.log2(n)).alias("map"), (n * F.log2(F.count("*").cast("double"))).alias("plain"))
     r3 = lambda x: F.round(x, 3) + F.lit(0.0)
@@ -100,7 +100,7 @@ def _(t):
 SELECT round(sum(a.c / a.n * log2(a.c / a.n / (b.c / b.n))), 6) + 0.0 AS kl, round(avg(CASE WHEN a.g = b.g THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS accuracy, round(sum(CASE WHEN a.g = b.g THEN a.c ELSE 0 END) / sum(a.c), 6) + 0.0 AS weighted FROM r a JOIN r b ON a.lang = 'fr' AND b.lang = 'en' AND a.r = b.r""")
 def _(t):
     """Letters decoded by frequency rank: divergence from the target language, and accuracy of the key, plain and by weight."""
-    c = _letters(corpus(t, "lang").where("lang in ('en', 'fr')"), "lang").withColumn("c", F.col("c").cast("double"))
+    c = _letters(bare(t, "lang").where("lang in ('en', 'fr')"), "lang").withColumn("c", F.col("c").cast("double"))
     w = Window.partitionBy("lang")
     r = c.withColumns({"r": F.row_number().over(w.orderBy(F.col("c").desc(), "g")), "p": F.col("c") / F.sum("c").over(w)})
     m = r.where("lang = 'fr'").select("r", F.col("g").alias("x"), F.col("c").alias("cx"), F.col("p").alias("px")).join(r.where("lang = 'en'").select("r", F.col("g").alias("y"), F.col("p").alias("py")), "r")
@@ -112,20 +112,20 @@ def _(t):
 SELECT doc_id, seq, nth, gap, ahead, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER s AS known, lag(gap) OVER s AS gap_before, coalesce(lag(nth) OVER s = 1, false) AS after_new FROM f WINDOW s AS (PARTITION BY doc_id ORDER BY seq)""")
 def _(t):
     w, s = Window.partitionBy("doc_id", "word").orderBy("seq"), Window.partitionBy("doc_id").orderBy("seq")
-    f = corpus(t).select("doc_id", "seq", "word").withColumns({"gap": F.col("seq") - F.lag("seq").over(w), "nth": F.row_number().over(w), "ahead": F.lead("seq").over(w) - F.col("seq")})
+    f = flow(t).select("doc_id", "seq", "word").withColumns({"gap": F.col("seq") - F.lag("seq").over(w), "nth": F.row_number().over(w), "ahead": F.lead("seq").over(w) - F.col("seq")})
     return f.select("doc_id", "seq", "nth", "gap", "ahead", F.sum((F.col("nth") == 1).cast("int")).over(s).alias("known"), F.lag("gap").over(s).alias("gap_before"), F.coalesce(F.lag("nth").over(s) == 1, F.lit(False)).alias("after_new"))
 
 
 @query("valid_runs", TOK + """, v AS (SELECT doc_id, line_no, pos, regexp_full_match(word, '[a-z]{3,}') AS ok FROM tokens), r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS run FROM v), k AS (SELECT count(*) AS length FROM r WHERE ok GROUP BY doc_id, line_no, run) SELECT length, count(*) AS n FROM k GROUP BY 1""")
 def _(t):
-    v = corpus(t).select("doc_id", "line_no", "pos", F.when(F.col("word").rlike("^[a-z]{3,}$"), F.col("word")).alias("word"))
+    v = lined(t).select("doc_id", "line_no", "pos", F.when(F.col("word").rlike("^[a-z]{3,}$"), F.col("word")).alias("word"))
     return runs(v, ["doc_id", "line_no"], "pos").groupBy("doc_id", "line_no", "run").agg(F.count("*").alias("length")).groupBy("length").agg(F.count("*").alias("n"))
 
 
 @query("inverse_programs", TOK + "SELECT doc_id, line_no, sum((length(word) % 23) * (pos + 1))::BIGINT AS x, sum((length(word) % 23) * (pos + 1))::BIGINT AS y FROM tokens GROUP BY 1, 2")
 def _(t):
     """Lines run through a modular program and back; the sums must be those of the lines themselves."""
-    v = corpus(t).withColumn("x", W.numeric_feature("word", "length"))
+    v = lined(t).withColumn("x", W.numeric_feature("word", "length"))
     by, m = ["doc_id", "line_no"], 23
     v = v.select(*by, "pos", programs.affine("x", by, "pos", 2, 3, 1, m).alias("a"), programs.running("x", by, "pos", -1, m).alias("r"))
     g = v.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "a", "r"))).alias("l"))
@@ -147,7 +147,7 @@ def _(t):
 
 @query("phase_offset_audit", TOK + """, m AS (SELECT lang, doc_id % 2 AS half, pos % 5 AS phase, avg(length(word)) AS x FROM tokens GROUP BY 1, 2, 3), b AS (SELECT lang, half, phase, row_number() OVER (PARTITION BY lang, half ORDER BY x DESC, phase) AS r FROM m) SELECT lang, max(CASE WHEN half = 0 THEN phase END)::INT AS even, max(CASE WHEN half = 1 THEN phase END)::INT AS odd, coalesce(max(CASE WHEN half = 0 THEN phase END) = max(CASE WHEN half = 1 THEN phase END), false) AS agree FROM b WHERE r = 1 GROUP BY 1""")
 def _(t):
-    m = corpus(t, "lang").groupBy("lang", (F.col("doc_id") % 2).alias("half"), (F.col("pos") % 5).alias("phase")).agg(F.avg(F.length("word")).alias("x"))
+    m = lined(t, "lang").groupBy("lang", (F.col("doc_id") % 2).alias("half"), (F.col("pos") % 5).alias("phase")).agg(F.avg(F.length("word")).alias("x"))
     b = m.withColumn("r", F.row_number().over(Window.partitionBy("lang", "half").orderBy(F.col("x").desc(), "phase"))).where("r = 1")
     side = lambda h: F.max(F.when(F.col("half") == h, F.col("phase"))).cast("int")
     return b.groupBy("lang").agg(side(0).alias("even"), side(1).alias("odd")).withColumn("agree", F.coalesce(F.col("even") == F.col("odd"), F.lit(False)))
@@ -158,7 +158,7 @@ m AS (SELECT *, sum(c) OVER (PARTITION BY source, before) AS a, sum(c) OVER (PAR
 def _(t):
     """What the last step between words (shorter, same, longer) says about the next one."""
     w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
-    d = corpus(t, "source").where("source is not null").withColumn("op", F.signum(F.length("word") - F.lag(F.length("word")).over(w)))
+    d = lined(t, "source").where("source is not null").withColumn("op", F.signum(F.length("word") - F.lag(F.length("word")).over(w)))
     p = d.withColumn("before", F.lag("op").over(w)).where("op is not null and before is not null")
     return info.mutual_information(p, "before", "op", ["source"]).select("source", r6("mi").alias("mi"))
 
@@ -170,7 +170,7 @@ _FEATURES = {"length": "length(word) % 5", "initial": "ascii(word) % 5", "final"
 SELECT lang, feature, h, r::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, feature) AS r FROM h) WHERE r <= 3""")
 def _(t):
     """Leaderboard of number streams by entropy; ties by name."""
-    c = corpus(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    c = bare(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
     x = {"length": F.length("word") % 5, "initial": F.ascii("word") % 5, "final": F.ascii(F.right("word", F.lit(1))) % 5, "letters": F.size(F.array_distinct(F.split("word", ""))) % 5}
     f = c.select("lang", "n", F.explode(F.create_map(*[y for k, v in x.items() for y in (F.lit(k), v)])).alias("feature", "x")).groupBy("lang", "feature", "x").agg(F.sum("n").cast("double").alias("c"))
     h = f.groupBy("lang", "feature").agg(r6(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"))
@@ -191,26 +191,26 @@ def _(t):
 @query("counter_subtraction", TOK + """, c AS (SELECT source, word, count(*) AS n FROM tokens WHERE source IS NOT NULL GROUP BY 1, 2), r AS (SELECT source, sum(n) OVER (PARTITION BY word) - n AS rest, n FROM c) SELECT source, count(*) AS types, count(*) FILTER (WHERE rest = 0) AS own_types, sum(n) FILTER (WHERE rest = 0)::BIGINT AS own_tokens, sum(rest)::BIGINT AS rest_tokens FROM r GROUP BY 1""")
 def _(t):
     """Counts of all sources less those of one: what remains of its words."""
-    c = corpus(t, "source").where("source is not null").groupBy("source", "word").agg(F.count("*").alias("n"))
+    c = bare(t, "source").where("source is not null").groupBy("source", "word").agg(F.count("*").alias("n"))
     r = c.join(c.groupBy("word").agg(F.sum("n").alias("all_")), "word").withColumn("rest", F.col("all_") - F.col("n"))
     own = F.col("rest") == 0
     return r.groupBy("source").agg(F.count("*").alias("types"), F.count(F.when(own, 1)).alias("own_types"), F.sum(F.when(own, F.col("n"))).alias("own_tokens"), F.sum("rest").alias("rest_tokens"))
 
 
-@query("shuffled_repeat_rate", TOK + """, h AS (SELECT lang, rep::INT AS rep, word, md5('mix|' || rep || '|' || doc_id || '|' || seq) AS h FROM tokens, range(3) r(rep)), a AS (SELECT lang, rep, word = lag(word) OVER (PARTITION BY lang, rep, substr(h, 1, 2) ORDER BY h) AS same FROM h) SELECT lang, rep, count(same) AS pairs, round(avg(CASE WHEN same THEN 1.0::DOUBLE WHEN NOT same THEN 0 END), 6) + 0.0 AS rate FROM a GROUP BY 1, 2""")
+@query("shuffled_repeat_rate", TOK + """, h AS (SELECT lang, rep::INT AS rep, word, md5('mix|' || rep || '|' || doc_id || '|' || seq) AS h FROM tokens, range(3) r(rep)), a AS (SELECT lang, rep, word = lag(word) OVER (PARTITION BY lang, rep ORDER BY h) AS same FROM h) SELECT lang, rep, count(same) AS pairs, round(avg(CASE WHEN same THEN 1.0::DOUBLE WHEN NOT same THEN 0 END), 6) + 0.0 AS rate FROM a GROUP BY 1, 2""")
 def _(t):
-    """Rate of equal neighbours after a shuffle of all words of a language; neighbours are counted inside stretches of the hash, so that no task holds a language."""
-    r = nulls.replicate(corpus(t, "lang").select("lang", "doc_id", "seq", "word"), 3)
+    """Rate of equal neighbours after a shuffle of all words of a language; stretches of the hash meet at their edges by a table of their own, so that no task holds a language."""
+    r = nulls.replicate(flow(t, "lang").select("lang", "doc_id", "seq", "word"), 3)
     h = r.withColumn("h", W.stable_hash("mix", F.col("rep").cast("string"), F.col("doc_id").cast("string"), F.col("seq").cast("string")))
-    same = F.col("word") == F.lag("word").over(Window.partitionBy("lang", "rep", F.substring("h", 1, 2)).orderBy("h"))
-    return h.withColumn("same", same).groupBy("lang", "rep").agg(F.count("same").alias("pairs"), r6(F.avg(F.col("same").cast("double"))).alias("rate"))
+    n = sequence.neighbours(h.select("lang", "rep", "h", "word"), ["lang", "rep"], F.substring("h", 1, 3), "h", "word")
+    return n.withColumn("same", F.col("word") == F.col("before")).groupBy("lang", "rep").agg(F.count("same").alias("pairs"), r6(F.avg(F.col("same").cast("double"))).alias("rate"))
 
 
 @query("line_shuffle_gap", TOK + """, s AS (SELECT -1 AS rep, doc_id, line_no, pos, word FROM tokens UNION ALL SELECT rep, doc_id, line_no, row_number() OVER (PARTITION BY rep, doc_id, line_no ORDER BY md5('ln|' || rep || '|' || doc_id || '|' || line_no || '|' || pos)) - 1, word FROM tokens, range(2) r(rep)), p AS (SELECT rep, word, lag(word) OVER (PARTITION BY rep, doc_id, line_no ORDER BY pos) AS before FROM s), c AS (SELECT rep, before, word, count(*)::DOUBLE AS c FROM p WHERE before IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT rep, before, sum(c) AS g, sum(c * log2(c)) AS s FROM c GROUP BY 1, 2)
 SELECT rep::INT AS rep, round(sum(g * log2(g) - s) / sum(g), 6) + 0.0 AS h FROM g GROUP BY 1""")
 def _(t):
     """Entropy of a word given the one before: the corpus (rep -1) and its lines shuffled."""
-    c = corpus(t).select("doc_id", "line_no", "pos", "word")
+    c = lined(t).select("doc_id", "line_no", "pos", "word")
     r = c.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("rep"))
     key = W.stable_hash("ln", *[F.col(k).cast("string") for k in ("rep", "doc_id", "line_no", "pos")])
     r = r.withColumn("k", F.when(F.col("rep") < 0, F.lpad(F.col("pos").cast("string"), 12, "0")).otherwise(key))
@@ -229,7 +229,7 @@ def _(t):
 @query("row_shuffle_similarity", TOK + """, l AS (SELECT doc_id, line_no, count(*) AS n FROM tokens GROUP BY 1, 2), s AS (SELECT -1 AS rep, doc_id, n, lpad(line_no::VARCHAR, 12, '0') AS k FROM l UNION ALL SELECT rep, doc_id, n, md5('row|' || rep || '|' || doc_id || '|' || line_no) FROM l, range(2) r(rep)), d AS (SELECT rep, abs(n - lag(n) OVER (PARTITION BY rep, doc_id ORDER BY k)) AS d FROM s) SELECT rep::INT AS rep, round(avg(d), 6) + 0.0 AS step FROM d GROUP BY 1""")
 def _(t):
     """Mean step of the line length from line to line: as written (rep -1) and with the lines of a document shuffled."""
-    l = corpus(t).groupBy("doc_id", "line_no").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("rep"))  # noqa: E741
+    l = lined(t).groupBy("doc_id", "line_no").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("rep"))  # noqa: E741
     k = F.when(F.col("rep") < 0, F.lpad(F.col("line_no").cast("string"), 12, "0")).otherwise(W.stable_hash("row", *[F.col(c).cast("string") for c in ("rep", "doc_id", "line_no")]))
     d = l.withColumn("k", k).withColumn("d", F.abs(F.col("n") - F.lag("n").over(Window.partitionBy("rep", "doc_id").orderBy("k"))))
     return d.groupBy("rep").agg(r6(F.avg("d")).alias("step"))
@@ -247,7 +247,7 @@ def _(t):
 @query("random_cuts", TOK + """, l AS (SELECT doc_id, line_no, count(*) AS n FROM tokens GROUP BY 1, 2), r AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY md5('cut|' || doc_id || '|' || line_no), line_no) AS r FROM l WHERE line_no > 0) SELECT doc_id, array_to_string(list(line_no ORDER BY line_no), ' ') AS cuts FROM r WHERE r <= 3 GROUP BY 1""")
 def _(t):
     """Three line breaks of each document drawn as section limits."""
-    l = corpus(t).where("line_no > 0").select("doc_id", "line_no").distinct()  # noqa: E741
+    l = lined(t).where("line_no > 0").select("doc_id", "line_no").distinct()  # noqa: E741
     cut = nulls.subsample(l.withColumn("k", F.concat_ws("|", "doc_id", "line_no")), "k", ["doc_id"], 3, "cut")
     return cut.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("line_no")).cast("array<string>"), " ").alias("cuts"))
 
@@ -255,7 +255,7 @@ def _(t):
 @query("random_phase_origin", TOK + f""", p AS (SELECT rep, substr(word, 1, 1) AS g, (pos + floor({_u("'org|' || rep || '|' || doc_id || '|' || line_no")} * 5)::BIGINT) % 5 AS phase FROM tokens, range(4) r(rep)), c AS (SELECT rep, phase, g, count(*)::DOUBLE AS c FROM p GROUP BY 1, 2, 3), m AS (SELECT *, sum(c) OVER (PARTITION BY rep, phase) AS a, sum(c) OVER (PARTITION BY rep, g) AS b, sum(c) OVER (PARTITION BY rep) AS n FROM c) SELECT rep::INT AS rep, round(sum(c / n * log2(c * n / (a * b))), 6) + 0.0 AS mi FROM m GROUP BY 1""")
 def _(t):
     """Initials against the place modulo five, the origin of each line drawn at random."""
-    r = nulls.replicate(corpus(t).select("doc_id", "line_no", "pos", F.substring("word", 1, 1).alias("g")), 4)
+    r = nulls.replicate(lined(t).select("doc_id", "line_no", "pos", F.substring("word", 1, 1).alias("g")), 4)
     start = F.floor(W.uniform("org", *[F.col(k).cast("string") for k in ("rep", "doc_id", "line_no")]) * 5)
     return info.mutual_information(r.withColumn("phase", (F.col("pos") + start) % 5), "phase", "g", ["rep"]).select("rep", r6("mi").alias("mi"))
 
@@ -263,7 +263,7 @@ def _(t):
 @query("symbol_permutation", TOK + ", l AS (" + _LETTERS.format(k="doc_id % 2 AS half") + """), c AS (SELECT half, g, count(*) AS n FROM l GROUP BY 1, 2), k AS (SELECT half, g, n, row_number() OVER (PARTITION BY half ORDER BY g) AS a, row_number() OVER (PARTITION BY half ORDER BY md5('key|' || half || '|' || g)) AS b FROM c) SELECT x.half, x.g AS plain, y.g AS cipher, x.n FROM k x JOIN k y ON x.half = y.half AND x.a = y.b""")
 def _(t):
     """A random key of the alphabet for each half of the documents."""
-    c = _letters(corpus(t).withColumn("half", F.col("doc_id") % 2), "half").withColumnRenamed("c", "n")
+    c = _letters(bare(t).withColumn("half", F.col("doc_id") % 2), "half").withColumnRenamed("c", "n")
     w = Window.partitionBy("half")
     k = c.withColumns({"a": F.row_number().over(w.orderBy("g")), "b": F.row_number().over(w.orderBy(W.stable_hash("key", F.col("half").cast("string"), F.col("g"))))})
     return k.select("half", F.col("g").alias("plain"), "n", "a").join(k.select("half", F.col("g").alias("cipher"), F.col("b").alias("a")), ["half", "a"]).select("half", "plain", "cipher", "n")
@@ -310,7 +310,7 @@ def _(t):
 SELECT lang, source, word, round(log2((c + 5 * all_c / all_n) / (n + 5)) - log2((all_c + 0.5::DOUBLE) / (all_n + 1)), 6) + 0.0 AS score FROM c JOIN n USING (lang, source) JOIN p USING (lang, word) JOIN q USING (lang) WHERE c >= 5""")
 def _(t):
     """Words of a source by log odds of their incidence, shrunk to that of the language by five pseudo-documents."""
-    d = corpus(t, "lang", "source").where("source is not null").select("doc_id", "lang", "source", "word").distinct()
+    d = bare(t, "lang", "source").where("source is not null").select("doc_id", "lang", "source", "word").distinct()
     n = d.select("doc_id", "lang", "source").distinct().groupBy("lang", "source").agg(F.count("*").alias("n"))
     c = d.groupBy("lang", "source", "word").agg(F.count("*").alias("c"))
     p = c.groupBy("lang", "word").agg(F.sum("c").alias("all_c"))
@@ -322,7 +322,7 @@ def _(t):
 @query("phase_multipliers", TOK + """, c AS (SELECT pos % 5 AS phase, substr(word, 1, 1) AS g, count(*)::DOUBLE AS c FROM tokens GROUP BY 1, 2), m AS (SELECT *, sum(c) OVER (PARTITION BY phase) * sum(c) OVER (PARTITION BY g) / sum(c) OVER () AS e FROM c) SELECT phase::INT AS phase, g, round((c + 24) / (e + 24), 6) + 0.0 AS multiplier FROM m""")
 def _(t):
     """Observed over expected initials at each phase, shrunk by 24 expected counts."""
-    c = corpus(t).groupBy((F.col("pos") % 5).cast("int").alias("phase"), F.substring("word", 1, 1).alias("g")).agg(F.count("*").cast("double").alias("c"))
+    c = lined(t).groupBy((F.col("pos") % 5).cast("int").alias("phase"), F.substring("word", 1, 1).alias("g")).agg(F.count("*").cast("double").alias("c"))
     m = c.join(c.groupBy("phase").agg(F.sum("c").alias("a")), "phase").join(c.groupBy("g").agg(F.sum("c").alias("b")), "g").join(F.broadcast(c.agg(F.sum("c").alias("n"))))
     return m.select("phase", "g", r6((F.col("c") + 24) / (F.col("a") * F.col("b") / F.col("n") + 24)).alias("multiplier"))
 
@@ -331,7 +331,7 @@ def _(t):
 SELECT lang, alpha, round(test, 6) + 0.0 AS test FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(valid, 9), alpha) AS r FROM a) WHERE r = 1""")
 def _(t):
     """Smoothing chosen by the second fold of documents alone, reported on the third."""
-    c = _letters(corpus(t, "lang").withColumn("fold", F.col("doc_id") % 3), "lang", "fold")
+    c = _letters(bare(t, "lang").withColumn("fold", F.col("doc_id") % 3), "lang", "fold")
     c = c.groupBy("lang", "g").pivot("fold", [0, 1, 2]).agg(F.sum("c").cast("double")).na.fill(0.0).toDF("lang", "g", "f", "v", "s")
     w = Window.partitionBy("lang")
     a = c.withColumns({"n": F.sum("f").over(w), "k": F.count("*").over(w)}).select("*", F.explode(F.array(*map(F.lit, (0.1, 1.0, 10.0, 100.0)))).alias("alpha"))
@@ -344,7 +344,7 @@ def _(t):
 SELECT a.lang AS fitted, t.lang AS target, round(sum(-t.c * log2((coalesce(f.c, 0) + 0.5::DOUBLE) / (a.n + 0.5::DOUBLE * v))) / sum(t.c), 6) + 0.0 AS bits FROM n a JOIN c t ON true LEFT JOIN c f ON f.lang = a.lang AND f.g = t.g, v GROUP BY 1, 2""")
 def _(t):
     """Letters of each language by the model of each language."""
-    c = _letters(corpus(t, "lang").where("lang is not null"), "lang").withColumn("c", F.col("c").cast("double"))
+    c = _letters(bare(t, "lang").where("lang is not null"), "lang").withColumn("c", F.col("c").cast("double"))
     n = c.groupBy("lang").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("m"))  # a row and an alphabet for each language
     v = c.agg(F.count_distinct("g").alias("v"))
     s = c.withColumnRenamed("lang", "target").crossJoin(F.broadcast(n.withColumnRenamed("lang", "fitted"))).crossJoin(F.broadcast(v))
@@ -356,12 +356,12 @@ def _(t):
 def _(t):
     """A counter of letters modulo seven that starts anew on each line; `streaming.caches.modular_counter` is its twin."""
     w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
-    return corpus(t).select("doc_id", "line_no", "pos", (F.sum(F.length("word")).over(w) % 7).cast("int").alias("counter"))
+    return lined(t).select("doc_id", "line_no", "pos", (F.sum(F.length("word")).over(w) % 7).cast("int").alias("counter"))
 
 
 @query("feature_bits", TOK + """, b AS (SELECT lang, unnest(['even', 'vowel_first', 'vowel_last', 'repeats']) AS feature, unnest([length(word) % 2 = 0, substr(word, 1, 1) IN ('a','e','i','o','u'), right(word, 1) IN ('a','e','i','o','u'), len(list_distinct(string_split(word, ''))) < length(word)]) AS bit FROM tokens) SELECT lang, feature, count(*) AS n, count(*) FILTER (WHERE bit) AS ones FROM b GROUP BY 1, 2""")
 def _(t):
-    c = corpus(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    c = bare(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
     vowel = lambda x: x.isin(*"aeiou")
     bits = {"even": F.length("word") % 2 == 0, "vowel_first": vowel(F.substring("word", 1, 1)), "vowel_last": vowel(F.right("word", F.lit(1))), "repeats": F.size(F.array_distinct(F.split("word", ""))) < F.length("word")}
     b = c.select("lang", "n", F.explode(F.create_map(*[y for k, v in bits.items() for y in (F.lit(k), v)])).alias("feature", "bit"))
@@ -370,7 +370,7 @@ def _(t):
 
 @query("slot_streams", _SLOTS + """, s AS (SELECT lang, stream, x FROM (SELECT lang, unnest(['prefix', 'suffix', 'pair', 'mixed', 'mixed']) AS stream, unnest([prefix, suffix, prefix || '|' || suffix, prefix, suffix]) AS x FROM slots)), c AS (SELECT lang, stream, x, count(*)::DOUBLE AS c FROM s GROUP BY 1, 2, 3) SELECT lang, stream, sum(c)::BIGINT AS n, count(*) AS symbols, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) + 0.0 AS h FROM c GROUP BY 1, 2""")
 def _(t):
-    c = slots(corpus(t, "lang"), "lang").groupBy("lang", "prefix", "suffix").agg(F.count("*").alias("n"))
+    c = slots(bare(t, "lang"), "lang").groupBy("lang", "prefix", "suffix").agg(F.count("*").alias("n"))
     kinds = [("prefix", F.col("prefix")), ("suffix", F.col("suffix")), ("pair", F.concat("prefix", F.lit("|"), "suffix")), ("mixed", F.col("prefix")), ("mixed", F.col("suffix"))]
     s = c.select("lang", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("stream"), v.alias("x")) for k, v in kinds])).alias("s")).groupBy("lang", "s.stream", "s.x").agg(F.sum("n").cast("double").alias("c"))
     return s.groupBy("lang", "stream").agg(F.sum("c").cast("long").alias("n"), F.count("*").alias("symbols"), r6(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"))
@@ -412,7 +412,7 @@ def _(t):
 @query("balanced_folds")
 def _(t):
     """Sources dealt to four folds of about equal size, largest first; a greedy loop over one row for each source."""
-    sizes = corpus(t, "source").where("source is not null").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()
+    sizes = bare(t, "source").where("source is not null").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()
     folds = search.greedy_folds([(r["source"], r["n"]) for r in sizes], 4)
     return t.spark.createDataFrame([(r["source"], r["n"], folds[r["source"]]) for r in sizes], "source string, n long, fold int")
 
@@ -420,7 +420,7 @@ def _(t):
 @query("mixture_bits")
 def _(t):
     """Weights by expectation-maximisation of letter models of two neighbours in a line: by language, by initial, uniform."""
-    p = corpus(t, "lang").groupBy("lang", F.substring("word", 1, 1).alias("a"), F.right("word", F.lit(1)).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    p = bare(t, "lang").groupBy("lang", F.substring("word", 1, 1).alias("a"), F.right("word", F.lit(1)).alias("b")).agg(F.count("*").cast("double").alias("n"))
     w = Window
     share = lambda *k: F.sum("n").over(w.partitionBy(*k, "b")) / F.sum("n").over(w.partitionBy(*k))
     c = p.withColumns({"p_lang": share("lang"), "p_initial": share("a"), "p_flat": F.lit(1 / 64)})

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import words as W
-from lexiloom.operators import edits, generate, info, nulls, search, state
+from lexiloom.operators import edits, generate, info, nulls, search, sequence, state
 from lexiloom.operators.info import r6
 from lexiloom.plans.base import CTOK, TOK, query, slots_sql
 from lexiloom.plans.joins import _letters
-from lexiloom.plans.lexical import corpus, slots
+from lexiloom.plans.lexical import bare, flow, lined, slots
 
 _SLOTS = TOK + "," + slots_sql("tokens")
 _BUCKET = "CASE WHEN length(word) <= 3 THEN 'short' WHEN length(word) <= 5 THEN 'medium' WHEN length(word) <= 7 THEN 'long' ELSE 'very_long' END"
@@ -23,7 +23,7 @@ array_to_string(list_filter(string_split(word, ''), lambda x, i: i % 2 = 1), '')
 substr(word, (length(word) - 1) // 2 + 1, 1) AS middle, translate(word, 'abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba') AS mirror, (length(word) % 23)::INT AS length23,
 floor(log2(length(word)))::INT AS length_bin, md5('k|' || word) AS hash FROM v""")
 def _(t):
-    v = corpus(t).select("word").distinct()
+    v = bare(t).select("word").distinct()
     c = W.choose_letters
     return v.select(
         "word", W.length_bucket("word").alias("bucket"), W.has_gallows("word").alias("gallows"), W.benched_gallows("word").alias("benched"), W.plain_bench("word").alias("bench"), F.array_join(W.glyph_units("word"), " ").alias("units"),
@@ -37,14 +37,14 @@ SELECT word, CASE WHEN core = '' THEN '<empty>' ELSE core END AS core, CASE WHEN
 prefix <> '' AS has_prefix, suffix <> '' AS has_suffix, least(length(word), 8)::INT AS length, array_to_string(list_filter([prefix, '#' || core, suffix], lambda x: x NOT IN ('', '#')), ' ') AS morphs,
 CASE WHEN prefix = '' THEN '-' ELSE prefix END || ':' || CASE WHEN suffix = '' THEN '-' ELSE suffix END AS signature FROM v""")
 def _(t):
-    v = corpus(t).select("word").distinct()
+    v = bare(t).select("word").distinct()
     s = W.affix_shape("word")
     return v.select("word", W.core_or_empty("word").alias("core"), W.affix_pair("word").alias("affixes"), s["prefix"].alias("has_prefix"), s["suffix"].alias("has_suffix"), s["length"].alias("length"), F.array_join(W.morphs("word"), " ").alias("morphs"), W.signature("word", "affixes").alias("signature"))
 
 
 @query("letter_ngrams", TOK + """, g AS (SELECT k, substr('^' || word || '$', i, k) AS g FROM (SELECT word, k, unnest(range(1, length(word) + 4 - k)) AS i FROM tokens, (SELECT unnest([2, 3]) AS k))) SELECT k::INT AS k, g, count(*) AS n FROM g WHERE length(g) = k GROUP BY 1, 2 HAVING count(*) >= 20""")
 def _(t):
-    c = corpus(t).groupBy("word").agg(F.count("*").alias("n"))
+    c = bare(t).groupBy("word").agg(F.count("*").alias("n"))
     sized = lambda k: F.transform(W.ngrams("word", k, pad=True), lambda g: F.struct(F.lit(k).alias("k"), g.alias("g")))
     g = c.select("n", F.explode(F.concat(*map(sized, (2, 3)))).alias("x"))
     return g.groupBy("x.k", "x.g").agg(F.sum("n").alias("n")).where("n >= 20")
@@ -53,7 +53,7 @@ def _(t):
 @query("line_edge_kl", TOK + """, f AS (SELECT substr(word, 1, 1) AS g, pos = 0 AS first, pos = n_line - 1 AS last FROM tokens), p AS (SELECT g, count(*) FILTER (WHERE first) AS a, count(*) FILTER (WHERE last) AS b, count(*) AS c FROM f GROUP BY 1), n AS (SELECT sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, sum(c)::DOUBLE AS nc FROM p)
 SELECT round(sum(CASE WHEN a > 0 THEN a / na * log2((a / na) / (c / nc + 1e-9::DOUBLE)) ELSE 0 END), 6) + 0.0 AS kl_first, round(sum(CASE WHEN b > 0 THEN b / nb * log2((b / nb) / (c / nc + 1e-9::DOUBLE)) ELSE 0 END), 6) + 0.0 AS kl_last FROM p, n""")
 def _(t):
-    f = corpus(t).select(F.substring("word", 1, 1).alias("g"), (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("n_line") - 1).alias("last"))
+    f = lined(t).select(F.substring("word", 1, 1).alias("g"), (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("n_line") - 1).alias("last"))
     k = lambda c: info.kl(f.where(c), f, "g", "support", name="kl_" + c)
     return k("first").join(F.broadcast(k("last"))).select(r6("kl_first").alias("kl_first"), r6("kl_last").alias("kl_last"))
 
@@ -62,14 +62,14 @@ def _(t):
 b AS (SELECT coalesce(p.ctx, q.ctx) AS ctx, coalesce(p.c / p.t, 0) AS x, coalesce(q.c / q.t, 0) AS y, p.t AS pt, q.t AS qt FROM p FULL JOIN q ON p.ctx = q.ctx AND p.s = q.s),
 d AS (SELECT ctx, sum(abs(x - y)) / 2 AS d, coalesce(max(pt), 0) + coalesce(max(qt), 0) AS w, max(pt) IS NULL OR max(qt) IS NULL AS alone FROM b GROUP BY 1) SELECT round(sum((CASE WHEN alone THEN 1 ELSE d END) * w) / sum(w), 6) + 0.0 AS tv FROM d""")
 def _(t):
-    h = corpus(t).groupBy((F.col("doc_id") % 2).alias("side"), F.substring("word", 1, 1).alias("ctx"), F.right("word", F.lit(1)).alias("s")).agg(F.count("*").alias("c"))
+    h = bare(t).groupBy((F.col("doc_id") % 2).alias("side"), F.substring("word", 1, 1).alias("ctx"), F.right("word", F.lit(1)).alias("s")).agg(F.count("*").alias("c"))
     return info.total_variation(h.where("side = 0").drop("side"), h.where("side = 1").drop("side"), ["ctx"], "s").select(r6("tv").alias("tv"))
 
 
 @query("redundancy_by_source", TOK + """, u AS (SELECT source, list_concat(list_concat(['^'], string_split(word, '')), ['$']) AS u FROM tokens), b AS (SELECT source, u[i] AS x, u[i + 1] AS y FROM (SELECT source, u, unnest(range(1, len(u))) AS i FROM u)), c AS (SELECT source, x, y, count(*)::DOUBLE AS c FROM b GROUP BY 1, 2, 3),
 p AS (SELECT source, x, sum(c) AS m, sum(c * log2(c)) AS s FROM c GROUP BY 1, 2), h AS (SELECT source, sum(m * log2(m) - s) / sum(m) AS h FROM p GROUP BY 1), a AS (SELECT source, log2(count(DISTINCT y)) AS a FROM c WHERE y <> '$' GROUP BY 1) SELECT source, round((a - h) / a, 6) + 0.0 AS redundancy FROM h JOIN a USING (source)""")
 def _(t):
-    u = corpus(t, "source").select("source", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
+    u = bare(t, "source").select("source", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
     p = u.select("source", F.explode(W.ngrams("w", 2)).alias("g")).select("source", F.substring("g", 1, 1).alias("x"), F.substring("g", 2, 1).alias("y"))
     h = info.conditional_entropy(p, ["y"], ["x"], ["source"])
     a = p.where("y <> '$'").select("source", "y").distinct().groupBy("source").agg(F.log2(F.count("*").cast("double")).alias("a"))
@@ -78,7 +78,7 @@ def _(t):
 
 @query("within_between_sections", TOK + """, p AS (SELECT source, lang, avg(length(word)) AS x FROM tokens GROUP BY 1, 2), d AS (SELECT a.lang = b.lang AS same, abs(a.x - b.x) AS d FROM p a JOIN p b ON (a.source, a.lang) < (b.source, b.lang)) SELECT round(avg(d) FILTER (WHERE same), 6) + 0.0 AS within, round(avg(d) FILTER (WHERE NOT same), 6) + 0.0 AS between, round(avg(d) FILTER (WHERE same) / avg(d) FILTER (WHERE NOT same), 6) + 0.0 AS ratio FROM d""")
 def _(t):
-    p = corpus(t, "source", "lang").groupBy("source", "lang").agg(F.avg(F.length("word")).alias("x")).withColumn("k", F.struct("source", "lang"))
+    p = bare(t, "source", "lang").groupBy("source", "lang").agg(F.avg(F.length("word")).alias("x")).withColumn("k", F.struct("source", "lang"))
     # a row for each source and language: a dimension-sized pair table
     d = p.alias("a").join(p.alias("b"), F.col("a.k") < F.col("b.k")).select((F.col("a.lang") == F.col("b.lang")).alias("same"), F.abs(F.col("a.x") - F.col("b.x")).alias("d"))
     w, b = F.avg(F.when(F.col("same"), F.col("d"))), F.avg(F.when(~F.col("same"), F.col("d")))
@@ -87,13 +87,13 @@ def _(t):
 
 @query("micro_macro_bits", TOK + """, b AS (SELECT source, count(*) AS n, sum(length(word) * 1.0::DOUBLE) AS s FROM tokens GROUP BY 1) SELECT round(sum(s) / sum(n), 6) + 0.0 AS micro, round(avg(s / n), 6) + 0.0 AS macro FROM b""")
 def _(t):
-    b = corpus(t, "source").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("word").cast("double")).alias("s"))
+    b = bare(t, "source").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("word").cast("double")).alias("s"))
     return b.agg(r6(F.sum("s") / F.sum("n")).alias("micro"), r6(F.avg(F.col("s") / F.col("n"))).alias("macro"))
 
 
 @query("residual_autocorrelation", TOK + """, r AS (SELECT doc_id, line_no, pos, length(word) - avg(length(word)) OVER (PARTITION BY source, least(pos, 4)) AS r FROM tokens), l AS (SELECT r, lag(r) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS b FROM r) SELECT count(b) AS n, round(corr(r, b), 6) + 0.0 AS r FROM l""")
 def _(t):
-    c = corpus(t, "source").select("doc_id", "line_no", "pos", F.coalesce("source", F.lit("\0")).alias("source"), F.length("word").alias("n"), F.least(F.col("pos"), F.lit(4)).alias("place"))
+    c = lined(t, "source").select("doc_id", "line_no", "pos", F.coalesce("source", F.lit("\0")).alias("source"), F.length("word").alias("n"), F.least(F.col("pos"), F.lit(4)).alias("place"))
     mean = c.groupBy("source", "place").agg(F.avg("n").alias("mean"))  # five rows for each source
     r = c.join(mean, ["source", "place"]).withColumn("r", F.col("n") - F.col("mean"))
     b = r.withColumn("b", F.lag("r").over(Window.partitionBy("doc_id", "line_no").orderBy("pos")))
@@ -102,7 +102,7 @@ def _(t):
 
 @query("drift_from_first_line", TOK + """, m AS (SELECT doc_id, line_no, avg(length(word)) AS x FROM tokens GROUP BY 1, 2), f AS (SELECT doc_id, arg_min(x, line_no) AS x0 FROM m GROUP BY 1), d AS (SELECT doc_id, line_no, abs(x - x0) AS d FROM m JOIN f USING (doc_id)) SELECT doc_id, round(regr_slope(d, line_no), 6) + 0.0 AS slope FROM d GROUP BY 1 HAVING count(*) >= 4""")
 def _(t):
-    m = corpus(t).groupBy("doc_id", "line_no").agg(F.avg(F.length("word")).alias("x"))
+    m = lined(t).groupBy("doc_id", "line_no").agg(F.avg(F.length("word")).alias("x"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = m.withColumn("d", F.abs(F.col("x") - F.first("x").over(w)))
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), r6(F.regr_slope("d", "line_no")).alias("slope")).where("n >= 4").select("doc_id", "slope")
@@ -111,24 +111,26 @@ def _(t):
 @query("rank_parity_bits", TOK + """, c AS (SELECT source, substr(word, 1, 1) AS ctx, word, count(*) AS n FROM tokens GROUP BY 1, 2, 3), k AS (SELECT ctx, word, sum(n) AS n FROM c GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY n DESC, word) AS r, count(*) OVER (PARTITION BY ctx) AS k, sum(n) OVER (PARTITION BY ctx) AS t FROM k)
 SELECT ctx, word, ((r - 1) % 2)::INT AS bit FROM g WHERE t >= 50 AND k >= 2""")
 def _(t):
-    k = corpus(t).groupBy(F.substring("word", 1, 1).alias("ctx"), "word").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("ctx")
-    g = k.withColumns({"r": F.row_number().over(w.orderBy(F.col("n").desc(), "word")), "k": F.count("*").over(w), "t": F.sum("n").over(w)})
-    return g.where("t >= 50 and k >= 2").select("ctx", "word", ((F.col("r") - 1) % 2).alias("bit"))
+    k = bare(t).groupBy(F.substring("word", 1, 1).alias("ctx"), "word").agg(F.count("*").alias("n"))
+    size = k.groupBy("ctx").agg(F.count("*").alias("k"), F.sum("n").alias("t")).where("t >= 50 and k >= 2")  # a row for each letter
+    r = sequence.ranks(k, ["ctx"], F.struct(-F.col("n"), F.substring("word", 1, 3)), [F.col("n").desc(), "word"], "r")
+    return r.join(F.broadcast(size), "ctx").select("ctx", "word", ((F.col("r") - 1) % 2).cast("int").alias("bit"))
 
 
-@query("frequency_rank_decode", TOK + """, a AS (SELECT substr(w, i, 1) AS g, count(*) AS n FROM (SELECT word AS w, unnest(range(1, length(word) + 1)) AS i FROM tokens WHERE lang = 'fr') GROUP BY 1), b AS (SELECT substr(w, i, 1) AS g, count(*) AS n FROM (SELECT word AS w, unnest(range(1, length(word) + 1)) AS i FROM tokens WHERE lang = 'en') GROUP BY 1),
-x AS (SELECT g, row_number() OVER (ORDER BY n DESC, g) AS r FROM a), y AS (SELECT g, row_number() OVER (ORDER BY n DESC, g) AS r FROM b) SELECT x.g AS cipher, y.g AS plain FROM x JOIN y USING (r)""")
+@query("frequency_rank_decode", TOK + """, a AS (SELECT lang, substr(w, i, 1) AS g, count(*) AS n FROM (SELECT lang, word AS w, unnest(range(1, length(word) + 1)) AS i FROM tokens WHERE lang IS NOT NULL) GROUP BY 1, 2),
+x AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM a) SELECT x.lang AS cipher_lang, y.lang AS plain_lang, x.g AS cipher, y.g AS plain FROM x JOIN x y ON x.r = y.r AND x.lang <> y.lang""")
 def _(t):
-    c = corpus(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n")).select("lang", "n", F.explode(F.split("word", "")).alias("g"))
+    c = bare(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n")).select("lang", "n", F.explode(F.split("word", "")).alias("g"))
     c = c.groupBy("lang", "g").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "g")))
-    return c.where("lang = 'fr'").select(F.col("g").alias("cipher"), "r").join(c.where("lang = 'en'").select(F.col("g").alias("plain"), "r"), "r").select("cipher", "plain")
+    c = c.where("lang is not null")  # alphabets
+    a, b = c.select(F.col("lang").alias("cipher_lang"), F.col("g").alias("cipher"), "r"), c.select(F.col("lang").alias("plain_lang"), F.col("g").alias("plain"), "r")
+    return a.join(b, "r").where("cipher_lang <> plain_lang").select("cipher_lang", "plain_lang", "cipher", "plain")
 
 
 @query("bpe_first_merges")
 def _(t):
     """The merges in order; an iteration that SQL has no form of. tests/test_search.py compares it with brute force."""
-    done, _ = search.bpe_merges(corpus(t).select("word"), 6)
+    done, _ = search.bpe_merges(bare(t).select("word"), 6)
     return t.spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(done)], "i int, a string, b string")
 
 
@@ -136,7 +138,7 @@ def _(t):
 def _(t):
     """Edit scripts from each word to the next one in its line: renderings by frequency. Alignments have no SQL form."""
     nxt = F.lead("word").over(Window.partitionBy("doc_id", "line_no").orderBy("pos"))
-    p = corpus(t).select(F.col("word").alias("source"), nxt.alias("target")).where("target is not null and levenshtein(source, target) <= 3").groupBy("source", "target").agg(F.count("*").alias("n"))
+    p = lined(t).select(F.col("word").alias("source"), nxt.alias("target")).where("target is not null and levenshtein(source, target) <= 3").groupBy("source", "target").agg(F.count("*").alias("n"))
     a = edits.align(p)
     return a.select("n", edits.render(F.col("ops"), F.col("source"), F.col("target"), "operation_position").alias("symbol")).groupBy("symbol").agg(F.sum("n").alias("n"))
 
@@ -147,41 +149,42 @@ p AS (SELECT core, prefix, sum(n) OVER (PARTITION BY core ORDER BY prefix) / (su
 q AS (SELECT core, suffix, sum(n) OVER (PARTITION BY core ORDER BY suffix) / (sum(n) OVER (PARTITION BY core))::DOUBLE AS hi FROM (SELECT core, suffix, count(*) AS n FROM s GROUP BY 1, 2)), ql AS (SELECT core, suffix, coalesce(lag(hi) OVER (PARTITION BY core ORDER BY suffix), 0) AS lo, hi FROM q)
 SELECT a.i, pl.prefix || cl.core || ql.suffix AS word FROM h a JOIN cl ON a.p = 'core' AND a.u >= cl.lo AND a.u < cl.hi JOIN h b ON b.i = a.i AND b.p = 'prefix' JOIN pl ON pl.core = cl.core AND b.u >= pl.lo AND b.u < pl.hi JOIN h d ON d.i = a.i AND d.p = 'suffix' JOIN ql ON ql.core = cl.core AND d.u >= ql.lo AND d.u < ql.hi""")
 def _(t):
-    return generate.schema_words(slots(corpus(t)), 300, "gen")
+    return generate.schema_words(slots(bare(t)), 300, "gen")
 
 
 @query("homophonic_symbols", TOK + """, l AS (SELECT doc_id, seq, i, substr(word, i, 1) AS g FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM tokens)) SELECT g || floor(('0x' || substr(md5('hom|' || doc_id || '|' || seq || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 3)::INT AS symbol, count(*) AS n FROM l GROUP BY 1""")
 def _(t):
-    l = corpus(t).select("doc_id", "seq", F.posexplode(F.split("word", "")).alias("i", "g")).withColumn("i", F.col("i") + 1)
+    l = flow(t).select("doc_id", "seq", F.posexplode(F.split("word", "")).alias("i", "g")).withColumn("i", F.col("i") + 1)
     return generate.homophonic(l, "g", [F.col("doc_id"), F.col("seq"), F.col("i")], 3, "hom").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query("markov_words")
 def _(t):
     """Words of an order-2 letter chain and whether the corpus has them: share by replicate. Sequential draws have no SQL form."""
-    c = corpus(t)
-    m = generate.markov_words(c.where("lang = 'en'"), 2, 500, 2, "mk")
-    seen = c.where("lang = 'en'").select("word").distinct().withColumn("known", F.lit(1))
+    c = bare(t)
+    m = generate.markov_words(c, 2, 500, 2, "mk")
+    seen = c.select("word").distinct().withColumn("known", F.lit(1))
     return m.join(seen, "word", "left").groupBy("rep").agg(F.count("*").alias("n"), F.count("known").alias("known"))
 
 
 @query("fold_assignment", TOK + """, b AS (SELECT source, dense_rank() OVER (ORDER BY source) - 1 AS r FROM (SELECT DISTINCT source FROM tokens)) SELECT source, (r % 4)::INT AS fold, ((r + 1) % 4)::INT AS validates FROM b""")
 def _(t):
-    b = corpus(t, "source").select("source").distinct()
+    b = bare(t, "source").select("source").distinct()
     r = F.dense_rank().over(Window.orderBy("source")) - 1  # one row for each source
     return b.select("source", (r % 4).cast("int").alias("fold"), ((r + 1) % 4).cast("int").alias("validates"))
 
 
 @query("stratified_folds", "WITH l AS (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL) SELECT doc_id, quality, ((row_number() OVER (PARTITION BY quality ORDER BY md5('cv|' || doc_id), doc_id) - 1) % 5)::INT AS fold FROM l")
 def _(t):
-    w = Window.partitionBy("quality").orderBy(W.stable_hash("cv", F.col("doc_id").cast("string")), "doc_id")
-    return t.labels.where("quality is not null").select("doc_id", "quality", ((F.row_number().over(w) - 1) % 5).cast("int").alias("fold"))
+    l = t.labels.where("quality is not null").select("doc_id", "quality", W.stable_hash("cv", F.col("doc_id").cast("string")).alias("h"))  # noqa: E741
+    r = sequence.ranks(l, ["quality"], F.substring("h", 1, 3), ["h", "doc_id"], "r")
+    return r.select("doc_id", "quality", ((F.col("r") - 1) % 5).cast("int").alias("fold"))
 
 
 @query("sign_test", TOK + """, h AS (SELECT source, avg(length(word)) FILTER (WHERE pos = 0) - avg(length(word)) FILTER (WHERE pos > 0) AS d FROM tokens GROUP BY 1), s AS (SELECT count(*) FILTER (WHERE d <> 0) AS n, count(*) FILTER (WHERE d > 0) AS k FROM h),
 f AS (SELECT n, k, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) AS p FROM s, range(0, 60) r(i) WHERE i >= k AND i <= n) SELECT any_value(n) AS n, any_value(k) AS positive, round(sum(p), 6) + 0.0 AS p FROM f""")
 def _(t):
-    h = corpus(t, "source").groupBy("source").agg((F.avg(F.when(F.col("pos") == 0, F.length("word"))) - F.avg(F.when(F.col("pos") > 0, F.length("word")))).alias("d"))
+    h = lined(t, "source").groupBy("source").agg((F.avg(F.when(F.col("pos") == 0, F.length("word"))) - F.avg(F.when(F.col("pos") > 0, F.length("word")))).alias("d"))
     s = h.agg(F.count(F.when(F.col("d") != 0, 1)).alias("n"), F.count(F.when(F.col("d") > 0, 1)).alias("positive"))
     fact = lambda x: F.aggregate(F.when(x > 0, F.sequence(F.lit(1), x)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.log(i))
     tail = F.aggregate(F.sequence("positive", "n"), F.lit(0.0), lambda a, i: a + F.exp(fact(F.col("n")) - fact(i) - fact(F.col("n") - i) - F.col("n") * F.log(F.lit(2.0))))

@@ -9,21 +9,21 @@ from lexiloom.functions import words as W
 from lexiloom.operators import info, models, nulls, pairs, sequence, state
 from lexiloom.operators.info import r6
 from lexiloom.operators.tokens import tokens
-from lexiloom.plans.base import CTOK, TOK, query, slots_sql
-from lexiloom.plans.lexical import corpus, slots
+from lexiloom.plans.base import CTOK, TOK, WORD, query, slots_sql
+from lexiloom.plans.lexical import bare, corpus, flow, lined, slots
 
 _SLOTS = TOK + "," + slots_sql("tokens")
 
 
-@query("semi_twin_words", TOK + ", v AS (SELECT DISTINCT word FROM tokens) SELECT word FROM v WHERE length(word) > 2 AND substr(word, 2) IN (SELECT word FROM v)")
+@query("semi_twin_words", TOK + ", v AS (SELECT DISTINCT word FROM tokens) SELECT v.word FROM v SEMI JOIN v t ON t.word = substr(v.word, 2) WHERE length(v.word) > 2")
 def _(t):
-    v = corpus(t).select("word").distinct()
+    v = bare(t).select("word").distinct()
     return v.where(F.length("word") > 2).join(v.select(F.col("word").alias("twin")), F.expr("substring(word, 2)") == F.col("twin"), "left_semi")
 
 
 @query("anti_label_vocab", TOK + ", o AS (SELECT DISTINCT word FROM tokens WHERE seq = 0) SELECT word FROM o WHERE word NOT IN (SELECT word FROM tokens WHERE seq > 0)")
 def _(t):
-    c = corpus(t)
+    c = flow(t)
     return c.groupBy("word").agg(F.max("seq").alias("m"), F.min("seq").alias("k")).where("k = 0 and m = 0").select("word")
 
 
@@ -36,17 +36,18 @@ def _(t):
     return v.groupBy("u", "a").agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
 
 
-@query("parallel_lines", _SLOTS + """, k AS (SELECT DISTINCT lang, source, doc_id * 100000 + line_no AS row, core FROM slots WHERE length(core) >= 3), d AS (SELECT lang, core FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 20), h AS (SELECT k.* FROM k JOIN d USING (lang, core))
-SELECT a.row AS "left", b.row AS "right", count(*) AS shared FROM h a JOIN h b ON a.lang = b.lang AND a.core = b.core AND a.row < b.row AND a.source <> b.source GROUP BY 1, 2 HAVING count(*) >= 3""")
+@query("parallel_lines", _SLOTS + """, k AS (SELECT DISTINCT lang, source, doc_id, line_no, core FROM slots WHERE length(core) >= 3), d AS (SELECT lang, core FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 60), h AS (SELECT k.* FROM k JOIN d USING (lang, core))
+SELECT a.doc_id AS left_doc, a.line_no AS left_line, b.doc_id AS right_doc, b.line_no AS right_line, count(*) AS shared FROM h a JOIN h b ON a.lang = b.lang AND a.core = b.core AND (a.doc_id, a.line_no) < (b.doc_id, b.line_no) AND a.source <> b.source GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""")
 def _(t):
-    s = slots(corpus(t, "lang", "source").withColumn("row", F.col("doc_id") * 100000 + F.col("line_no")), "lang", "source", "row").where(F.length("core") >= 3)
-    return pairs.rare_key_pairs(s, "row", "core", ["lang"], "source", 20).where("shared >= 3")
+    s = slots(lined(t, "lang", "source").withColumn("row", F.struct("doc_id", F.col("line_no").cast("long").alias("line_no"))), "lang", "source", "row").where(F.length("core") >= 3)
+    p = pairs.rare_key_pairs(s, "row", "core", ["lang"], "source", 60).where("shared >= 3")
+    return p.select(F.col("left.doc_id").alias("left_doc"), F.col("left.line_no").alias("left_line"), F.col("right.doc_id").alias("right_doc"), F.col("right.line_no").alias("right_line"), "shared")
 
 
 @query("prev_row_same_column", TOK + """, p AS (SELECT s.shift, a.word = b.word AS hit FROM tokens a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS shift) s JOIN tokens b ON a.doc_id = b.doc_id AND b.line_no = a.line_no - 1 AND b.pos = a.pos + s.shift)
 SELECT shift, count(*) AS n, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS rate FROM p GROUP BY shift""")
 def _(t):
-    p = pairs.previous_row(corpus(t).select("doc_id", "line_no", "pos", "word"), ["doc_id"], "line_no", "pos", "word")
+    p = pairs.previous_row(lined(t).select("doc_id", "line_no", "pos", "word"), ["doc_id"], "line_no", "pos", "word")
     return p.groupBy("shift").agg(F.count("*").alias("n"), r6(F.avg((F.col("word") == F.col("before")).cast("double"))).alias("rate"))
 
 
@@ -57,14 +58,14 @@ _FOLD = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "aaaa
 @query("nearest_source_edit", TOK + f", folded AS (SELECT * REPLACE (translate(word, '{_FOLD[0]}', '{_FOLD[1]}') AS word) FROM tokens)" + """, h AS (SELECT doc_id, line_no, pos, word, unnest(range(1, 9)) AS lag FROM folded), s AS (SELECT h.doc_id, h.line_no, h.pos, h.lag, levenshtein(h.word, b.word) AS d, levenshtein(h.word, b.word) / greatest(length(h.word), length(b.word))::DOUBLE AS ratio FROM h JOIN folded b ON b.doc_id = h.doc_id AND b.line_no = h.line_no AND b.pos = h.pos - h.lag),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, pos ORDER BY ratio, d, lag) AS k FROM s) SELECT lag::INT AS lag, d::INT AS distance, count(*) AS n FROM r WHERE k = 1 GROUP BY 1, 2""")
 def _(t):
-    s = pairs.nearest_source(corpus(t).withColumn("word", F.translate("word", *_FOLD)), ["doc_id", "line_no"], "pos")
+    s = pairs.nearest_source(lined(t).withColumn("word", F.translate("word", *_FOLD)), ["doc_id", "line_no"], "pos")
     return s.where("lag is not null").groupBy("lag", "distance").agg(F.count("*").alias("n"))
 
 
 @query("opener_in_previous_line", _SLOTS + """, l AS (SELECT doc_id, line_no, min(core) FILTER (WHERE pos = 0) AS opener, list(DISTINCT core) AS cores FROM slots GROUP BY 1, 2), p AS (SELECT opener, lag(cores) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l)
 SELECT count(*) AS lines, count(*) FILTER (WHERE list_contains(before, opener)) AS hits FROM p WHERE before IS NOT NULL""")
 def _(t):
-    s = slots(corpus(t), "doc_id", "line_no", "pos")
+    s = slots(lined(t), "doc_id", "line_no", "pos")
     ls = s.groupBy("doc_id", "line_no").agg(F.min(F.when(F.col("pos") == 0, F.col("core"))).alias("opener"), F.collect_set("core").alias("cores"))
     p = ls.withColumn("before", F.lag("cores").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("before is not null")
     return p.agg(F.count("*").alias("lines"), F.count(F.when(F.array_contains("before", F.col("opener")), 1)).alias("hits"))
@@ -74,13 +75,13 @@ def _(t):
 o AS (SELECT a.lang AS a, b.lang AS b, count(*) AS o FROM m a JOIN m b ON a.core = b.core AND a.lang < b.lang GROUP BY 1, 2)
 SELECT a AS group_a, b AS group_b, o AS observed, round(x.n * y.n / k::DOUBLE, 6) + 0.0 AS expected, round(o / (x.n * y.n / k::DOUBLE), 6) + 0.0 AS ratio FROM o JOIN n x ON x.lang = a JOIN n y ON y.lang = b, tot""")
 def _(t):
-    out = pairs.group_enrichment(slots(corpus(t, "lang"), "lang"), "lang", "core")
+    out = pairs.group_enrichment(slots(bare(t, "lang"), "lang"), "lang", "core")
     return out.select("group_a", "group_b", "observed", r6("expected").alias("expected"), r6("ratio").alias("ratio"))
 
 
 @query("train_vocabulary_map", TOK + """, v AS (SELECT DISTINCT word FROM tokens WHERE doc_id % 4 <> 0) SELECT coalesce(v.word, '<UNK>') AS mapped, count(*) AS n FROM tokens LEFT JOIN v USING (word) WHERE doc_id % 4 = 0 GROUP BY 1 HAVING count(*) >= 5""")
 def _(t):
-    c = corpus(t)
+    c = bare(t)
     w = c.groupBy("word").agg(F.count(F.when(F.col("doc_id") % 4 != 0, 1)).alias("a"), F.count(F.when(F.col("doc_id") % 4 == 0, 1)).alias("b")).where("b > 0")
     return w.groupBy(F.when(F.col("a") > 0, F.col("word")).otherwise("<UNK>").alias("mapped")).agg(F.sum("b").alias("n")).where("n >= 5")
 
@@ -88,16 +89,17 @@ def _(t):
 @query("tfidf_top_terms", TOK + """, c AS (SELECT doc_id, word, count(*) AS tf FROM tokens GROUP BY 1, 2), d AS (SELECT word, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM c),
 w AS (SELECT doc_id, word, round(tf * ln((n + 1) / (df + 1)::DOUBLE), 6) + 0.0 AS w FROM c JOIN d USING (word), n), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, word) AS k FROM w) SELECT doc_id, word, w, k FROM r WHERE k <= 5""")
 def _(t):
-    c = corpus(t).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    """A document's words are counted once; the number of documents comes from the texts alone, and a document keeps its five best in a bounded heap."""
+    c = bare(t).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
     d = c.groupBy("word").agg(F.count("*").alias("df"))
-    n = F.broadcast(c.agg(F.count_distinct("doc_id").alias("n")))
+    n = F.broadcast(t.documents.where(F.lower("text").rlike(WORD)).agg(F.count_distinct("doc_id").alias("n")))
     w = c.join(d, "word").join(n).select("doc_id", "word", r6(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("w"))
     return w.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("w").desc(), "word"))).where("k <= 5")
 
 
 @query("cyclic_alignment", """WITH c AS (SELECT user_id, hour(ts) // 4 AS bin, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY user_id, bin ORDER BY n DESC, event_type) AS k FROM c), u AS (SELECT DISTINCT user_id FROM events),
 v AS (SELECT u.user_id, list(coalesce(m.event_type, '-') ORDER BY b.bin) AS r FROM u CROSS JOIN range(6) b(bin) LEFT JOIN m ON m.user_id = u.user_id AND m.bin = b.bin AND m.k = 1 GROUP BY 1),
-p AS (SELECT a.user_id AS a, b.user_id AS b, a.r AS x, b.r AS y, list_reverse(b.r) AS z FROM v a JOIN v b ON b.user_id = a.user_id + 1),
+o AS (SELECT *, lead(user_id) OVER (ORDER BY user_id) AS nxt FROM v), p AS (SELECT a.user_id AS a, b.user_id AS b, a.r AS x, b.r AS y, list_reverse(b.r) AS z FROM o a JOIN v b ON b.user_id = a.nxt),
 s AS (SELECT a, b, o, list_sum(list_transform(range(6), lambda i: CASE WHEN x[i + 1] = y[(i + o) % 6 + 1] THEN 1 ELSE 0 END)) AS f, list_sum(list_transform(range(6), lambda i: CASE WHEN x[i + 1] = z[(i + o) % 6 + 1] THEN 1 ELSE 0 END)) AS g FROM p, range(6) q(o))
 SELECT a AS user_a, b AS user_b, round(max(greatest(f, g)) / 6.0::DOUBLE, 6) + 0.0 AS score FROM s GROUP BY 1, 2""")
 def _(t):
@@ -106,7 +108,9 @@ def _(t):
     m = c.groupBy("user_id", "bin").agg(F.min(F.struct((-F.col("n")).alias("n"), "event_type")).alias("m"))
     at = F.map_from_entries(F.collect_list(F.struct("bin", "m.event_type")))
     v = m.groupBy("user_id").agg(at.alias("at")).select("user_id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.coalesce(F.element_at("at", i.cast("long")), F.lit("-"))).alias("r"))
-    b = v.select((F.col("user_id") - 1).alias("user_id"), F.col("user_id").alias("user_b"), F.col("r").alias("s"))
+    ids = sequence.ranks(v.select("user_id"), [], F.floor(F.col("user_id") / 4096), ["user_id"], "k")
+    nxt = ids.join(ids.select(F.col("user_id").alias("user_b"), (F.col("k") - 1).alias("k")), "k").select("user_id", "user_b")
+    b = nxt.join(v.select(F.col("user_id").alias("user_b"), F.col("r").alias("s")), "user_b")
     score = pairs.best_alignment(F.col("r"), F.col("s"), lambda x, y: x == y)
     return v.join(b, "user_id").select(F.col("user_id").alias("user_a"), "user_b", r6(score).alias("score"))
 
@@ -152,14 +156,14 @@ def _(t):
 d AS (SELECT rep, draw, floor(('0x' || substr(md5('boot|' || rep || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE * m)::INT AS i FROM k, range(50) r(rep), range(m) q(draw)), e AS (SELECT rep, sum(s) / sum(n) AS x FROM d JOIN b USING (i) GROUP BY 1)
 SELECT round(quantile_cont(x, 0.025), 6) + 0.0 AS low, round(avg(x), 6) + 0.0 AS mean, round(quantile_cont(x, 0.975), 6) + 0.0 AS high FROM e""")
 def _(t):
-    b = corpus(t, "source").groupBy("source").agg(F.sum(F.length("word")).alias("s"), F.count("*").alias("n"))
+    b = bare(t, "source").groupBy("source").agg(F.sum(F.length("word")).alias("s"), F.count("*").alias("n"))
     e = nulls.bootstrap(b, "source", 50, "boot").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("x"))
     return e.agg(r6(F.percentile("x", 0.025)).alias("low"), r6(F.avg("x")).alias("mean"), r6(F.percentile("x", 0.975)).alias("high"))
 
 
 @query("cyclic_rotation_null", TOK + """, l AS (SELECT doc_id, line_no, pos, n_line FROM tokens) SELECT doc_id, line_no, rep::INT AS rep, pos, (pos + floor(('0x' || substr(md5('rot|' || rep || '|' || doc_id || '|' || line_no), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n_line)::BIGINT) % n_line AS rotated FROM l, range(3) r(rep)""")
 def _(t):
-    ring = corpus(t).select("doc_id", "line_no", "pos", "n_line")
+    ring = lined(t).select("doc_id", "line_no", "pos", "n_line")
     return nulls.rotate(ring, ["doc_id", "line_no"], "pos", "n_line", 3, "rot").select("doc_id", "line_no", "rep", "pos", "rotated")
 
 
@@ -191,7 +195,7 @@ v AS (SELECT count(DISTINCT y) AS v FROM c),
 s AS (SELECT source, c, v, sum(c) OVER (PARTITION BY cell, x, y) - sum(c) OVER (PARTITION BY cell, x, y, source) AS xy, sum(c) OVER (PARTITION BY cell, x) - sum(c) OVER (PARTITION BY cell, x, source) AS x_, sum(c) OVER (PARTITION BY cell, y) - sum(c) OVER (PARTITION BY cell, y, source) AS y_, sum(c) OVER (PARTITION BY cell) - sum(c) OVER (PARTITION BY cell, source) AS t_ FROM c, v)
 SELECT source, sum(c)::BIGINT AS n, round(sum(c * log2(((xy + 0.5::DOUBLE) / (x_ + 0.5::DOUBLE * v)) / ((y_ + 0.5::DOUBLE) / (t_ + 0.5::DOUBLE * v)))) / sum(c), 6) + 0.0 AS gain FROM s GROUP BY source""")
 def _(t):
-    e = slots(corpus(t, "source"), "source", "doc_id", "line_no", "pos")
+    e = slots(lined(t, "source"), "source", "doc_id", "line_no", "pos")
     e = e.select("source", F.least(F.col("pos"), F.lit(4)).alias("cell"), F.lag("prefix").over(Window.partitionBy("doc_id", "line_no").orderBy("pos")).alias("x"), F.col("prefix").alias("y")).where("x is not null")
     return models.leave_out_transition_gain(e, "source", "cell", "x", "y").select("source", "n", r6("gain").alias("gain"))
 
@@ -205,7 +209,7 @@ p1 AS (SELECT *, (h1 + 8 / v) / (t1 + 8) AS p1 FROM s), p2 AS (SELECT *, (h2 + 8
 SELECT source, sum(c)::BIGINT AS n, round(sum(c * log2(v)) / sum(c), 6) + 0.0 AS bits0, """ + ", ".join(f"round(-sum(c * log2(p{i})) / sum(c), 6) + 0.0 AS bits{i}" for i in range(1, 5)) + " FROM p4 GROUP BY source")
 def _(t):
     w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
-    e = slots(corpus(t, "source"), "source", "doc_id", "line_no", "pos")
+    e = slots(lined(t, "source"), "source", "doc_id", "line_no", "pos")
     e = e.select("source", F.least(F.col("pos"), F.lit(3)).alias("cell"), F.lag("suffix").over(w).alias("x"), F.lag("prefix").over(w).alias("z"), F.col("prefix").alias("y")).where("x is not null")
     out = models.nested_backoff(e, "source", [[], ["cell"], ["cell", "x"], ["cell", "x", "z"]], "y")
     return out.select("source", "n", *[r6(f"bits{i}").alias(f"bits{i}") for i in range(5)])
@@ -216,7 +220,7 @@ k AS (SELECT unnest([0, 1]) AS k), v AS (SELECT count(*) AS v FROM d), per AS (S
 s AS (SELECT c.doc_id, c.y, k, round(sum(c.c * ln((coalesce(tot.n, 0) - coalesce(per.n, 0) + 0.5::DOUBLE) / (coalesce(ma.n, 0) - coalesce(mo.n, 0) + 0.5::DOUBLE * v))), 6) AS s FROM c CROSS JOIN k CROSS JOIN v LEFT JOIN tot ON tot.f = c.f AND tot.y = k LEFT JOIN per ON per.f = c.f AND per.source = c.source AND per.y = k LEFT JOIN ma ON ma.y = k LEFT JOIN mo ON mo.y = k AND mo.source = c.source GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, k) AS i FROM s) SELECT doc_id, y AS quality, k AS predicted FROM r WHERE i = 1""")
 def _(t):
-    f = corpus(t, "source").join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "source", F.substring("word", 1, 2).alias("f"))
+    f = bare(t, "source").join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "source", F.substring("word", 1, 2).alias("f"))
     return models.naive_bayes_leave_out(f, "doc_id", "quality", "source", "f").select("doc_id", "quality", "predicted")
 
 
@@ -232,14 +236,20 @@ def _(t):
     return models.average_precision(d, ["source"], F.col("n_chars"), "doc_id", F.col("quality") == 0).select("source", r6("ap").alias("ap"))
 
 
-@query("trigram_bits_by_source", TOK + """, w AS (SELECT word, '^^' || word || '$' AS x FROM tokens WHERE lang = 'en'), g AS (SELECT substr(x, i, 3) AS g FROM (SELECT x, unnest(range(1, length(x) - 1)) AS i FROM w)), c AS (SELECT g, count(*)::DOUBLE AS c FROM g GROUP BY 1), v AS (SELECT count(DISTINCT substr(g, 3, 1)) AS v FROM c),
-m AS (SELECT g, log2((c + 0.1::DOUBLE) / (sum(c) OVER (PARTITION BY substr(g, 1, 2)) + 0.1::DOUBLE * v)) AS lp FROM c, v), y AS (SELECT source, '^^' || word || '$' AS x FROM tokens WHERE lang = 'en'), z AS (SELECT source, substr(x, i, 3) AS g FROM (SELECT source, x, unnest(range(1, length(x) - 1)) AS i FROM y)),
-k AS (SELECT source, g, count(*) AS k FROM z GROUP BY 1, 2) SELECT source, sum(k)::BIGINT AS n, round(-sum(k * lp) / sum(k), 6) + 0.0 AS bits FROM k JOIN m USING (g) GROUP BY source""")
+@query("trigram_bits_by_source", TOK + """, w AS (SELECT lang, source, '^^' || word || '$' AS x, count(*) AS k FROM tokens WHERE source IS NOT NULL GROUP BY 1, 2, 3), c AS (SELECT lang, source, g, sum(k)::DOUBLE AS c FROM (SELECT lang, source, k, substr(x, i, 3) AS g FROM (SELECT *, unnest(range(1, length(x) - 1)) AS i FROM w)) GROUP BY 1, 2, 3),
+h AS (SELECT lang, source, substr(g, 1, 2) AS h, sum(c) AS m FROM c GROUP BY 1, 2, 3), ca AS (SELECT lang, g, sum(c) AS c FROM c GROUP BY 1, 2), ha AS (SELECT lang, h, sum(m) AS m FROM h GROUP BY 1, 2), v AS (SELECT lang, count(DISTINCT right(g, 1)) AS v FROM ca GROUP BY 1)
+SELECT c.lang, c.source, sum(c.c)::BIGINT AS n, round(-sum(c.c * log2((ca.c - c.c + 0.1::DOUBLE) / (ha.m - h.m + 0.1::DOUBLE * v))) / sum(c.c), 6) + 0.0 AS bits FROM c JOIN ca ON ca.lang = c.lang AND ca.g = c.g JOIN h ON h.lang = c.lang AND h.source = c.source AND h.h = substr(c.g, 1, 2) JOIN ha ON ha.lang = c.lang AND ha.h = h.h JOIN v ON v.lang = c.lang GROUP BY 1, 2""")
 def _(t):
-    c = corpus(t, "source", "lang").where("lang = 'en'")
-    m = models.trigram_model(c)
-    g = c.groupBy("source", "word").agg(F.count("*").alias("k")).select("source", "k", F.explode(W.ngrams(F.concat(F.lit("^^"), "word", F.lit("$")), 3)).alias("gram")).groupBy("source", "gram").agg(F.sum("k").alias("k"))
-    return g.join(m, "gram").groupBy("source").agg(F.sum("k").alias("n"), r6(-F.sum(F.col("k") * F.col("logp")) / F.sum("k")).alias("bits"))
+    """Letters of each source by the trigrams of its language in all other sources: the source's own counts are taken off."""
+    w = bare(t, "source", "lang").where("source is not null").groupBy("lang", "source", "word").agg(F.count("*").alias("k"))
+    g = w.select("lang", "source", "k", F.explode(W.ngrams(F.concat(F.lit("^^"), "word", F.lit("$")), 3)).alias("g"))
+    c = g.groupBy("lang", "source", "g").agg(F.sum("k").cast("double").alias("c")).withColumn("h", F.substring("g", 1, 2))
+    h = c.groupBy("lang", "source", "h").agg(F.sum("c").alias("m"))
+    ca, ha = c.groupBy("lang", "g").agg(F.sum("c").alias("ca")), h.groupBy("lang", "h").agg(F.sum("m").alias("ma"))
+    v = ca.groupBy("lang").agg(F.count_distinct(F.right("g", F.lit(1))).alias("v"))
+    s = c.join(ca, ["lang", "g"]).join(h, ["lang", "source", "h"]).join(ha, ["lang", "h"]).join(F.broadcast(v), "lang")  # a row for each language
+    p = (F.col("ca") - F.col("c") + 0.1) / (F.col("ma") - F.col("m") + 0.1 * F.col("v"))
+    return s.groupBy("lang", "source").agg(F.sum("c").cast("long").alias("n"), r6(-F.sum(F.col("c") * F.log2(p)) / F.sum("c")).alias("bits"))
 
 
 @query("ols_price_by_status", "SELECT o_orderstatus, round(regr_slope(o_totalprice, o_custkey), 4) + 0.0 AS slope, round(regr_r2(o_totalprice, o_custkey), 6) + 0.0 AS r2 FROM orders GROUP BY 1")
@@ -317,5 +327,5 @@ SELECT doc_id, string_agg(CASE WHEN v < 26 THEN chr((97 + v)::INT) ELSE '?' END,
 def _(t):
     from lexiloom.operators.bits import decode_chunks
 
-    bits = corpus(t).select("doc_id", "seq", (F.length("word") % 2).alias("bit"))
+    bits = flow(t).select("doc_id", "seq", (F.length("word") % 2).alias("bit"))
     return decode_chunks(bits, ["doc_id"], "seq", "bit", 5)

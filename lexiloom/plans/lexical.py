@@ -6,16 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import words as W
-from lexiloom.operators import info
+from lexiloom.operators import info, sequence
 from lexiloom.operators.info import r6
 from lexiloom.operators.tokens import lines, text_grams, tokens
 from lexiloom.plans.base import CTOK, TOK, WORD, query, slots_sql
 
 
 def corpus(t, *carry: str) -> DataFrame:
+    """Words with their places in line and document."""
     return tokens(t.documents, *carry)
 
 
+def lined(t, *carry: str) -> DataFrame:
+    """Words with their places in the line."""
+    return tokens(t.documents, *carry, seq=False)
+
+
+def flow(t, *carry: str) -> DataFrame:
+    """Words with their places in the document."""
+    return tokens(t.documents, *carry, line=False)
+
+
+def bare(t, *carry: str) -> DataFrame:
+    """Words alone."""
+    return tokens(t.documents, *carry, line=False, seq=False)
+
+
 def slots(df: DataFrame, *carry: str) -> DataFrame:
     """prefix, core and suffix of each word, and the columns `carry`."""
     return df.select(*carry, "word", W.FULL.split("word").alias("s")).select(*carry, "word", "s.*")
@@ -23,7 +39,14 @@ def slots(df: DataFrame, *carry: str) -> DataFrame:
 
 @query("token_count_by_lang", TOK + "SELECT coalesce(lang, 'ALL') AS lang, count(*) AS tokens, count(DISTINCT word) AS types, count(DISTINCT doc_id) AS docs FROM tokens GROUP BY GROUPING SETS ((), (lang))")
 def _(t):
-    return corpus(t, "lang").cube("lang").agg(F.count("*").alias("tokens"), F.count_distinct("word").alias("types"), F.count_distinct("doc_id").alias("docs")).withColumn("lang", F.coalesce("lang", F.lit("ALL")))
+    """Words are counted once; what is common to all languages is rolled up from the counts."""
+    c = bare(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    each = c.groupBy("lang").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
+    every = c.groupBy("word").agg(F.sum("n").alias("n")).agg(F.lit("ALL").alias("lang"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"))
+    held = t.documents.where(F.lower("text").rlike(WORD)).select("lang", "doc_id").distinct()
+    docs = held.groupBy("lang").agg(F.count("*").alias("docs")).unionByName(held.agg(F.lit("ALL").alias("lang"), F.count_distinct("doc_id").alias("docs")))
+    out = each.unionByName(every).join(docs.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")))
+    return out.select(F.coalesce("lang", F.lit("ALL")).alias("lang"), "tokens", "types", "docs")
 
 
 @query("token_table", TOK + "SELECT doc_id, lang, source, line_no, n_line, pos, seq, word FROM tokens")
@@ -35,22 +58,22 @@ def _(t):
 r AS (SELECT lang, ln(n) AS y, ln(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word)) AS x FROM c)
 SELECT lang, round(regr_slope(y, x), 6) + 0.0 AS slope FROM r GROUP BY lang""")
 def _(t):
-    c = corpus(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    ranked = c.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")))
+    c = bare(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = sequence.ranks(c, ["lang"], F.struct(-F.col("n"), F.substring("word", 1, 2)), [F.col("n").desc(), "word"], "r")
     return ranked.groupBy("lang").agg(r6(F.regr_slope(F.log("n"), F.log("r"))).alias("slope"))
 
 
 @query("hapax_fraction", TOK + """, c AS (SELECT lang, word, count(*) AS n FROM tokens GROUP BY 1, 2)
 SELECT lang, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hapax, count(*) AS types FROM c GROUP BY lang""")
 def _(t):
-    c = corpus(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    c = bare(t, "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
     return c.groupBy("lang").agg(r6(F.avg((F.col("n") == 1).cast("double"))).alias("hapax"), F.count("*").alias("types"))
 
 
 @query("word_length_dispersion", TOK + "SELECT lang, round(avg(length(word)), 6) + 0.0 AS mean, round(var_pop(length(word)), 6) + 0.0 AS variance, round(var_pop(length(word)) / avg(length(word)), 6) + 0.0 AS dispersion FROM tokens GROUP BY lang")
 def _(t):
     n = F.length("word")
-    return corpus(t, "lang").groupBy("lang").agg(r6(F.avg(n)).alias("mean"), r6(F.var_pop(n)).alias("variance"), r6(F.var_pop(n) / F.avg(n)).alias("dispersion"))
+    return bare(t, "lang").groupBy("lang").agg(r6(F.avg(n)).alias("mean"), r6(F.var_pop(n)).alias("variance"), r6(F.var_pop(n) / F.avg(n)).alias("dispersion"))
 
 
 @query("vocab_jaccard", TOK + """, v AS (SELECT DISTINCT lang, word FROM tokens), s AS (SELECT lang, count(*) AS n FROM v GROUP BY 1),
@@ -59,7 +82,7 @@ SELECT x.lang AS lang_a, y.lang AS lang_b, x.n AS types_a, y.n AS types_b, coale
   round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0))::DOUBLE, 6) + 0.0 AS jaccard
 FROM s x JOIN s y ON x.lang < y.lang LEFT JOIN p ON p.a = x.lang AND p.b = y.lang""")
 def _(t):
-    v = corpus(t, "lang").select("lang", "word").distinct()
+    v = bare(t, "lang").select("lang", "word").distinct()
     sets = v.groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("ls"))  # at most one entry for each language
     pair = F.flatten(F.transform("ls", lambda a: F.transform(F.filter("ls", lambda b: b > a), lambda b: F.struct(a.alias("lang_a"), b.alias("lang_b")))))
     shared = sets.where("size(ls) > 1").select(F.explode(pair).alias("p")).groupBy("p.lang_a", "p.lang_b").agg(F.count("*").alias("shared"))
@@ -69,18 +92,20 @@ def _(t):
     return out.withColumn("jaccard", r6(F.col("shared") / (F.col("types_a") + F.col("types_b") - F.col("shared"))))
 
 
-@query("skewed_words_topk", TOK + """, a AS (SELECT word, count(*) AS f FROM tokens WHERE lang = 'en' GROUP BY 1), b AS (SELECT word, count(*) AS g FROM tokens WHERE lang = 'fr' GROUP BY 1),
-top AS (SELECT * FROM a ORDER BY f DESC, word LIMIT 200),
-s AS (SELECT top.word, f, coalesce(g, 0) AS g, (f / (SELECT sum(f) FROM a)::DOUBLE) / ((coalesce(g, 0) + 1) / (SELECT sum(g) FROM b)::DOUBLE) AS ratio FROM top LEFT JOIN b ON top.word = b.word)
-SELECT word, f, g, round(ratio, 6) + 0.0 AS ratio FROM s ORDER BY round(ratio, 6) DESC, word LIMIT 12""")
+@query("skewed_words_topk", TOK + """, c AS (SELECT lang, word, count(*) AS f FROM tokens WHERE lang IS NOT NULL GROUP BY 1, 2), n AS (SELECT lang, sum(f) AS n FROM c GROUP BY 1), a AS (SELECT word, sum(f) AS f FROM c GROUP BY 1), m AS (SELECT sum(f) AS m FROM a),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f DESC, word) AS k FROM c),
+s AS (SELECT top.lang, top.word, top.f, a.f - top.f AS g, (top.f / n.n::DOUBLE) / ((a.f - top.f + 1) / (m - n.n)::DOUBLE) AS ratio FROM top JOIN n ON n.lang = top.lang JOIN a ON a.word = top.word, m WHERE k <= 200),
+r AS (SELECT lang, word, f, g::BIGINT AS g, round(ratio, 6) + 0.0 AS ratio, row_number() OVER (PARTITION BY lang ORDER BY round(ratio, 6) DESC, word) AS k FROM s) SELECT lang, word, f, g, ratio FROM r WHERE k <= 12""")
 def _(t):
-    c = corpus(t, "lang")
-    a = c.where("lang = 'en'").groupBy("word").agg(F.count("*").alias("f"))
-    b = c.where("lang = 'fr'").groupBy("word").agg(F.count("*").alias("g"))
-    top = a.orderBy(F.col("f").desc(), "word").limit(200)
-    sums = a.agg(F.sum("f").alias("fa")).join(F.broadcast(b.agg(F.sum("g").alias("gb"))))
-    out = top.join(b, "word", "left").withColumn("g", F.coalesce("g", F.lit(0))).join(F.broadcast(sums))
-    return out.select("word", "f", "g", r6((F.col("f") / F.col("fa")) / ((F.col("g") + 1) / F.col("gb"))).alias("ratio")).orderBy(F.col("ratio").desc(), "word").limit(12)
+    """The twelve words of each language's 200 commonest that all other languages have least."""
+    c = bare(t, "lang").where("lang is not null").groupBy("lang", "word").agg(F.count("*").alias("f"))
+    n = c.groupBy("lang").agg(F.sum("f").alias("n"))
+    n = n.join(F.broadcast(n.agg(F.sum("n").alias("m"))))
+    top = c.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("f").desc(), "word"))).where("k <= 200").drop("k")
+    a = c.join(F.broadcast(top.select("word").distinct()), "word").groupBy("word").agg(F.sum("f").alias("a"))  # 200 words for each language
+    s = top.join(F.broadcast(a), "word").join(F.broadcast(n), "lang").withColumn("g", F.col("a") - F.col("f"))
+    s = s.select("lang", "word", "f", "g", r6((F.col("f") / F.col("n")) / ((F.col("g") + 1) / (F.col("m") - F.col("n")))).alias("ratio"))
+    return s.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("ratio").desc(), "word"))).where("k <= 12").drop("k")
 
 
 _CHARS = TOK + """, s AS (SELECT doc_id, lang, string_agg(word, ' ' ORDER BY seq) AS x FROM tokens GROUP BY 1, 2),
@@ -145,7 +170,7 @@ _SLOTS = TOK + "," + slots_sql("tokens")
 
 @query("slot_decomposition", _SLOTS + "SELECT DISTINCT word, prefix, core, suffix FROM slots")
 def _(t):
-    return corpus(t).select("word").distinct().select("word", W.FULL.split("word").alias("s")).select("word", "s.*")
+    return bare(t).select("word").distinct().select("word", W.FULL.split("word").alias("s")).select("word", "s.*")
 
 
 @query("slot_field_report", _SLOTS + """, f AS (SELECT 'prefix' AS field, prefix AS v FROM slots UNION ALL SELECT 'core', core FROM slots UNION ALL SELECT 'suffix', suffix FROM slots),
@@ -153,7 +178,7 @@ c AS (SELECT field, v, count(*)::DOUBLE AS n FROM f GROUP BY 1, 2), r AS (SELECT
 SELECT field, count(*) AS n_values, round(sum(CASE WHEN k <= 10 THEN n ELSE 0 END) / sum(n), 6) + 0.0 AS top10, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS entropy,
   string_agg(v, ',' ORDER BY k) FILTER (WHERE k <= 6) AS top6 FROM r GROUP BY field""")
 def _(t):
-    s = slots(corpus(t))
+    s = slots(bare(t))
     f = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("v")) for k in ("prefix", "core", "suffix")])).alias("f")).select("f.*")
     c = f.groupBy("field", "v").agg(F.count("*").cast("double").alias("n"))
     r = c.withColumn("k", F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), "v")))
@@ -175,7 +200,7 @@ SELECT {g}round(log2(n) + (sxy - sx - sy) / n, 6) + 0.0 AS {name} FROM n_ JOIN x
 
 
 for _x, _y in (("prefix", "suffix"), ("prefix", "core"), ("core", "suffix")):
-    query(f"mi_{_x}_{_y}", _SLOTS + "," + mi_sql("slots", _x, _y, "lang"))(lambda t, x=_x, y=_y: info.mutual_information(slots(corpus(t, "lang"), "lang"), x, y, ["lang"]).select("lang", r6("mi").alias("mi")))
+    query(f"mi_{_x}_{_y}", _SLOTS + "," + mi_sql("slots", _x, _y, "lang"))(lambda t, x=_x, y=_y: info.mutual_information(slots(bare(t, "lang"), "lang"), x, y, ["lang"]).select("lang", r6("mi").alias("mi")))
 
 query("mi_returnflag_linestatus", "WITH " + mi_sql("lineitem", "l_returnflag", "l_linestatus"))(lambda t: info.mutual_information(t.lineitem, "l_returnflag", "l_linestatus").select(r6("mi").alias("mi")))
 query("mi_brand_type", "WITH " + mi_sql("part", "p_brand", "p_type"))(lambda t: info.mutual_information(t.part, "p_brand", "p_type").select(r6("mi").alias("mi")))
@@ -185,7 +210,7 @@ query("events_type_user_mi", "WITH " + mi_sql("events", "event_type", "user_id")
 @query("cond_entropy_suffix_given_prefix", _SLOTS + """, c AS (SELECT lang, prefix, suffix, count(*)::DOUBLE AS c FROM slots GROUP BY 1, 2, 3), p AS (SELECT lang, prefix, sum(c) AS m, sum(c * log2(c)) AS s FROM c GROUP BY 1, 2)
 SELECT lang, round(sum(m * log2(m) - s) / sum(m), 6) + 0.0 AS h FROM p GROUP BY lang""")
 def _(t):
-    return info.conditional_entropy(slots(corpus(t, "lang"), "lang"), ["suffix"], ["prefix"], ["lang"]).select("lang", r6("h").alias("h"))
+    return info.conditional_entropy(slots(bare(t, "lang"), "lang"), ["suffix"], ["prefix"], ["lang"]).select("lang", r6("h").alias("h"))
 
 
 @query("kl_user_vs_assistant", CTOK + """, p AS (SELECT word, count(*) / (SELECT count(*) FROM ctok WHERE role = 'user')::DOUBLE AS p FROM ctok WHERE role = 'user' GROUP BY 1),
@@ -204,13 +229,13 @@ round(avg(CASE WHEN prefix = '' AND suffix = '' THEN 1.0 ELSE 0.0 END), 6) + 0.0
 def _(t):
     p, s = F.col("prefix") != "", F.col("suffix") != ""
     share = lambda c, n: r6(F.avg(c.cast("double"))).alias(n)
-    return slots(corpus(t, "lang"), "lang").groupBy("lang").agg(share(p & s, "full"), share(p | s, "any"), share(~p & ~s, "none"))
+    return slots(bare(t, "lang"), "lang").groupBy("lang").agg(share(p & s, "full"), share(p | s, "any"), share(~p & ~s, "none"))
 
 
 @query("position_profile", TOK + """SELECT least(pos, 12) AS slot, count(*) AS n, round(avg(length(word)), 6) + 0.0 AS mean_length, round(avg(CASE WHEN regexp_matches(word, '[ktpf]') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS gallows,
 round(avg(CASE WHEN ends_with(word, 'y') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS final_y FROM tokens GROUP BY 1""")
 def _(t):
-    return corpus(t).groupBy(F.least(F.col("pos"), F.lit(12)).cast("long").alias("slot")).agg(
+    return lined(t).groupBy(F.least(F.col("pos"), F.lit(12)).cast("long").alias("slot")).agg(
         F.count("*").alias("n"), r6(F.avg(F.length("word"))).alias("mean_length"), r6(F.avg(W.has_gallows("word").cast("double"))).alias("gallows"), r6(F.avg(F.col("word").endswith("y").cast("double"))).alias("final_y")
     )
 
@@ -218,7 +243,7 @@ def _(t):
 @query("line_width_cv", TOK + """, w AS (SELECT lang, sum(length(word)) AS chars, count(*) AS words FROM tokens GROUP BY lang, doc_id, line_no)
 SELECT lang, round(stddev_pop(chars) / avg(chars), 6) + 0.0 AS cv_chars, round(stddev_pop(words) / avg(words), 6) + 0.0 AS cv_words, round(corr(chars, words), 6) + 0.0 AS r FROM w GROUP BY lang""")
 def _(t):
-    w = corpus(t, "lang").groupBy("lang", "doc_id", "line_no").agg(F.sum(F.length("word")).alias("chars"), F.count("*").alias("words"))
+    w = lined(t, "lang").groupBy("lang", "doc_id", "line_no").agg(F.sum(F.length("word")).alias("chars"), F.count("*").alias("words"))
     cv = lambda x: r6(F.stddev_pop(x) / F.avg(x)).alias("cv_" + x)
     return w.groupBy("lang").agg(cv("chars"), cv("words"), r6(F.corr("chars", "words")).alias("r"))
 
@@ -226,7 +251,7 @@ def _(t):
 @query("simpson_effective_types", TOK + """, c AS (SELECT source, word, count(*)::DOUBLE AS c FROM tokens GROUP BY 1, 2), n AS (SELECT source, sum(c) AS n FROM c GROUP BY 1)
 SELECT source, round(1 / sum((c / n) * (c / n)), 6) + 0.0 AS effective FROM c JOIN n USING (source) GROUP BY source""")
 def _(t):
-    c = corpus(t, "source").groupBy("source", "word").agg(F.count("*").cast("double").alias("c"))
+    c = bare(t, "source").groupBy("source", "word").agg(F.count("*").cast("double").alias("c"))
     n = F.sum("c")
     return c.groupBy("source").agg(r6(n * n / F.sum(F.col("c") * F.col("c"))).alias("effective"))
 
@@ -234,7 +259,7 @@ def _(t):
 @query("birthday_keyspace", TOK + """, c AS (SELECT doc_id, word, count(*) AS c FROM tokens GROUP BY 1, 2)
 SELECT doc_id, sum(c)::BIGINT AS n, sum(c * (c - 1) // 2)::BIGINT AS pairs, CASE WHEN sum(c * (c - 1) // 2) > 0 THEN round(sum(c) * sum(c) / (2.0::DOUBLE * sum(c * (c - 1) // 2)), 6) + 0.0 END AS keyspace FROM c GROUP BY doc_id""")
 def _(t):
-    c = corpus(t).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
+    c = bare(t).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
     pairs, n = F.sum((F.col("c") * (F.col("c") - 1) / 2).cast("long")), F.sum("c")
     return c.groupBy("doc_id").agg(n.alias("n"), pairs.alias("pairs"), F.when(pairs > 0, r6(n * n / (2.0 * pairs))).alias("keyspace"))
 
@@ -242,7 +267,7 @@ def _(t):
 @query("repeated_label_surprisal", TOK + """, f AS (SELECT word, count(*) AS n FROM tokens GROUP BY 1), o AS (SELECT word, count(*) AS pages FROM tokens WHERE seq = 0 GROUP BY 1)
 SELECT word, pages, round(-log2(n / (SELECT count(*) FROM tokens)::DOUBLE), 6) + 0.0 AS surprisal FROM o JOIN f USING (word) WHERE pages > 1""")
 def _(t):
-    c = corpus(t)
+    c = flow(t)
     f = c.groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("seq") == 0).cast("long")).alias("pages"))
     total = F.broadcast(c.agg(F.count("*").alias("total")))
     return f.where("pages > 1").join(total).select("word", "pages", r6(-F.log2(F.col("n") / F.col("total"))).alias("surprisal"))
@@ -251,7 +276,7 @@ def _(t):
 @query("unique_fraction", TOK + """, c AS (SELECT source, word, count(*) AS n FROM tokens GROUP BY 1, 2)
 SELECT source, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS "unique", round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) + 0.0 AS recurring FROM c GROUP BY source""")
 def _(t):
-    c = corpus(t, "source").groupBy("source", "word").agg(F.count("*").alias("n"))
+    c = bare(t, "source").groupBy("source", "word").agg(F.count("*").alias("n"))
     return c.groupBy("source").agg(r6(F.avg((F.col("n") == 1).cast("double"))).alias("unique"), r6(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("recurring"))
 
 
@@ -260,7 +285,7 @@ g AS (SELECT quality, substr(w, i, 3) AS g FROM (SELECT quality, '^' || word ||
 c AS (SELECT g, count(*) FILTER (WHERE quality = 1) AS a, count(*) FILTER (WHERE quality = 0) AS b FROM g GROUP BY 1), s AS (SELECT sum(a) AS sa, sum(b) AS sb FROM c)
 SELECT g, a, b, round(log2(((a + 1) / (sa + 1)::DOUBLE) / ((b + 1) / (sb + 1)::DOUBLE)), 6) + 0.0 AS enrichment FROM c, s WHERE a + b >= 12""")
 def _(t):
-    words = corpus(t).join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
+    words = bare(t).join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
     g = words.select("quality", F.explode(W.ngrams("word", 3, pad=True)).alias("g"))
     c = g.groupBy("g").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("a"), F.count(F.when(F.col("quality") == 0, 1)).alias("b"))
     s = F.broadcast(c.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")))
@@ -291,7 +316,7 @@ b AS (SELECT lang, u[i] AS x, u[i + 1] AS y FROM (SELECT lang, u, unnest(range(1
 c AS (SELECT lang, x, y, count(*)::DOUBLE AS c FROM b GROUP BY 1, 2, 3), p AS (SELECT lang, x, sum(c) AS m, sum(c * log2(c)) AS s FROM c GROUP BY 1, 2)
 SELECT lang, round(sum(m * log2(m) - s) / sum(m), 6) + 0.0 AS h FROM p GROUP BY lang""")
 def _(t):
-    u = corpus(t, "lang").select("lang", F.concat(F.array(F.lit("^")), W.glyph_units("word"), F.array(F.lit("$"))).alias("u"))
+    u = bare(t, "lang").select("lang", F.concat(F.array(F.lit("^")), W.glyph_units("word"), F.array(F.lit("$"))).alias("u"))
     pairs = u.select("lang", F.explode(F.arrays_zip(F.slice("u", F.lit(1), F.size("u") - 1).alias("x"), F.slice("u", F.lit(2), F.size("u") - 1).alias("y"))).alias("p")).select("lang", "p.*")
     return info.conditional_entropy(pairs, ["y"], ["x"], ["lang"]).select("lang", r6("h").alias("h"))
 
@@ -300,7 +325,7 @@ def _(t):
 c AS (SELECT stem, CASE WHEN nxt = '' THEN '$' ELSE nxt END AS nxt, count(*)::DOUBLE AS c FROM f GROUP BY 1, 2)
 SELECT stem, sum(c)::BIGINT AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) + 0.0 AS h FROM c GROUP BY 1 HAVING sum(c) >= 20""")
 def _(t):
-    w = corpus(t).groupBy("word").agg(F.count("*").cast("double").alias("k"))
+    w = bare(t).groupBy("word").agg(F.count("*").cast("double").alias("k"))
     f = w.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.struct(F.substring("word", F.lit(1), i).alias("stem"), W.or_none(F.substring("word", i + 1, F.lit(1)), "$").alias("nxt")))).alias("x")).select("k", "x.*")
     c = f.groupBy("stem", "nxt").agg(F.sum("k").alias("c"))
     return info._entropy_of(c, ["stem"], "h").join(c.groupBy("stem").agg(F.sum("c").cast("long").alias("n")).where("n >= 20"), "stem").select("stem", "n", r6("h").alias("h"))
@@ -321,24 +346,28 @@ def _(t):
 n AS (SELECT lang, sum(a) AS na, sum(b) AS nb FROM s GROUP BY 1)
 SELECT lang, g, a, b, round((a / na::DOUBLE) / greatest(b / nb::DOUBLE, 0.001), 6) + 0.0 AS lift FROM s JOIN n USING (lang) WHERE a >= 5""")
 def _(t):
-    s = corpus(t, "lang").groupBy("lang", F.substring("word", 1, 1).alias("g")).agg(F.count(F.when(F.col("pos") == 0, 1)).alias("a"), F.count(F.when(F.col("pos") > 0, 1)).alias("b"))
+    s = lined(t, "lang").groupBy("lang", F.substring("word", 1, 1).alias("g")).agg(F.count(F.when(F.col("pos") == 0, 1)).alias("a"), F.count(F.when(F.col("pos") > 0, 1)).alias("b"))
     w = Window.partitionBy("lang")
     s = s.withColumns({"na": F.sum("a").over(w), "nb": F.sum("b").over(w)}).where("a >= 5")
     return s.select("lang", "g", "a", "b", r6((F.col("a") / F.col("na")) / F.greatest(F.col("b") / F.col("nb"), F.lit(0.001))).alias("lift"))
 
 
-@query("entity_pivot", _SLOTS + """SELECT core, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'es') AS es,
-count(DISTINCT prefix) AS prefixes, count(DISTINCT suffix) AS suffixes FROM slots GROUP BY core HAVING count(*) >= 10""")
+@query("entity_pivot", _SLOTS + """, n AS (SELECT core, count(*) AS n, count(DISTINCT prefix) AS prefixes, count(DISTINCT suffix) AS suffixes FROM slots GROUP BY 1 HAVING count(*) >= 10), c AS (SELECT core, 'prefix' AS part, prefix AS value, count(*) AS c FROM slots GROUP BY 1, 2, 3 UNION ALL SELECT core, 'suffix', suffix, count(*) FROM slots GROUP BY 1, 2, 3 UNION ALL SELECT core, 'lang', coalesce(lang, '?'), count(*) FROM slots GROUP BY 1, 2, 3)
+SELECT c.core, n, prefixes, suffixes, part, value, c FROM c JOIN n USING (core)""")
 def _(t):
-    s = slots(corpus(t, "lang"), "lang")
-    langs = [F.count(F.when(F.col("lang") == x, 1)).alias(x) for x in ("en", "fr", "de", "es")]
-    return s.groupBy("core").agg(F.count("*").alias("n"), *langs, F.count_distinct("prefix").alias("prefixes"), F.count_distinct("suffix").alias("suffixes")).where("n >= 10")
+    """Counts of a core by prefix, by suffix and by language, as long vectors: any value of any of them."""
+    s = slots(bare(t, "lang"), "lang").groupBy("core", "prefix", "suffix", F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.count("*").alias("c"))
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col(k).alias("value")) for k in ("prefix", "suffix", "lang")]))
+    v = s.select("core", "c", part.alias("p")).groupBy("core", "p.part", "p.value").agg(F.sum("c").alias("c"))
+    kinds = lambda k: F.count(F.when(F.col("part") == k, 1))
+    n = v.groupBy("core").agg(F.sum(F.when(F.col("part") == "lang", F.col("c"))).alias("n"), kinds("prefix").alias("prefixes"), kinds("suffix").alias("suffixes")).where("n >= 10")
+    return v.join(n, "core").select("core", "n", "prefixes", "suffixes", "part", "value", "c")
 
 
 @query("core_concentration", _SLOTS + """, c AS (SELECT core, doc_id, count(*) AS c FROM slots GROUP BY 1, 2), v AS (SELECT core, count(DISTINCT (prefix, suffix)) AS variants FROM slots GROUP BY 1)
 SELECT core, sum(c)::BIGINT AS n, variants, round(max(c) / sum(c)::DOUBLE, 6) + 0.0 AS concentration FROM c JOIN v USING (core) GROUP BY core, variants HAVING sum(c) >= 8""")
 def _(t):
-    s = slots(corpus(t), "doc_id")
+    s = slots(bare(t), "doc_id")
     c = s.groupBy("core", "doc_id").agg(F.count("*").alias("c"), F.collect_set(F.struct("prefix", "suffix")).alias("v"))
     c = c.groupBy("core").agg(F.sum("c").alias("n"), F.max("c").alias("m"), F.size(F.array_distinct(F.flatten(F.collect_set("v")))).cast("long").alias("variants"))
     return c.where("n >= 8").select("core", "n", "variants", r6(F.col("m") / F.col("n")).alias("concentration"))
@@ -347,7 +376,7 @@ def _(t):
 @query("document_reach", TOK + """, r AS (SELECT word, count(DISTINCT doc_id) AS df FROM tokens GROUP BY 1)
 SELECT count(*) AS types, count(*) FILTER (WHERE df >= 10) AS persistent, count(*) FILTER (WHERE df = 1) AS transient, max(df) AS widest FROM r""")
 def _(t):
-    r = corpus(t).select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    r = bare(t).select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("df"))
     return r.agg(F.count("*").alias("types"), F.count(F.when(F.col("df") >= 10, 1)).alias("persistent"), F.count(F.when(F.col("df") == 1, 1)).alias("transient"), F.max("df").alias("widest"))
 
 
@@ -355,7 +384,7 @@ def _(t):
 d AS (SELECT a.source AS a, b.source AS b, sum(a.c * b.c) AS d FROM c a JOIN c b ON a.word = b.word AND a.source < b.source GROUP BY 1, 2)
 SELECT a AS source_a, b AS source_b, round(d / (x.n * y.n), 6) + 0.0 AS cosine FROM d JOIN n x ON x.source = a JOIN n y ON y.source = b""")
 def _(t):
-    c = corpus(t, "source").groupBy("source", "word").agg(F.count("*").cast("double").alias("c"))
+    c = bare(t, "source").groupBy("source", "word").agg(F.count("*").cast("double").alias("c"))
     n = c.groupBy("source").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
     bags = c.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("source", "c"))).alias("b"))  # an entry for each source
     pair = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.greatest(F.size("b") - i - 1, F.lit(0))), lambda y: F.struct(x["source"].alias("source_a"), y["source"].alias("source_b"), (x["c"] * y["c"]).alias("d")))))
@@ -370,7 +399,7 @@ i AS (SELECT count(*) AS k FROM b p JOIN b q ON p.x = q.x AND p.y = q.y WHERE p.
 SELECT a AS pairs_en, b AS pairs_fr, k AS shared, round(k / (a + b - k)::DOUBLE, 6) + 0.0 AS jaccard FROM s, i""")
 def _(t):
     w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
-    b = corpus(t, "lang").where("lang in ('en', 'fr')").withColumn("y", F.lead("word").over(w)).where("y is not null")
+    b = lined(t, "lang").where("lang in ('en', 'fr')").withColumn("y", F.lead("word").over(w)).where("y is not null")
     b = b.groupBy("word", "y").agg(F.max((F.col("lang") == "en").cast("int")).alias("e"), F.max((F.col("lang") == "fr").cast("int")).alias("f"))
     s = b.agg(F.sum("e").alias("pairs_en"), F.sum("f").alias("pairs_fr"), F.sum(F.col("e") * F.col("f")).alias("shared"))
     return s.withColumn("jaccard", r6(F.col("shared") / (F.col("pairs_en") + F.col("pairs_fr") - F.col("shared"))))
@@ -380,7 +409,7 @@ def _(t):
 SELECT doc_id, count(*) AS tokens, types, round(types / count(*)::DOUBLE, 6) + 0.0 AS ttr, round(once / types::DOUBLE, 6) + 0.0 AS hapax, round(avg(length(word)), 6) + 0.0 AS mean_length, round(stddev_pop(length(word)), 6) + 0.0 AS sd_length,
 count(DISTINCT line_no) AS lines, round(avg(CASE WHEN regexp_matches(word, '[ktpf]') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS gallows FROM tokens JOIN p USING (doc_id) GROUP BY doc_id, types, once""")
 def _(t):
-    c = corpus(t).groupBy("doc_id", "word").agg(F.count("*").alias("c"), F.collect_set("line_no").alias("ls"))
+    c = lined(t).groupBy("doc_id", "word").agg(F.count("*").alias("c"), F.collect_set("line_no").alias("ls"))
     n, k = F.length("word").cast("double"), F.col("c").cast("double")
     out = c.groupBy("doc_id").agg(
         F.sum("c").alias("tokens"), F.count("*").alias("types"), F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.sum(n * k).alias("s1"), F.sum(n * n * k).alias("s2"),
@@ -393,7 +422,7 @@ def _(t):
 @query("word_split_counts", TOK + """, w AS (SELECT word, count(*) AS c FROM tokens GROUP BY 1), s AS (SELECT substr(word, 1, i) AS l, substr(word, i + 1) AS r, c FROM (SELECT word, c, unnest(range(1, length(word))) AS i FROM w))
 SELECT 'left' AS side, l AS part, sum(c)::BIGINT AS tokens, count(DISTINCT r) AS types FROM s GROUP BY l HAVING sum(c) >= 50 UNION ALL SELECT 'right', r, sum(c)::BIGINT, count(DISTINCT l) FROM s GROUP BY r HAVING sum(c) >= 50""")
 def _(t):
-    w = corpus(t).groupBy("word").agg(F.count("*").alias("c")).where(F.length("word") > 1)
+    w = bare(t).groupBy("word").agg(F.count("*").alias("c")).where(F.length("word") > 1)
     cut = lambda i: F.struct(F.substring("word", F.lit(1), i).alias("l"), F.substring("word", i + 1, F.length("word")).alias("r"))
     s = w.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), cut)).alias("x"))
     s = s.select("c", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("x.l").alias("part")), F.struct(F.lit("right").alias("side"), F.col("x.r").alias("part")))).alias("y"))
@@ -403,21 +432,21 @@ def _(t):
 @query("canonical_form", _SLOTS + """, c AS (SELECT core, word, count(*) AS c FROM slots GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY core ORDER BY c DESC, word) AS k FROM c)
 SELECT core, word, c FROM r WHERE k = 1""")
 def _(t):
-    c = slots(corpus(t)).groupBy("core", "word").agg(F.count("*").alias("c"))
+    c = slots(bare(t)).groupBy("core", "word").agg(F.count("*").alias("c"))
     return c.groupBy("core").agg(F.min(F.struct((-F.col("c")).alias("k"), "word")).alias("m")).select("core", "m.word", (-F.col("m.k")).alias("c"))
 
 
 @query("length_percentiles", TOK + "SELECT lang, round(quantile_cont(length(word), 0.025), 6) + 0.0 AS p025, round(quantile_cont(length(word), 0.5), 6) + 0.0 AS p50, round(quantile_cont(length(word), 0.975), 6) + 0.0 AS p975 FROM tokens GROUP BY lang")
 def _(t):
     q = lambda p, n: r6(F.percentile(F.length("word"), p)).alias(n)
-    return corpus(t, "lang").groupBy("lang").agg(q(0.025, "p025"), q(0.5, "p50"), q(0.975, "p975"))
+    return bare(t, "lang").groupBy("lang").agg(q(0.025, "p025"), q(0.5, "p50"), q(0.975, "p975"))
 
 
 @query("stratified_mi_prefix_suffix", _SLOTS + """, j AS (SELECT source, prefix AS x, suffix AS y, count(*)::DOUBLE AS c FROM slots GROUP BY 1, 2, 3), n AS (SELECT source, sum(c) AS n, sum(c * log2(c)) AS s FROM j GROUP BY 1),
 a AS (SELECT source, sum(m * log2(m)) AS s FROM (SELECT source, x, sum(c) AS m FROM j GROUP BY 1, 2) GROUP BY 1), b AS (SELECT source, sum(m * log2(m)) AS s FROM (SELECT source, y, sum(c) AS m FROM j GROUP BY 1, 2) GROUP BY 1)
 SELECT round(sum((log2(n) + (n.s - a.s - b.s) / n) * n) / sum(n), 6) + 0.0 AS mi FROM n JOIN a USING (source) JOIN b USING (source)""")
 def _(t):
-    return info.stratified_mi(slots(corpus(t, "source"), "source"), "prefix", "suffix", ["source"]).select(r6("mi").alias("mi"))
+    return info.stratified_mi(slots(bare(t, "source"), "source"), "prefix", "suffix", ["source"]).select(r6("mi").alias("mi"))
 
 
 @query("interslot_nmi_parts", "WITH f AS (SELECT p_brand AS a, p_type AS b, p_size AS c FROM part), " + " ".join(f"""

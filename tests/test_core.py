@@ -181,7 +181,7 @@ def test_sources(spark, tmp_path):
     from lexiloom.functions.words import page_label
 
     got = M.page_features(spark, str(tmp_path / "p.json")).select(page_label(*[F.col(c) for c in ("ink", "green", "redbrown", "blue", "edge")]).alias("l")).collect()
-    assert [r.l for r in got] == ["blank/cover", "HERBAL (foliage+roots)"]
+    assert [r.l for r in got] == ["empty", "plant with roots"]
     assert one(spark, M.html_text(F.lit("<p>a&amp;b<script>x</script> <b>c</b></p>"))) == "a&b c"
 
 
