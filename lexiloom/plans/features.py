@@ -53,9 +53,12 @@ def _(t):
 @query("line_edge_kl", TOK + """, f AS (SELECT substr(word, 1, 1) AS g, pos = 0 AS first, pos = n_line - 1 AS last FROM tokens), p AS (SELECT g, count(*) FILTER (WHERE first) AS a, count(*) FILTER (WHERE last) AS b, count(*) AS c FROM f GROUP BY 1), n AS (SELECT sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, sum(c)::DOUBLE AS nc FROM p)
 SELECT round(sum(CASE WHEN a > 0 THEN a / na * log2((a / na) / (c / nc + 1e-9::DOUBLE)) ELSE 0 END), 6) + 0.0 AS kl_first, round(sum(CASE WHEN b > 0 THEN b / nb * log2((b / nb) / (c / nc + 1e-9::DOUBLE)) ELSE 0 END), 6) + 0.0 AS kl_last FROM p, n""")
 def _(t):
-    f = lined(t).select(F.substring("word", 1, 1).alias("g"), (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("n_line") - 1).alias("last"))
-    k = lambda c: info.kl(f.where(c), f, "g", "support", name="kl_" + c)
-    return k("first").join(F.broadcast(k("last"))).select(r6("kl_first").alias("kl_first"), r6("kl_last").alias("kl_last"))
+    """Initials of the first and of the last words of lines against all initials: one count of initials by place."""
+    pos, last = F.col("pos"), F.col("pos") == F.col("n_line") - 1
+    f = lined(t).groupBy(F.substring("word", 1, 1).alias("g")).agg(F.count(F.when(pos == 0, 1)).alias("a"), F.count(F.when(last, 1)).alias("b"), F.count("*").alias("c"))
+    f = f.join(F.broadcast(f.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum("c").alias("nc"))))  # one row
+    kl = lambda x: F.sum(F.when(F.col(x) > 0, F.col(x) / F.col("n" + x) * F.log2(F.col(x) / F.col("n" + x) / (F.col("c") / F.col("nc") + 1e-9))).otherwise(0.0))
+    return f.agg(r6(kl("a")).alias("kl_first"), r6(kl("b")).alias("kl_last"))
 
 
 @query("state_distance_halves", TOK + """, h AS (SELECT doc_id % 2 AS side, substr(word, 1, 1) AS ctx, right(word, 1) AS s, count(*)::DOUBLE AS c FROM tokens GROUP BY 1, 2, 3), p AS (SELECT ctx, s, c, sum(c) OVER (PARTITION BY ctx) AS t FROM h WHERE side = 0), q AS (SELECT ctx, s, c, sum(c) OVER (PARTITION BY ctx) AS t FROM h WHERE side = 1),
