@@ -16,6 +16,7 @@ LOCUS = r"^<(f[0-9]+[rv][0-9]*)\.(\d+),([^;]*);([A-Z])>\s*(.*)$"
 def clean_words(raw: Column | str) -> Column:
     """Words of a transcribed line: markup and comments go, [a:b] reads a, * is an unread glyph, commas part words. The order of the rules matters."""
     s = F.col(raw) if isinstance(raw, str) else raw
+    # fixed rules of the format, in their order
     for pattern, to in ((r"<[^>]*>", ""), (r"\{[^}]*\}", ""), (r"\[([^:\]]*):[^\]]*\]", "$1"), ("[!%]", ""), (r"\*", "?"), (",", ".")):
         s = F.regexp_replace(s, pattern, to)
     return F.filter(F.split(F.trim(s), r"\."), lambda w: w != "")
@@ -56,8 +57,12 @@ CORPUS = T.StructType([
 
 def json_corpus(spark: SparkSession, path: str, dialect: str | None = None) -> DataFrame:
     """(folio, line, locus, words, meta) of a corpus document keyed by folio; metadata that is missing counts as '?'."""
-    doc = spark.read.schema(CORPUS).option("multiLine", True).json(path)
-    rows = doc.select("meta", F.explode("folios").alias("folio", "ls")).select("folio", F.col("meta")[F.col("folio")].alias("meta"), F.explode("ls").alias("l")).select("folio", "meta", "l.*")
+    return corpus_lines(spark.read.schema(CORPUS).option("multiLine", True).json(path), dialect)
+
+
+def corpus_lines(docs: DataFrame, dialect: str | None = None) -> DataFrame:
+    """The lines of corpus documents (meta, folios) that have been read."""
+    rows = docs.select("meta", F.explode("folios").alias("folio", "ls")).select("folio", F.col("meta")[F.col("folio")].alias("meta"), F.explode("ls").alias("l")).select("folio", "meta", "l.*")
     return rows if dialect is None else rows.where(F.coalesce(F.col("meta").getItem("L"), F.lit("?")) == dialect)
 
 
@@ -71,13 +76,18 @@ TOKEN = T.StructType([
 def token_table(spark: SparkSession, path: str, role: str | None = None, section: str | None = None, currier: str | None = None) -> DataFrame:
     """Tokens of a body document ({"tokens": [...]}), certain ones, by role, section and currier."""
     schema = T.StructType([T.StructField("tokens", T.ArrayType(TOKEN))])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("tokens").alias("t")).select("t.*").where(~F.coalesce("uncertain", F.lit(False)))
+    rows = certain_tokens(spark.read.schema(schema).option("multiLine", True).json(path))
     for name, value in (("role", role), ("section", section), ("currier", currier)):
         if value is not None:
             rows = rows.where(F.coalesce(name, F.lit("?")) == value)
     return rows
 
 
+def certain_tokens(docs: DataFrame) -> DataFrame:
+    """Tokens of body documents (tokens) that have been read, without uncertain ones."""
+    return docs.select(F.explode("tokens").alias("t")).select("t.*").where(~F.coalesce("uncertain", F.lit(False)))
+
+
 def plain_words(text: Column | str, keep: int | None = None) -> Column:
     """Words of a control text: lower case, everything but a-z a space; the first `keep` of them."""
     t = F.col(text) if isinstance(text, str) else text
