@@ -166,6 +166,13 @@ def invariant_shape(word: Column | str) -> Column:
     return F.struct(F.length(w).alias("length"), F.size(F.array_distinct(letters)).alias("letters"), w.rlike(r"(.)\1").alias("double"))
 
 
+def ring_shape(word: Column | str) -> Column:
+    """struct(length up to 8, first letter is the last, adjacent double, any letter repeats): no substitution changes it."""
+    w = _c(word)
+    repeats = F.size(F.array_distinct(F.split(w, ""))) < F.length(w)
+    return F.struct(F.least(F.length(w), F.lit(8)).alias("length"), (F.substring(w, 1, 1) == F.right(w, F.lit(1))).alias("round"), w.rlike(r"(.)\1").alias("double"), repeats.alias("repeats"))
+
+
 def has_gallows(word: Column | str) -> Column:
     return _c(word).rlike(f"[{GALLOWS}]")
 

@@ -300,17 +300,17 @@ def _u(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def _wheel(value: str, n: str = "n") -> Column:
+def wheel(value: str, n: str = "n") -> Column:
     """An aggregate: values in order with the counts up to and with each, for draws by `_turn`."""
     rows = F.array_sort(F.collect_list(F.struct(value, n)))
     sums = F.aggregate(rows, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + x[n])))
     return F.struct(F.transform(rows, lambda x: x[value]).alias("values"), sums.alias("sums"))
 
 
-def _turn(wheel: Column, u: Column) -> Column:
+def turn(drawn: Column, u: Column) -> Column:
     """The value of a wheel at u in [0, 1)."""
-    at = F.floor(u * F.element_at(wheel["sums"], -1))
-    return F.get(wheel["values"], F.size(F.filter(wheel["sums"], lambda s: s <= at)))
+    at = F.floor(u * F.element_at(drawn["sums"], -1))
+    return F.get(drawn["values"], F.size(F.filter(drawn["sums"], lambda s: s <= at)))
 
 
 _TYPES = ", ty AS (SELECT DISTINCT word FROM tokens), ln AS (SELECT length(word) AS v, count(*) AS n FROM ty GROUP BY 1), lc AS (SELECT v, sum(n) OVER (ORDER BY v) AS hi, sum(n) OVER (ORDER BY v) - n AS lo FROM ln), ut AS (SELECT unnest(string_split(word, '')) AS v FROM ty), un AS (SELECT v, count(*) AS n FROM ut GROUP BY 1), uc AS (SELECT v, sum(n) OVER (ORDER BY v) AS hi, sum(n) OVER (ORDER BY v) - n AS lo FROM un)"
@@ -322,12 +322,12 @@ SELECT count(*) AS n, count(DISTINCT x.word) AS types, count(ty.word) AS atteste
 def _(t):
     """Words of drawn lengths and letters, and how many of them the corpus has: the floor of what an automaton regenerates."""
     types = bare(t).select("word").distinct()
-    lengths = types.groupBy(F.length("word").alias("v")).agg(F.count("*").alias("n")).agg(_wheel("v").alias("lengths"))
-    letters = types.select(F.explode(F.split("word", "")).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(_wheel("v").alias("letters"))
+    lengths = types.groupBy(F.length("word").alias("v")).agg(F.count("*").alias("n")).agg(wheel("v").alias("lengths"))
+    letters = types.select(F.explode(F.split("word", "")).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(wheel("v").alias("letters"))
     i = F.col("i").cast("string")
     d = t.spark.range(2000).withColumnRenamed("id", "i").join(F.broadcast(lengths)).join(F.broadcast(letters))  # an alphabet and a table of lengths
-    d = d.withColumn("size", F.least(_turn(F.col("lengths"), W.uniform("zl", i)), F.lit(40)))
-    word = F.array_join(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda j: _turn(F.col("letters"), W.uniform("zg", i, j.cast("string")))), "")
+    d = d.withColumn("size", F.least(turn(F.col("lengths"), W.uniform("zl", i)), F.lit(40)))
+    word = F.array_join(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda j: turn(F.col("letters"), W.uniform("zg", i, j.cast("string")))), "")
     x = d.select(word.alias("word")).join(types.select(F.col("word").alias("known")), F.col("word") == F.col("known"), "left")
     return x.agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"), F.count("known").alias("attested"), F.count_distinct("known").alias("attested_types"))
 
@@ -342,11 +342,11 @@ def _(t):
     x = F.concat(F.lit("^"), "word", F.lit("$"))
     pair = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.struct(F.substring(x, i, F.lit(1)).alias("a"), F.substring(x, i + 1, F.lit(1)).alias("v")))
     n = w.select("lang", "k", F.explode(pair).alias("p")).groupBy("lang", "p.a", "p.v").agg(F.sum("k").alias("n"))
-    chain = n.groupBy("lang", "a").agg(_wheel("v").alias("wheel")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("a", "wheel"))).alias("chain"))  # an alphabet squared for each language
+    chain = n.groupBy("lang", "a").agg(wheel("v").alias("wheel")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("a", "wheel"))).alias("chain"))  # an alphabet squared for each language
     d = chain.select("lang", "chain", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i"))
 
     def step(acc: Column, j: Column) -> Column:
-        nxt = _turn(F.element_at("chain", acc["cur"]), W.uniform("lc", F.col("lang"), F.col("i").cast("string"), j.cast("string")))
+        nxt = turn(F.element_at("chain", acc["cur"]), W.uniform("lc", F.col("lang"), F.col("i").cast("string"), j.cast("string")))
         nxt = F.when(acc["cur"] == "$", "$").otherwise(nxt)
         return F.struct(nxt.alias("cur"), F.when(nxt == "$", acc["word"]).otherwise(F.concat(acc["word"], nxt)).alias("word"))
 
