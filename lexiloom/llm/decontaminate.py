@@ -192,7 +192,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM) -> DataFrame:
-    """docs without the rows whose text holds a test item; columns as they are, and no shuffle."""
+    """docs without the rows whose text holds a test item; columns as they are, and no shuffle.
+
+    Null and empty texts hold nothing; repeated rows and rows without doc_id are judged one by one; a text of any length
+    is read whole. Without test items, all rows stay; an empty table stays empty.
+    """
     at = docs.columns.index("text")
     for index in _blocks(benchmark, "item_id", "text", n):
         given = docs.sparkSession.sparkContext.broadcast(index)

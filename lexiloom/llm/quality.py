@@ -249,7 +249,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of docs that score `least` or more; columns as they are, and no shuffle."""
+    """The rows of docs that score `least` or more; columns as they are, and no shuffle.
+
+    A null text is scored as an empty one; repeated rows and rows without doc_id are judged one by one; a text of any
+    length is read whole. An empty table stays empty.
+    """
     at = docs.columns.index("text")
     given = docs.sparkSession.sparkContext.broadcast(model)
 

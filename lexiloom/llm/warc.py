@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import itertools
 import re
 import uuid
@@ -133,7 +134,7 @@ def open_gzip(path: str):
     """The uncompressed stream of a file that may be compressed record by record."""
     system, base = open_fs(path)
     raw = system.open_input_stream(base, compression=None)
-    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 16)
 
 
 def salvage(path: str, faults: list[str]) -> Iterator[ArcRecord]:
@@ -145,6 +146,8 @@ def salvage(path: str, faults: list[str]) -> Iterator[ArcRecord]:
         with open_gzip(path) as stream:
             yield from read_arc(stream)
     except (ValueError, EOFError, zlib.error, gzip.BadGzipFile) as e:
+        if isinstance(e, io.UnsupportedOperation):  # no fault of the file
+            raise
         faults.append(f"{type(e).__name__}: {e}")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -27,6 +29,33 @@ def test_arc_versions():
         list(W.read_arc(io.BytesIO(b"no archive\n")))
 
 
+def test_headers_of_old_servers_and_payloads_with_empty_lines():
+    from lexiloom.llm import warc as W
+
+    for gap in (b"\r\n\r\n", b"\n\n"):
+        for payload in (b"", b"hello\r\n\r\nworld", b"a\n\nb"):
+            content = b"HTTP/1.0 200 OK" + gap[: len(gap) // 2] + b"X-Page-Id: 7" + gap + payload
+            r = next(x for x in W.read_arc(io.BytesIO(W.arc_start(1, "x.arc") + W.arc_record(1, "u", "0.0.0.0", "1999", "text/html", content))) if x.ordinal)
+            assert r.payload == payload and W.http_header(content, "x-page-id") == "7"
+            (headers, block) = next(iter(W.read_warc(io.BytesIO(W.convert(r, "x.arc")))))
+            assert W.split_http(block)[1] == payload and headers["warc-payload-digest"] == W.digest32(payload)
+
+
+def test_a_malformed_archive_is_converted_up_to_the_fault(spark, tmp_path):
+    from lexiloom.llm import warc as W
+
+    page = lambda i: W.arc_record(1, f"http://a/{i}", "0.0.0.0", "1999", "text/html", b"HTTP/1.0 200 OK\nX-Page-Id: %d\n\nbody" % i)
+    parts = {"good": W.arc_start(1, "x") + page(1) + page(2), "short": W.arc_start(1, "x") + page(3) + page(4)[:-9], "wrong": W.arc_start(1, "x") + page(5) + page(6).replace(b" 34\n", b" 32\n", 1) + page(7), "none": b"<html>"}
+    assert b" 34\n" in page(6)
+    for name, data in parts.items():
+        (tmp_path / f"{name}.arc").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / f"{n}.arc"),) for n in parts], "path string")
+    assert sorted(r["page_id"] for r in W.index_arcs(files).collect()) == [1, 2, 3, 5, 6]
+    warcs = W.convert_arcs(files, str(tmp_path / "out"))
+    assert sorted((r["path"].rsplit("/", 1)[1].split("-")[0], r["fault"] is None) for r in warcs.collect()) == [("good", True), ("none", False), ("short", False), ("wrong", False)]
+    assert sorted(r["page_id"] for r in W.read_warcs(warcs).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_archive_pages(spark):
     from lexiloom.llm.warc import archive_pages
 
@@ -69,32 +98,111 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.search(table.where("false"), table).count() == 0
 
 
+def test_registered_ann_query_recalls_its_neighbours(spark):
+    """Recall of op1_ann against brute force at sf0.01, all of its queries."""
+    from lexiloom.llm.ann import op1_ann
+
+    table = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{table}/embeddings.parquet").collect() if r["embedding"]]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got = {}
+    for r in op1_ann(spark, table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = n = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(got[ids[q]] & set(ids[np.argsort(-score)[:20]].tolist()))
+        n += 20
+    assert hit >= 0.9 * n
+
+
+def _pipeline_by_brute_force(spark, data):
+    """The documents that the mix takes, as (doc_id, times), and what each stage before has left: plain definitions over all pairs."""
+    import duckdb
+    import pandas as pd
+
+    from lexiloom.llm import decontaminate, quality
+    from lexiloom.llm.mixing import OP5_SQL
+    from tests.llm.test_text_ops import components
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    held = {r["doc_id"]: r for r in docs.collect()}
+    good = sorted(r["doc_id"] for r in quality.scores(docs, model).collect() if r["score"] >= 0.3)
+
+    def shingles(i):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), held[i]["text"] or ""))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    own = {i: shingles(i) for i in good}
+    root = components(good, lambda a, b: 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]))
+    one = [i for i in good if root[i] == i]
+    plain = lambda t: [x for x in map(decontaminate.plain, re.findall(r"[^\x20\x09-\x0D]+", t or "")) if x]
+    code: dict[str, int] = {}
+    coded = lambda t: np.array([code.setdefault(x, len(code)) for x in plain(t)], np.uint64)
+    items = [coded(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    clean = []
+    for i in one:
+        w = coded(held[i]["text"])
+        grams = lambda v: {tuple(v[k : k + 3].tolist()) for k in range(len(v) - 2)}
+        mine = grams(w)
+        leak = any(len(x) > 2 and mine & grams(x) and decontaminate.smith_waterman(x, w)[0] >= 0.5 * 2 * len(x) for x in items)
+        clean += [] if leak else [i]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, held[i]["text"], held[i]["source"]) for i in clean], columns=["doc_id", "text", "source"]))
+    times = {i: (n // size if size else None) for i, size, n in con.execute(f"SELECT doc_id, size, taken FROM ({OP5_SQL})").fetchall()}
+    return held, good, one, clean, times
+
+
 def test_pipeline_against_brute_force(spark, data):
-    """Each stage decides on whole input; the brute-force version repeats the decisions that are plain definitions."""
+    """Every stage and the rows of run() against plain definitions over all documents; only the model's scores are taken as they are."""
+    import zlib
+
     import corpus_pipeline
-    from lexiloom.llm import decontaminate, quality, tokens
+    from lexiloom.llm import tokens
 
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+    held, good, one, clean, times = _pipeline_by_brute_force(spark, data)
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    labels = spark.read.parquet(f"{data}/labels.parquet")
-    out = corpus_pipeline.run(spark, data).collect()
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"] for r in quality.scores(docs, quality.train(docs, labels)).collect() if r["score"] >= 0.3}
-    from tests.llm.test_text_ops import components, simhash
-
-    fps = {i: simhash(texts[i]) for i in sorted(good)}
-    root = components(sorted(good), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
-    one = {i for i in good if root[i] == i}
-    items = [r["text"].lower().split() for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    plain = {i: " ".join(filter(None, map(decontaminate.plain, texts[i].split()))) for i in one}
-    leaks = {i for i in one if any(" ".join(filter(None, map(decontaminate.plain, x))) in plain[i] for x in items)}
-    kept = {r["doc_id"] for r in out}
-    assert kept <= one - leaks
-    tok = tokens.Encoder(tokens.tokenizer_path()).tokenizer
-    for r in random.Random(1).sample(out, 20):
-        assert r["n_tokens"] == len(tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1
-    out.sort(key=lambda r: r["start"])
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:3], (good, one, clean), strict=True):
+        docs = stage(spark, docs, data)
+        assert sorted(r["doc_id"] for r in docs.collect()) == want and docs.columns == spark.read.parquet(f"{data}/documents.parquet").columns
+    out = sorted(corpus_pipeline.run(spark, data).collect(), key=lambda r: r["start"])
     assert [r["start"] for r in out] == np.cumsum([0, *[r["n_tokens"] for r in out][:-1]]).tolist()
+    assert [r["doc_id"] for r in out] == sorted(r["doc_id"] for r in out)
+    assert {i: n for i, n in Counter(r["doc_id"] for r in out).items() if times[i] is not None} == {i: n for i, n in times.items() if n}
+    tok = tokens.Encoder(tokens.tokenizer_path()).tokenizer
+    for r in out:
+        ids = [*tok.encode(held[r["doc_id"]]["text"] or "", add_special_tokens=False).ids, 2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, empty, repeated and long rows, and columns that clash with those of the operators, through all stages; and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "and"]) + str(rng.randrange(50)) for _ in range(n))
+    rows = [(i, prose(60), "en", f"s{i % 3}" if i % 4 else None, 1) for i in range(40)]
+    rows += [rows[5], (41, None, None, None, None), (42, "", "en", "s1", 0), (None, prose(30), "en", "s1", 3), (None, None, None, None, None), (43, prose(30_000), "en", "s2", 4), (44, "x" * 50_000, "en", "s2", 4), (45, rows[3][1], "en", "s2", 4)]
+    clash = "*, 'c' as y_, 'c' as key_, 'c' as source_, 'c' as size, 'c' as u, 'c' as v, 'c' as root, 'c' as sid, 'c' as keep, 'c' as score, 'c' as times, 'c' as item, 'c' as `row`, 'c' as n_docs"
+    full = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(*clash.split(", "))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[7][1]), (2, None)], "item_id long, text string")
+    for name, docs in (("full", full), ("empty", full.where("false"))):
+        at = str(tmp_path / name)
+        for table, df in (("documents", docs), ("labels", labels if name == "full" else labels.where("false")), ("benchmark", bench)):
+            df.write.parquet(f"{at}/{table}.parquet")
+        left = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            left = stage(spark, left, at)
+            assert left.columns == docs.columns
+            left.collect()
+        out = corpus_pipeline.run(spark, at).collect()
+        assert (len(out) == 0) == (name == "empty")
+        if out:
+            assert 7 not in {r["doc_id"] for r in out} and 45 not in {r["doc_id"] for r in out}
 
 
 def test_pipeline_drops_near_copies_of_similar_shingles(spark, monkeypatch):

@@ -263,6 +263,15 @@ def test_mix(docs):
     assert sum(len(re.findall(WHITE, r["text"] or "")) for r in copies.collect()) == sum(r["taken"] for r in got)
 
 
+def test_larger_documents_are_taken_at_larger_odds(spark):
+    from lexiloom.llm.mixing import mix
+
+    many = spark.range(30_000).selectExpr("id as doc_id", "repeat('w ', cast(case when id % 2 = 0 then 10 else 160 end as int)) as text", "concat('s', id % 3) as source")
+    rows = mix(many).where("target % source_size > 0").selectExpr("size", "taken div size - floor(target / source_size) as extra").groupBy("size").avg("extra").collect()
+    odds = {r[0]: r[1] / (1 - r[1]) for r in rows}
+    assert odds[160] / odds[10] == pytest.approx(4, rel=0.15)  # the square root of the ratio of sizes
+
+
 def test_mix_comes_near_its_targets(spark):
     from lexiloom.llm.mixing import mix
 
@@ -299,6 +308,11 @@ def test_quality(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in got) and all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in got if r["doc_id"] < 400)
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and quality.scores(docs, model).count() == len(rows())
+    good = {r["doc_id"] for r in quality.scores(docs, model).collect() if r["score"] >= 0.3}
+    assert {r["doc_id"] for r in kept.collect()} == good
+    assert quality.keep_good(docs.where("false"), model).count() == 0
+    clash = table.selectExpr("*", "'c' as y_", "'c' as key_", "'c' as score")
+    assert quality.train(clash, labels).base == model.base and quality.keep_good(clash, model).columns == clash.columns
 
 
 def test_decontamination(spark, docs):
@@ -319,6 +333,42 @@ def test_decontamination(spark, docs):
     assert got[1, 7]["score"] == 1 and (got[1, 7]["first_word"], got[1, 7]["last_word"]) == (50, 89) and 0.5 <= got[2, 7]["score"] < 1
     assert sorted(r["doc_id"] for r in drop_contaminated(table, bench).collect()) == [3, 4, 5, 6]
     assert drop_contaminated(docs, bench).columns == docs.columns
+    assert norm(map(tuple, drop_contaminated(docs, bench).collect())) == norm(map(tuple, docs.collect()))
+    assert drop_contaminated(docs.where("false"), bench).count() == 0 and drop_contaminated(table, bench.where("false")).count() == table.count()
+
+
+def test_decontamination_against_all_alignments(spark):
+    """Every document aligned whole with every item that it shares three neighbouring words with."""
+    import numpy as np
+
+    from lexiloom.llm import decontaminate as D
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    items = [[rng.choice(words) for _ in range(rng.randint(3, 40))] for _ in range(12)]
+    docs = []
+    for k in range(80):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 120))]
+        if k % 2:
+            x = [w for w in rng.choice(items) if rng.random() > 0.12]
+            x = [rng.choice(words) if rng.random() < 0.15 else w for w in x]
+            at = rng.randint(0, len(text))
+            text[at:at] = x
+        docs.append(text)
+    want = {}
+    number = {w: i for i, w in enumerate(words)}
+    code = lambda t: np.array([number[w] for w in t], np.uint64)
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    for i, t in enumerate(docs):
+        for j, x in enumerate(items):
+            if grams(t) & grams(x):
+                score = D.smith_waterman(code(x), code(t))[0] / (2 * len(x))
+                if score >= 0.5:
+                    want[i, j] = score
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(table, bench).collect()}
+    assert len(want) > 20 and got == pytest.approx(want)
 
 
 @pytest.mark.parametrize("copies", [16, 17, 1000])
