@@ -130,3 +130,34 @@ def deck_cipher(texts: DataFrame, table: dict[str, list[str]], seed: str) -> Dat
             yield pd.DataFrame({"stream": p["stream"], "symbols": out})
 
     return texts.select(F.col("stream").cast("string"), "text").mapInPandas(run, "stream string, symbols array<string>")
+
+
+def copied_words(fresh: DataFrame, seed: str, odds: float = 0.18, window: int = 30, mutate: float = 0.4, alphabet: str = "abcdefghijklmnopqrstuvwxyz", most_rounds: int = 200) -> DataFrame:
+    """(rep, i, word, source): a stream that copies itself. With `odds`, word i is that of one of the `window` places before, a letter changed with odds `mutate`; else it is fresh.
+
+    fresh: (rep, i, word), numbered from 0. Who copies whom is a hash of the place alone, so the copies form trees whose
+    roots are fresh words; each round gives the words of one more generation, and no replicate runs through one task.
+    RuntimeError if a chain is longer than `most_rounds`.
+    """
+    at = [F.col("rep").cast("string"), F.col("i").cast("string")]
+    back = 1 + F.floor(uniform(seed, "back", *at) * F.least(F.lit(window), F.col("i")))
+    rows = fresh.select("rep", "i", "word", F.when((F.col("i") > 0) & (uniform(seed, "copy", *at) < odds), F.col("i") - back).cast("long").alias("source"))
+    done = rows.where("source is null")
+    left = rows.where("source is not null").drop("word")
+    made, generation = [done], done
+    for _ in range(most_rounds):
+        parent = generation.select("rep", F.col("i").alias("source"), F.col("word").alias("w_"))
+        place = F.floor(uniform(seed, "place", *at) * F.length("w_")).cast("int")
+        letter = F.substring(F.lit(alphabet), F.floor(uniform(seed, "letter", *at) * len(alphabet)).cast("int") + 1, F.lit(1))
+        changed = F.concat(F.substring("w_", F.lit(1), place), letter, F.substring(F.col("w_"), place + 2, F.length("w_")))
+        word = F.when((uniform(seed, "mutate", *at) < mutate) & (F.length("w_") > 1), changed).otherwise(F.col("w_"))
+        generation = left.join(parent, ["rep", "source"]).withColumn("word", word).select("rep", "i", "word", "source").checkpoint()
+        if generation.isEmpty():
+            break
+        made.append(generation)
+    else:
+        raise RuntimeError(f"a chain of copies is longer than {most_rounds}")
+    out = made[0]
+    for g in made[1:]:
+        out = out.unionByName(g)
+    return out

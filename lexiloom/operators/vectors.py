@@ -90,42 +90,105 @@ def nearest(vector, centres: list[list[float]]):
     return F.array_min(F.transform(F.lit([[float(x) for x in c] for c in centres]), lambda c, i: F.struct(one(c).alias("d"), i.alias("i"))))
 
 
-def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 5) -> tuple[list[list[float]], DataFrame]:
-    """(centres, table of key and cluster): Lloyd's rounds from farthest-first centres; an empty cluster keeps its centre. Rows without a vector go."""
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, most_rounds: int = 200) -> tuple[list[list[float]], DataFrame]:
+    """(centres, table of key and cluster): Lloyd's rounds from farthest-first centres until no row changes its cluster; an empty cluster keeps its centre.
+
+    Rows without a vector go. RuntimeError if `most_rounds` rounds do not settle it.
+    """
     centres = farthest_first(rows, key, vector, k)
     v = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>").alias("v_"))
-    for _ in range(rounds if centres else 0):
-        hit = v.select(nearest(F.col("v_"), centres)["i"].alias("i"), "v_")
-        means = hit.groupBy("i").agg(F.array(*[F.avg(F.col("v_")[j]) for j in range(len(centres[0]))]).alias("m")).collect()
-        new = [*centres]
-        for r in means:
-            new[r["i"]] = list(r["m"])
-        if new == centres:
+    before = None
+    for _ in range(most_rounds if centres else 0):
+        hit = v.select(key, nearest(F.col("v_"), centres)["i"].alias("i"), "v_")
+        means = hit.groupBy("i").agg(F.array(*[F.avg(F.col("v_")[j]) for j in range(len(centres[0]))]).alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("h")).collect()
+        state = sorted((r["i"], r["n"], r["h"]) for r in means)
+        if state == before:
             break
-        centres = new
+        before = state
+        for r in means:
+            centres[r["i"]] = list(r["m"])
+    else:
+        if centres:
+            raise RuntimeError(f"clusters have not settled after {most_rounds} rounds")
     cluster = nearest(F.col("v_"), centres)["i"] if centres else F.lit(None).cast("int")
     return centres, v.select(key, cluster.alias("cluster"))
 
 
-def merge_boxes(boxes: DataFrame, page: str, least_iou: float = 0.34, least_inside: float = 0.62) -> DataFrame:
-    """(page, x0, y0, x1, y1, n): boxes of a page, largest area first, merged into the first kept box that they overlap.
+def balanced_assignment(rows: DataFrame, key: str, vector: str, centres: list[list[float]], capacity: int | None = None) -> DataFrame:
+    """(key, cluster): rows dealt to centres that take `capacity` rows each (an even share if not given), nearest pairs first.
+
+    Rows ask their centres in order of distance, and a centre keeps the nearest of all that have ever asked it, ties to
+    the smaller key: rounds of one ranking each, until nobody is turned away. A centre's ranking is numbered in
+    stretches of the distance (`sequence.ranks`). ValueError if the centres cannot take all rows.
+    """
+    from lexiloom.operators.sequence import ranks
+
+    v = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k_"), F.col(vector).cast("array<double>").alias("v_"))
+    n = v.count()
+    room = -(-n // len(centres)) if capacity is None else capacity
+    if room * len(centres) < n:
+        raise ValueError(f"{len(centres)} centres of {room} rows cannot take {n}")
+    one = lambda c: F.aggregate(F.zip_with("v_", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    wish = F.array_sort(F.transform(F.lit([[float(x) for x in c] for c in centres]), lambda c, i: F.struct(F.round(one(c), 9).alias("d"), i.alias("c"))))
+    at = v.select("k_", wish.alias("w_"), F.lit(0).alias("i_")).checkpoint()
+    while True:
+        asked = at.select("k_", "w_", "i_", F.get("w_", F.col("i_"))["d"].alias("d_"), F.get("w_", F.col("i_"))["c"].alias("c_"))
+        placed = ranks(asked, ["c_"], F.floor(F.col("d_") * 64), ["d_", "k_"], "r_")
+        at = placed.select("k_", "w_", F.when(F.col("r_") > room, F.col("i_") + 1).otherwise(F.col("i_")).alias("i_"), (F.col("r_") > room).alias("out_"), "c_").checkpoint()
+        if not at.where("out_").limit(1).count():
+            return at.select(F.col("k_").alias(key), F.col("c_").alias("cluster"))
+
+
+def kernel_ridge(rows: DataFrame, vector: str, target: str, width: float, ridge: float, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """(training vectors, dual weights) of ridge regression with a Gaussian kernel. The kernel matrix is dense, so that rows are counted first: ValueError above `most`."""
+    known = rows.where(F.col(vector).isNotNull() & F.col(target).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    if (n := known.count()) > most:
+        raise ValueError(f"{n} rows; the kernel matrix is bounded to {most}")
+    got = known.orderBy("x", "y").collect()
+    x, y = np.array([r["x"] for r in got], float), np.array([r["y"] for r in got], float)
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * width**2)) if n else np.zeros((0, 0))
+    return x, np.linalg.solve(k + ridge * np.eye(n), y - y.mean()) if n else y
+
+
+def kernel_ridge_predict(rows: DataFrame, key: str, vector: str, x: np.ndarray, weights: np.ndarray, mean: float, width: float) -> DataFrame:
+    """(key, predicted): mean plus the kernel's weighted sum; training vectors are a bounded broadcast."""
+    given = rows.sparkSession.sparkContext.broadcast((x, weights))
+
+    def run(batches):
+        known, w = given.value
+        for b in batches:
+            v = np.stack(b["v_"].to_list()) if len(b) else np.zeros((0, known.shape[1]))
+            k = np.exp(-((v[:, None] - known[None]) ** 2).sum(axis=2) / (2 * width**2))
+            yield pd.DataFrame({key: b[key], "predicted": mean + k @ w})
+
+    held = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v_"))
+    return held.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, predicted double")
+
+
+def merge_boxes(boxes: DataFrame, page: str, least_iou: float = 0.34, least_inside: float = 0.62, most_growth: float = 1.35) -> DataFrame:
+    """(page, x0, y0, x1, y1, n): boxes of a page, by falling priority, score and area, merged into the first kept box that they overlap.
 
     Overlap: intersection over union of least_iou, or intersection over the smaller area of least_inside. A merge grows
-    the kept box to the hull of both. Boxes with null corners or without area go. A page is one group: its boxes are few.
+    the kept box to the hull of both, if that is at most most_growth times its area; otherwise the kept box absorbs the
+    other and stays as it is. Columns priority and score are optional. Boxes with null corners or without area go. A
+    page is one group: its boxes are few.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         b = p[["x0", "y0", "x1", "y1"]].to_numpy(np.float64)
         area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         kept: list[list[float]] = []
-        for i in np.lexsort((b[:, 1], b[:, 0], -area)):
+        for i in np.lexsort((b[:, 1], b[:, 0], -area, -p["score"].to_numpy(np.float64), -p["priority"].to_numpy(np.float64))):
             x = b[i]
             for y in kept:
                 w, h = min(x[2], y[2]) - max(x[0], y[0]), min(x[3], y[3]) - max(x[1], y[1])
                 both = max(w, 0) * max(h, 0)
                 other = (y[2] - y[0]) * (y[3] - y[1])
                 if both and (both >= least_iou * (area[i] + other - both) or both >= least_inside * min(area[i], other)):
-                    y[:] = [min(x[0], y[0]), min(x[1], y[1]), max(x[2], y[2]), max(x[3], y[3]), y[4] + 1]
+                    hull = [min(x[0], y[0]), min(x[1], y[1]), max(x[2], y[2]), max(x[3], y[3])]
+                    if (hull[2] - hull[0]) * (hull[3] - hull[1]) <= most_growth * other:
+                        y[:4] = hull
+                    y[4] += 1
                     break
             else:
                 kept.append([*x, 1])
@@ -133,5 +196,6 @@ def merge_boxes(boxes: DataFrame, page: str, least_iou: float = 0.34, least_insi
         out.insert(0, page, p[page].iloc[0])
         return out
 
-    good = boxes.where("x1 > x0 and y1 > y0").select(page, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    ranked = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in boxes.columns else F.lit(0.0).alias(c) for c in ("priority", "score")]
+    good = boxes.where("x1 > x0 and y1 > y0").select(page, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], *ranked)
     return good.groupBy(page).applyInPandas(run, f"{page} {dict(good.dtypes)[page]}, x0 double, y0 double, x1 double, y1 double, n int")
