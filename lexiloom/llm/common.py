@@ -59,10 +59,20 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so that a lost executor costs no more than a reread."""
+#: Rows of a file of a small table.
+ROWS_PER_FILE = 500_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it back, so that a lost executor costs no more than a reread.
+
+    Where it is known that there are at most `rows` rows, they go to as few files as hold per_file of them each, since a
+    small table in hundreds of files costs a task for each of them whenever it is read.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -188,13 +198,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or state["n"] == 0:
             break
-        before = state
+        before, n = state, state["n"]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-low")
-        large = materialize(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges-large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-low", 2 * n)
+        large = materialize(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges-large", n)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "edges-low", n)
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges", 2 * n)
         discard(now, low, large, least)
         now = after
     else:

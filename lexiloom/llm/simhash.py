@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import connected_components, lean, materialize, slices
+from lexiloom.llm.common import connected_components, discard, lean, materialize, slices
 
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY_GENERATOR = 0xAE3
@@ -187,8 +187,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     if not 0 <= radius <= 2:
         raise ValueError("the Golay keys cover up to two differing bits")
     keys = materialize(_key_rows(fps.select("fp", "node")), "golay-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "golay-shared")  # so that a hot key's rows can be split
     met = materialize(keys.join(shared, "key"), "golay-met")
+    discard(keys, shared)
     cold = met.where(F.col("n") <= BUCKET).select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
     # Hot buckets: two words are within two bits of each other exactly if some word is within one bit of both (the
     # word itself and its 64 neighbours), so a star around each such word links all of its members, in linear work.
