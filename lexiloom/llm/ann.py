@@ -25,6 +25,8 @@ from lexiloom.llm.common import lean, materialize
 
 #: Bytes of vectors in a block of the index, and in a block of queries: what a task holds, and how seldom rows are copied.
 INDEX_BYTES, QUERY_BYTES = 32 << 20, 8 << 20
+#: Vectors that a block of the index holds at least.
+LEAST_ROWS = 1024
 #: Standard deviations of the error bound, as published; recall of the registered query is in the README.
 BOUND = 1.9
 #: Relative rounding error of a float32 product that the bounds allow for.
@@ -164,8 +166,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     count = lambda df, most: max(1, -(-(df.agg(F.sum(F.col("dim").cast("long") * 8).alias("n")).first()["n"] or 0) // most))
     blocks, groups = count(index, INDEX_BYTES), count(asked, QUERY_BYTES)
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # where one block of queries leaves cores idle, queries are dealt to more of them: a copy of the index costs less than a wait
-    groups = max(groups, min(-(-tasks // blocks), -(-asked.count() // 64)))
+    # smaller blocks of the index where cores would be idle: they cost copies of the queries alone, which are far fewer
+    blocks = max(blocks, min(-(-tasks // groups), -(-index.count() // LEAST_ROWS)))
     place = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     left = index.withColumn("b", place("id", blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = asked.withColumn("g", place("id", groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
