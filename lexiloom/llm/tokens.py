@@ -35,9 +35,9 @@ CHUNK = 1 << 16
 LEVEL = 3
 NO_ID = np.iinfo(np.int64).min
 #: Bytes of words, pieces and their ids that a task remembers before it starts afresh.
-KNOWN_BYTES = 64 << 20
+KNOWN_BYTES = 48 << 20
 #: Bytes of text that are encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 class Table:
@@ -105,10 +105,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(self.GAP, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        gap = self.bare.encode(self.GAP, add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.own = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.Split(self.GAP, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        gap = self._bare_ids([self.GAP])[0]
         self.gap, self.cuts = (gap[0] if len(gap) == 1 else None), True
         self.forget()
         probe = "Thé,IT'S 2nd&*ÀÖ'reß÷ª! a<|b x's. Ünïcode's12 naïve"
@@ -124,12 +124,19 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def _bare_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts cut at gaps alone; one tokenizer does for both kinds of text, since its vocabulary is most of a task's memory."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bare
+        try:
+            return [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.own
+
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, many encoded as one text with gaps between them, and how many each has."""
-        names, flat = pieces.to_pylist(), [np.zeros(0, np.uint32)]
-        for at in range(0, len(names), 1024):
-            flat.append(np.array(self.bare.encode(self.GAP.join([*names[at : at + 1024], ""]), add_special_tokens=False).ids, np.uint32))
-        flat = np.concatenate(flat)
+        names = pieces.to_pylist()
+        flat = self._bare_ids([self.GAP.join([*names[at : at + 1024], ""]) for at in range(0, len(names), 1024)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in flat)])
         ends = np.flatnonzero(flat == self.gap)
         if len(ends) != len(names):
             raise ValueError("the tokenizer makes the gap's id of something else")
