@@ -5,27 +5,37 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.words import uniform
-from lexiloom.operators.sequence import ranks
+from lexiloom.operators.sequence import offsets, ranks
 
 
 def cumulative(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
-    """(by, value, lo, hi): the values of a context on the unit interval, in order of the value."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    hi = F.sum(n).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(n).over(w)
-    return counts.withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(w.orderBy(value)), F.lit(0.0))).select(*by, value, "lo", "hi")
+    """(by, value, lo, hi): the values of a context on the unit interval, in order of the value; summed in stretches of values that begin alike."""
+    held = counts.select(*by, value, F.col(n).alias("n_"))
+    total = held.groupBy(*[F.col(k).alias(f"{k}_t") for k in by]).agg(F.sum("n_").alias("t_"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_t"))
+    at = offsets(held, by, value, "n_", F.substring(value, 1, 2), "o_")
+    at = at.join(total, same) if by else at.join(F.broadcast(total))  # one row
+    return at.select(*by, value, (F.col("o_") / F.col("t_")).alias("lo"), ((F.col("o_") + F.col("n_")) / F.col("t_")).alias("hi"))
+
+
+#: Parts of the unit interval by which draws meet the values that lie in them.
+PARTS = 4096
 
 
 def draw(rows: DataFrame, table: DataFrame, by: list[str], value: str, u: Column) -> DataFrame:
-    """rows with a value drawn from the table of their context: inverse distribution function by a range join inside the context."""
-    t = table.select(*[F.col(k).alias(f"{k}_t") for k in by], F.col(value), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
-    hit = (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
+    """rows with a value drawn from the table of their context: inverse distribution function, by an equi-join on context and part of the unit interval."""
+    last = F.least(F.floor(F.col("hi") * PARTS), F.lit(PARTS - 1))
+    t = table.select(*[F.col(k).alias(f"{k}_t") for k in by], F.col(value), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.explode(F.sequence(F.floor(F.col("lo") * PARTS), last)).alias("part_t"))
+    hit = (F.col("part_") == F.col("part_t")) & (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
     for k in by:
         hit = hit & F.col(k).eqNullSafe(F.col(f"{k}_t"))
-    return rows.withColumn("u_", u).join(F.broadcast(t) if not by else t, hit).drop("u_", "lo_", "hi_", *[f"{k}_t" for k in by])
+    return rows.withColumn("u_", u).withColumn("part_", F.floor(F.col("u_") * PARTS)).join(t, hit).drop("u_", "lo_", "hi_", "part_", "part_t", *[f"{k}_t" for k in by])
 
 
 def schema_words(slots: DataFrame, n: int, seed: str) -> DataFrame:
@@ -56,33 +66,49 @@ def _hash_unit(*parts: object) -> float:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def markov_words(words: DataFrame, order: int, n: int, reps: int, seed: str, word: str = "word", longest: int = 40) -> DataFrame:
-    """(rep, i, word): words of an order-k letter chain of the corpus. Contexts are a table of bounded size, words are drawn independently."""
-    counts = words.groupBy(word).agg(F.count("*").alias("k"))
+def wheel(value: str, n: str = "n") -> Column:
+    """An aggregate: values in order with the counts up to and with each, for draws by `turn`."""
+    rows = F.array_sort(F.collect_list(F.struct(value, n)))
+    sums = F.aggregate(rows, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + x[n])))
+    return F.struct(F.transform(rows, lambda x: x[value]).alias("values"), sums.alias("sums"))
+
+
+def turn(drawn: Column, u: Column) -> Column:
+    """The value of a wheel at u in [0, 1)."""
+    at = F.floor(u * F.element_at(drawn["sums"], -1))
+    return F.get(drawn["values"], F.size(F.filter(drawn["sums"], lambda s: s <= at)))
+
+
+def letter_chains(words: DataFrame, by: list[str], order: int = 1, word: str = "word") -> DataFrame:
+    """(by, chain): for each group one map from `order` letters (^ before a word) to the wheel of the letters that follow ($ ends a word), by tokens.
+
+    A row holds an alphabet to the power order + 1 at most, whatever the corpus is.
+    """
+    counts = words.groupBy(*by, word).agg(F.count("*").alias("k"))
     w = F.concat(F.lit("^" * order), F.col(word), F.lit("$"))
-    grams = counts.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length(w) - order), lambda i: F.struct(F.substring(w, i, F.lit(order)).alias("ctx"), F.substring(w, i + order, F.lit(1)).alias("nxt")))).alias("g"))
-    table = cumulative(grams.groupBy("g.ctx", "g.nxt").agg(F.sum("k").alias("n")), ["ctx"], "nxt")
-    chain: dict[str, list[tuple[float, str]]] = {}
-    for r in table.orderBy("ctx", "hi").toLocalIterator():
-        chain.setdefault(r["ctx"], []).append((r["hi"], r["nxt"]))
-    given = words.sparkSession.sparkContext.broadcast(chain)
+    grams = F.transform(F.sequence(F.lit(1), F.length(w) - order), lambda i: F.struct(F.substring(w, i, F.lit(order)).alias("ctx"), F.substring(w, i + order, F.lit(1)).alias("v")))
+    n = counts.select(*by, "k", F.explode(grams).alias("g")).groupBy(*by, "g.ctx", "g.v").agg(F.sum("k").alias("n"))
+    return n.groupBy(*by, "ctx").agg(wheel("v").alias("wheel")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ctx", "wheel"))).alias("chain"))
 
-    def run(parts):
-        for p in parts:
-            out = []
-            for rep, i in zip(p["rep"], p["i"], strict=True):
-                state, text = "^" * order, ""
-                while len(text) < longest:
-                    u = _hash_unit(seed, rep, i, len(text))
-                    x = next((s for hi, s in given.value[state] if u < hi), given.value[state][-1][1])
-                    if x == "$":
-                        break
-                    text, state = text + x, (state + x)[1:]
-                out.append(text)
-            yield pd.DataFrame({"rep": p["rep"], "i": p["i"], "word": out})
-
-    rows = words.sparkSession.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("rep", "i")
-    return rows.mapInPandas(run, "rep int, i long, word string")
+
+def chain_word(chain: Column, order: int, u, longest: int = 40) -> Column:
+    """A word drawn from a chain of `letter_chains`; u gives the uniform number of the j-th letter, from 0. One expression, no UDF."""
+
+    def step(acc: Column, j: Column) -> Column:
+        drawn = F.when(acc["end"], F.lit("$")).otherwise(turn(F.element_at(chain, acc["ctx"]), u(j)))
+        end = drawn == "$"
+        return F.struct(F.when(end, acc["ctx"]).otherwise(F.concat(F.substring(acc["ctx"], 2, order), drawn)).alias("ctx"), end.alias("end"), F.when(end, acc["word"]).otherwise(F.concat(acc["word"], drawn)).alias("word"))
+
+    start = F.struct(F.lit("^" * order).alias("ctx"), F.lit(False).alias("end"), F.lit("").alias("word"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(longest - 1)), start, step, lambda acc: acc["word"])
+
+
+def markov_words(words: DataFrame, order: int, n: int, reps: int, seed: str, word: str = "word", longest: int = 40) -> DataFrame:
+    """(rep, i, word): words of an order-k letter chain of the corpus, drawn independently of each other; the chain is one row."""
+    chain = letter_chains(words, [], order, word)
+    rows = words.sparkSession.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).join(F.broadcast(chain))
+    drawn = chain_word(F.col("chain"), order, lambda j: uniform(seed, F.col("rep").cast("string"), F.col("i").cast("string"), j.cast("string")), longest)
+    return rows.select("rep", "i", drawn.alias("word"))
 
 
 def self_citation(seeds: list[str], n: int, reps: int, spark, seed: str, window: int = 40, verbatim: float = 0.12, mutate: float = 0.55, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import words as W
 from lexiloom.operators import programs, sequence, state
+from lexiloom.operators.generate import chain_word, letter_chains, turn, wheel
 from lexiloom.operators.info import r6
 from lexiloom.plans.base import TOK, WORD, query, slots_sql
 from lexiloom.plans.lexical import bare, corpus, flow, lined, slots
@@ -300,19 +301,6 @@ def _u(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def wheel(value: str, n: str = "n") -> Column:
-    """An aggregate: values in order with the counts up to and with each, for draws by `_turn`."""
-    rows = F.array_sort(F.collect_list(F.struct(value, n)))
-    sums = F.aggregate(rows, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + x[n])))
-    return F.struct(F.transform(rows, lambda x: x[value]).alias("values"), sums.alias("sums"))
-
-
-def turn(drawn: Column, u: Column) -> Column:
-    """The value of a wheel at u in [0, 1)."""
-    at = F.floor(u * F.element_at(drawn["sums"], -1))
-    return F.get(drawn["values"], F.size(F.filter(drawn["sums"], lambda s: s <= at)))
-
-
 _TYPES = ", ty AS (SELECT DISTINCT word FROM tokens), ln AS (SELECT length(word) AS v, count(*) AS n FROM ty GROUP BY 1), lc AS (SELECT v, sum(n) OVER (ORDER BY v) AS hi, sum(n) OVER (ORDER BY v) - n AS lo FROM ln), ut AS (SELECT unnest(string_split(word, '')) AS v FROM ty), un AS (SELECT v, count(*) AS n FROM ut GROUP BY 1), uc AS (SELECT v, sum(n) OVER (ORDER BY v) AS hi, sum(n) OVER (ORDER BY v) - n AS lo FROM un)"
 
 
@@ -338,19 +326,9 @@ g AS (WITH RECURSIVE g(lang, i, j, cur, word) AS (SELECT lang, i, 0, '^', '' FRO
 SELECT lang, i, word FROM g WHERE word <> ''""")
 def _(t):
     """Words of a first-order chain of the letters of each language's words, weighted by their tokens, 40 letters at most; drawn inside one expression."""
-    w = bare(t, "lang").where("lang is not null").groupBy("lang", "word").agg(F.count("*").alias("k"))
-    x = F.concat(F.lit("^"), "word", F.lit("$"))
-    pair = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.struct(F.substring(x, i, F.lit(1)).alias("a"), F.substring(x, i + 1, F.lit(1)).alias("v")))
-    n = w.select("lang", "k", F.explode(pair).alias("p")).groupBy("lang", "p.a", "p.v").agg(F.sum("k").alias("n"))
-    chain = n.groupBy("lang", "a").agg(wheel("v").alias("wheel")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("a", "wheel"))).alias("chain"))  # an alphabet squared for each language
+    chain = letter_chains(bare(t, "lang").where("lang is not null"), ["lang"])
     d = chain.select("lang", "chain", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i"))
-
-    def step(acc: Column, j: Column) -> Column:
-        nxt = turn(F.element_at("chain", acc["cur"]), W.uniform("lc", F.col("lang"), F.col("i").cast("string"), j.cast("string")))
-        nxt = F.when(acc["cur"] == "$", "$").otherwise(nxt)
-        return F.struct(nxt.alias("cur"), F.when(nxt == "$", acc["word"]).otherwise(F.concat(acc["word"], nxt)).alias("word"))
-
-    word = F.aggregate(F.sequence(F.lit(0), F.lit(39)), F.struct(F.lit("^").alias("cur"), F.lit("").alias("word")), step, lambda acc: acc["word"])
+    word = chain_word(F.col("chain"), 1, lambda j: W.uniform("lc", F.col("lang"), F.col("i").cast("string"), j.cast("string")))
     return d.select("lang", F.col("i").cast("long").alias("i"), word.alias("word")).where("word <> ''")
 
 

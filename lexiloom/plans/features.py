@@ -161,9 +161,12 @@ def _(t):
     return generate.homophonic(l, "g", [F.col("doc_id"), F.col("seq"), F.col("i")], 3, "hom").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("markov_words")
+@query("markov_words", TOK + """, w AS (SELECT word, count(*) AS k FROM tokens GROUP BY 1), b AS (SELECT k, substr('^^' || word || '$', i, 2) AS a, substr('^^' || word || '$', i + 2, 1) AS v FROM (SELECT *, unnest(range(1, length(word) + 2)) AS i FROM w)), n AS (SELECT a, v, sum(k)::BIGINT AS n FROM b GROUP BY 1, 2),
+c AS (SELECT a, v, sum(n) OVER (PARTITION BY a ORDER BY v) AS hi, sum(n) OVER (PARTITION BY a ORDER BY v) - n AS lo, sum(n) OVER (PARTITION BY a) AS t FROM n),
+g AS (WITH RECURSIVE g(rep, i, j, ctx, done, word) AS (SELECT rep, i, 0, '^^', false, '' FROM range(2) x(rep), range(500) r(i) UNION ALL SELECT g.rep, g.i, g.j + 1, substr(g.ctx, 2, 1) || c.v, c.v = '$', CASE WHEN c.v = '$' THEN g.word ELSE g.word || c.v END FROM g JOIN c ON c.a = g.ctx AND floor((('0x' || substr(md5('mk|' || g.rep || '|' || g.i || '|' || g.j), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * t) >= lo AND floor((('0x' || substr(md5('mk|' || g.rep || '|' || g.i || '|' || g.j), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * t) < hi WHERE NOT g.done AND g.j < 40) SELECT rep, i, arg_max(word, j) AS word FROM g GROUP BY 1, 2)
+SELECT rep::INT AS rep, count(*) AS n, count(*) FILTER (WHERE word IN (SELECT word FROM w)) AS known FROM g GROUP BY 1""")
 def _(t):
-    """Words of an order-2 letter chain and whether the corpus has them: share by replicate. Sequential draws have no SQL form."""
+    """Words of an order-2 letter chain and whether the corpus has them: share by replicate."""
     c = bare(t)
     m = generate.markov_words(c, 2, 500, 2, "mk")
     seen = c.select("word").distinct().withColumn("known", F.lit(1))
@@ -203,9 +206,11 @@ def _(t):
     return p.agg(F.count("*").alias("pairs"), (F.round(F.corr(F.col("q") - F.col("p"), "y"), 5) + F.lit(0.0)).alias("r"))
 
 
-@query("hierarchical_state_bits")
+@query("hierarchical_state_bits", TOK + """, l AS (SELECT doc_id, line_no, seq, substr(word || '$', i, 1) AS s FROM (SELECT *, unnest(range(1, length(word) + 2)) AS i FROM tokens)), k AS (SELECT count(DISTINCT s) AS k FROM l), c AS (SELECT doc_id, line_no, seq, s, count(*) AS c FROM l GROUP BY ALL), n AS (SELECT doc_id, line_no, seq, sum(c) AS c FROM c GROUP BY ALL),
+m AS (SELECT doc_id, seq, sum(c) OVER (PARTITION BY doc_id ORDER BY seq) - c AS m1, sum(c) OVER (PARTITION BY doc_id, line_no ORDER BY seq) - c AS m2 FROM n), h AS (SELECT doc_id, seq, c, sum(c) OVER (PARTITION BY doc_id, s ORDER BY seq) - c AS h1, sum(c) OVER (PARTITION BY doc_id, line_no, s ORDER BY seq) - c AS h2 FROM c),
+p AS (SELECT h.doc_id, h.seq, c, (h2 + 32.0::DOUBLE * ((h1 + 32.0::DOUBLE / k) / (m1 + 32.0::DOUBLE))) / (m2 + 32.0::DOUBLE) AS p FROM h JOIN m ON m.doc_id = h.doc_id AND m.seq = h.seq, k), w AS (SELECT doc_id, seq, -sum(c * log2(p)) AS b FROM p GROUP BY 1, 2) SELECT doc_id, count(*) AS words, round(avg(b), 6) + 0.0 AS bits FROM w GROUP BY doc_id""")
 def _(t):
-    """Line caches that back off to page caches. SQL expresses it (see adaptive_cache_bits) but not in tolerable time on whole tables; tested by hand-made cases."""
+    """Line caches that back off to page caches."""
     scored = state.hierarchical_cache(_letters(t), ["doc_id"], ["line_no"], "seq", "base")
     return state.bits_per_word(scored, ["doc_id"], ["seq"]).select("doc_id", "words", r6("bits").alias("bits"))
 

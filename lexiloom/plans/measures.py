@@ -6,9 +6,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import words as W
-from lexiloom.operators import bits, info, nulls, raster, sequence
+from lexiloom.operators import bits, generate, info, nulls, raster, sequence
 from lexiloom.operators.info import r6
-from lexiloom.plans import channels, sequences  # noqa: F401  (registers lag_similarity)
+import lexiloom.plans.sequences  # noqa: F401  (registers lag_similarity)
 from lexiloom.plans.base import ORACLE, QUERIES, TOK, query
 from lexiloom.plans.lexical import bare, corpus, flow, lined
 
@@ -221,11 +221,11 @@ def _(t):
     """Lines of up to six words by the words that follow each other at that place; a word that nothing follows there ends its line."""
     w = Window.partitionBy("doc_id", "line_no").orderBy("pos")
     b = lined(t).select(F.least(F.col("pos"), F.lit(3)).alias("p"), F.coalesce(F.lag("word").over(w), F.lit("^")).alias("prev"), "word")
-    wheels = b.groupBy("p", "prev", "word").agg(F.count("*").alias("n")).groupBy("p", "prev").agg(channels.wheel("word").alias("wheel"))
+    wheels = b.groupBy("p", "prev", "word").agg(F.count("*").alias("n")).groupBy("p", "prev").agg(generate.wheel("word").alias("wheel"))
     g = t.spark.range(100).select(F.col("id").alias("i"), F.lit("^").alias("prev"), F.array().cast("array<string>").alias("line"))
     done = None
     for j in range(6):
-        draw = channels.turn(F.col("wheel"), W.uniform("ml", F.col("i").cast("string"), F.lit(str(j))))
+        draw = generate.turn(F.col("wheel"), W.uniform("ml", F.col("i").cast("string"), F.lit(str(j))))
         nxt = g.join(wheels.where(F.col("p") == min(j, 3)).select("prev", "wheel"), "prev", "left").withColumn("prev", F.when(F.col("wheel").isNotNull(), draw))
         ended = nxt.where("prev is null").select("i", "line")
         done = ended if done is None else done.unionByName(ended)
@@ -299,3 +299,95 @@ def _(t):
     s = raster.page_shares(pictures(t))
     kind = W.page_label(*[F.col(c) for c in ("ink_share", "green_share", "red_share", "blue_share", "edge_per_ink")])
     return s.groupBy(F.when(kind.isin("empty", "plant with roots", "plant"), kind).otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
+
+
+# Letter models, keys and samples ---------------------------------------------------------------------------------------
+
+_PLACE = "CASE WHEN pos = 0 THEN 'first' WHEN pos = n_line - 1 THEN 'last' WHEN pos = 1 THEN 'second' WHEN pos = n_line - 2 THEN 'penult' ELSE 'interior' END"
+
+
+@query("hierarchical_letter_bits", TOK + f""", w AS (SELECT doc_id % 4 = 0 AS test, lang, {_PLACE} AS place, word, count(*) AS k FROM tokens WHERE lang IS NOT NULL GROUP BY ALL), a AS (SELECT DISTINCT unnest(string_split(word, '')) AS g FROM w WHERE NOT test), v AS (SELECT count(*) + 2 AS v, list(g) AS a FROM a),
+x AS (SELECT test, lang, place, k, array_to_string(list_transform(string_split(word, ''), lambda g: CASE WHEN list_contains(a, g) THEN g ELSE '?' END), '') AS x FROM w, v), e AS (SELECT test, lang, place, substr('^^' || x, i::INT, 2) AS h, substr(x || '$', i::INT, 1) AS s, sum(k)::DOUBLE AS c FROM (SELECT *, unnest(range(1, length(x) + 2)) AS i FROM x) GROUP BY ALL), f AS (SELECT * FROM e WHERE NOT test),
+n0 AS (SELECT s, sum(c) AS c FROM f GROUP BY 1), n1 AS (SELECT right(h, 1) AS h, s, sum(c) AS c FROM f GROUP BY 1, 2), t1 AS (SELECT h, sum(c) AS c FROM n1 GROUP BY 1), n2 AS (SELECT h, s, sum(c) AS c FROM f GROUP BY 1, 2), t2 AS (SELECT h, sum(c) AS c FROM n2 GROUP BY 1), tc AS (SELECT lang, place, h, sum(c) AS c FROM f GROUP BY 1, 2, 3),
+p0 AS (SELECT e.*, (coalesce(n0.c, 0) + 0.1) / ((SELECT sum(c) FROM f) + 0.1 * v) AS p FROM e LEFT JOIN n0 ON n0.s = e.s, v WHERE e.test), p1 AS (SELECT p0.* REPLACE ((coalesce(n1.c, 0) + 24 * p) / (coalesce(t1.c, 0) + 24) AS p) FROM p0 LEFT JOIN n1 ON n1.h = right(p0.h, 1) AND n1.s = p0.s LEFT JOIN t1 ON t1.h = right(p0.h, 1)),
+p2 AS (SELECT p1.* REPLACE ((coalesce(n2.c, 0) + 24 * p) / (coalesce(t2.c, 0) + 24) AS p) FROM p1 LEFT JOIN n2 ON n2.h = p1.h AND n2.s = p1.s LEFT JOIN t2 ON t2.h = p1.h), q AS (SELECT p2.*, (coalesce(f.c, 0) + 48 * p) / (coalesce(tc.c, 0) + 48) AS q FROM p2 LEFT JOIN f ON f.lang = p2.lang AND f.place = p2.place AND f.h = p2.h AND f.s = p2.s LEFT JOIN tc ON tc.lang = p2.lang AND tc.place = p2.place AND tc.h = p2.h)
+SELECT lang, sum(c) FILTER (WHERE s = '$')::BIGINT AS words, round(-sum(c * log2(p)) / sum(c) FILTER (WHERE s = '$'), 6) + 0.0 AS bits, round(-sum(c * log2(q)) / sum(c) FILTER (WHERE s = '$'), 6) + 0.0 AS cell_bits FROM q GROUP BY 1""")
+def _(t):
+    """Bits of a held-out word by letters: order 0, one and two letters before, and the cell of language and place, each shrunk to the one before; unknown letters are one symbol."""
+    w = lined(t, "lang").where("lang is not null").groupBy((F.col("doc_id") % 4 == 0).alias("test"), "lang", W.position5("pos", "n_line").alias("place"), "word").agg(F.count("*").alias("k"))
+    a = w.where("not test").select(F.explode(F.split("word", "")).alias("g")).agg(F.collect_set("g").alias("a")).withColumn("v", F.size("a") + 2)
+    known = F.array_join(F.transform(F.split("word", ""), lambda g: F.when(F.array_contains("a", g), g).otherwise("?")), "")
+    x = w.join(F.broadcast(a.select("a"))).withColumn("x", known)  # one row: the alphabet
+    pair = F.transform(F.sequence(F.lit(1), F.length("x") + 1), lambda i: F.struct(F.substring(F.concat(F.lit("^^"), "x"), i, F.lit(2)).alias("h"), F.substring(F.concat("x", F.lit("$")), i, F.lit(1)).alias("s")))
+    e = x.select("test", "lang", "place", "k", F.explode(pair).alias("p")).groupBy("test", "lang", "place", "p.h", "p.s").agg(F.sum("k").cast("double").alias("c")).withColumn("h1", F.right("h", F.lit(1)))
+    f, q = e.where("not test"), e.where("test")
+    total = f.agg(F.sum("c").alias("total")).join(F.broadcast(a.select("v")))
+    q = q.join(f.groupBy("s").agg(F.sum("c").alias("n0")), "s", "left").join(F.broadcast(total))
+    zero = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    p = (zero("n0") + 0.1) / (F.col("total") + 0.1 * F.col("v"))
+    for i, (context, mass) in enumerate(((["h1"], 24), (["h"], 24), (["lang", "place", "h"], 48)), 1):
+        q = q.withColumn(f"p{i - 1}", p).join(f.groupBy(*context, "s").agg(F.sum("c").alias(f"n{i}")), [*context, "s"], "left").join(f.groupBy(*context).agg(F.sum("c").alias(f"t{i}")), context, "left")
+        p = (zero(f"n{i}") + mass * F.col(f"p{i - 1}")) / (zero(f"t{i}") + mass)
+    q = q.withColumn("p3", p)
+    words = F.sum(F.when(F.col("s") == "$", F.col("c")))
+    bits = lambda k: r6(-F.sum(F.col("c") * F.log2(k)) / words)
+    return q.groupBy("lang").agg(words.cast("long").alias("words"), bits("p2").alias("bits"), bits("p3").alias("cell_bits"))
+
+
+@query("key_votes", TOK + """, b AS (SELECT doc_id, seq // 50 AS win, substr(word, 1, 1) AS s, right(word, 1) AS y FROM tokens), c AS (SELECT doc_id, win, s, y, count(*) AS n FROM b GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, win, s ORDER BY n DESC, y) AS k FROM c), v AS (SELECT s, y, count(*) AS votes FROM r WHERE k = 1 GROUP BY 1, 2), o AS (SELECT *, sum(votes) OVER (PARTITION BY s) AS windows, row_number() OVER (PARTITION BY s ORDER BY votes DESC, y) AS k FROM v)
+SELECT s AS symbol, y AS letter, votes, windows::BIGINT AS windows FROM o WHERE k = 1""")
+def _(t):
+    """For each first letter the last letter that most windows of fifty words vote for."""
+    c = flow(t).groupBy("doc_id", F.floor(F.col("seq") / 50).alias("win"), F.substring("word", 1, 1).alias("s"), F.right("word", F.lit(1)).alias("y")).agg(F.count("*").alias("n"))
+    v = c.groupBy("doc_id", "win", "s").agg(F.min(F.struct((-F.col("n")).alias("n"), "y"))["y"].alias("y")).groupBy("s", "y").agg(F.count("*").alias("votes"))
+    top = v.groupBy("s").agg(F.min(F.struct((-F.col("votes")).alias("v"), "y")).alias("m"), F.sum("votes").alias("windows"))
+    return top.select(F.col("s").alias("symbol"), F.col("m.y").alias("letter"), (-F.col("m.v")).alias("votes"), "windows")
+
+
+@query("rendered_samples", TOK + """, l AS (SELECT lang, g, sum(k) AS n FROM (SELECT lang, k, unnest(string_split(word, '')) AS g FROM (SELECT lang, word, count(*) AS k FROM tokens WHERE lang IS NOT NULL GROUP BY 1, 2)) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM l), e AS (SELECT g, r FROM r WHERE lang = (SELECT min(lang) FROM l)),
+d AS (SELECT lang, min(doc_id) AS doc_id FROM tokens WHERE lang IS NOT NULL GROUP BY 1), w AS (SELECT d.lang, seq, i, substr(word, i::INT, 1) AS g FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM tokens WHERE seq < 12) t JOIN d ON d.doc_id = t.doc_id AND d.lang = t.lang), x AS (SELECT w.lang, seq, string_agg(coalesce(e.g, '?'), '' ORDER BY i) AS word FROM w JOIN r ON r.lang = w.lang AND r.g = w.g LEFT JOIN e ON e.r = r.r GROUP BY 1, 2)
+SELECT lang, string_agg(word, ' ' ORDER BY seq) AS sample FROM x GROUP BY 1""")
+def _(t):
+    """The first words of each language's first document, read by the key that matches letter ranks to those of the first language."""
+    c = bare(t, "lang").where("lang is not null").groupBy("lang", "word").agg(F.count("*").alias("k"))
+    l = c.select("lang", "k", F.explode(F.split("word", "")).alias("g")).groupBy("lang", "g").agg(F.sum("k").alias("n"))  # noqa: E741  alphabets
+    ranked = l.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "g"))), lambda x: x["g"]).alias("letters"))
+    plain = ranked.agg(F.min_by("letters", "lang").alias("plain"))
+    key = ranked.join(F.broadcast(plain))  # an alphabet for each language
+    first = t.documents.where(F.col("lang").isNotNull() & F.lower("text").rlike("[a-zà-öø-ÿ]")).groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
+    words = flow(t, "lang").where("seq < 12").join(F.broadcast(first), ["lang", "doc_id"]).join(F.broadcast(key), "lang")
+    read = F.array_join(F.transform(F.split("word", ""), lambda g: F.coalesce(F.get("plain", (F.array_position("letters", g) - 1).cast("int")), F.lit("?"))), "")
+    return words.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", read.alias("w")))), lambda x: x["w"]), " ").alias("sample"))
+
+
+@query("pair_transfer", TOK + """, d AS (SELECT doc_id, doc_id % 2 AS half, avg(length(word)) AS f_length, avg(CASE WHEN substr(word, 1, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 1.0 ELSE 0.0 END) AS f_vowel, max(line_no) + 1.0 AS f_lines, count(*) AS g_words, count(DISTINCT word) / count(*)::DOUBLE AS g_types FROM tokens GROUP BY 1, 2),
+c AS (SELECT half, unnest(['length', 'length', 'vowel', 'vowel', 'lines', 'lines']) AS f, unnest(['words', 'types', 'words', 'types', 'words', 'types']) AS g, unnest([corr(f_length, g_words), corr(f_length, g_types), corr(f_vowel, g_words), corr(f_vowel, g_types), corr(f_lines, g_words), corr(f_lines, g_types)]) AS r FROM d GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY round(abs(r), 9) DESC, f, g) AS k FROM c) SELECT a.half, a.f AS feature, a.g AS outcome, round(a.r, 5) + 0.0 AS chosen, round(b.r, 5) + 0.0 AS transferred FROM o a JOIN o b ON b.half = 1 - a.half AND a.f = b.f AND a.g = b.g WHERE a.k = 1""")
+def _(t):
+    """The pair of a feature and an outcome that goes together most in one half of the documents, and how it does in the other; both ways."""
+    vowel = F.substring("word", 1, 1).isin(*"aeiou").cast("double")
+    c = lined(t).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.max("line_no").alias("line"), F.sum(vowel).alias("vowel"))
+    d = c.groupBy("doc_id").agg(
+        (F.sum(F.col("n") * F.length("word")) / F.sum("n")).alias("length"), (F.sum("vowel") / F.sum("n")).alias("vowel"), (F.max("line") + 1.0).alias("lines"), F.sum("n").alias("words"), (F.count("*") / F.sum("n")).alias("types")
+    )
+    pairs = [(f, g) for f in ("length", "vowel", "lines") for g in ("words", "types")]
+    r = d.groupBy((F.col("doc_id") % 2).alias("half")).agg(*[F.corr(f, g).alias(f"{f}_{g}") for f, g in pairs])
+    o = r.select("half", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), F.col(f"{f}_{g}").alias("r")) for f, g in pairs])).alias("x")).select("half", "x.*")
+    best = o.groupBy("half").agg(F.min(F.struct((-F.round(F.abs("r"), 9)).alias("k"), "f", "g", "r")).alias("b")).select("half", "b.f", "b.g", F.col("b.r").alias("chosen"))
+    other = o.select((1 - F.col("half")).alias("half"), "f", "g", F.col("r").alias("transferred"))
+    r5 = lambda x: F.round(x, 5) + F.lit(0.0)
+    return best.join(other, ["half", "f", "g"]).select("half", F.col("f").alias("feature"), F.col("g").alias("outcome"), r5("chosen").alias("chosen"), r5("transferred").alias("transferred"))
+
+
+@query("topic_words", TOK + f""", n AS (SELECT source AS topic, word, count(*)::BIGINT AS n FROM tokens WHERE source IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w / sum(n) OVER (PARTITION BY topic) AS hi, (sum(n) OVER w - n) / sum(n) OVER (PARTITION BY topic) AS lo FROM n WINDOW w AS (PARTITION BY topic ORDER BY word)), s AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT topic FROM n)),
+d AS (SELECT i, i = 0 OR {_u("'sw|' || i")} < 0.05 AS new FROM range(500) r(i)), u AS (SELECT i, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (ORDER BY i) AS run FROM d), v AS (SELECT i, run, topic FROM u JOIN s ON k = floor({_u("'tp|' || run")} * m)) SELECT v.i, v.run::BIGINT AS run, v.topic, c.word FROM v JOIN c ON c.topic = v.topic AND {_u("'tw|' || v.i")} >= c.lo AND {_u("'tw|' || v.i")} < c.hi""")
+def _(t):
+    """Words of topics (sources) that hold for a while: a topic ends with odds of one in twenty, the next one is drawn."""
+    n = bare(t, "source").where("source is not null").groupBy(F.col("source").alias("topic"), "word").agg(F.count("*").alias("n"))
+    table = generate.cumulative(n, ["topic"], "word")
+    topics = n.select("topic").distinct().agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    i = F.col("i").cast("string")
+    d = t.spark.range(500).select(F.col("id").alias("i"))
+    run = F.sum(((F.col("i") == 0) | (W.uniform("sw", i) < 0.05)).cast("int")).over(Window.orderBy("i"))  # as many rows as are drawn
+    v = d.withColumn("run", run).join(F.broadcast(topics)).withColumn("topic", F.get("topics", F.floor(W.uniform("tp", F.col("run").cast("string")) * F.size("topics")).cast("int"))).drop("topics")
+    return generate.draw(v, table, ["topic"], "word", W.uniform("tw", i)).select("i", "run", "topic", "word")
