@@ -124,7 +124,7 @@ def text_grams(docs: DataFrame, by: list[str], n: int, padded: bool = False, tex
     """
     if not 1 <= n <= 4:
         raise ValueError("pieces hold grams of one to four letters")
-    words = F.flatten(F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))))
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))  # no word goes beyond a line
     held = docs.select(*by, words.alias("ws_")).where(F.size("ws_") > 0)
     size = F.size("ws_")
 

@@ -195,7 +195,13 @@ def test_queries_equal_their_sql(spark, data):
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     value = lambda v: round(v, 5) if isinstance(v, float) else v
-    for name in ("token_count_by_lang", "char_entropy_by_lang", "mi_returnflag_linestatus", "burstiness", "event_run_lengths", "within_stratum_permutation_p", "knn_in_stratum"):
+    names = (
+        "token_count_by_lang", "char_entropy_by_lang", "mi_returnflag_linestatus", "burstiness", "event_run_lengths", "within_stratum_permutation_p", "knn_in_stratum", "tfidf_top_terms", "shuffled_repeat_rate",
+        "parallel_lines", "skewed_words_topk", "trigram_bits_by_source", "zipf_slope_by_lang", "line_edge_kl", "tiling_boundaries", "event_shuffle_within", "free_recombination", "injected_copy", "tetragram_bits",
+        "loo_trigram_classifier", "program_streams", "all_stride_channels", "folio_orders", "word_bit_streams", "letter_chain_words", "table_parse", "read_transcription", "read_json_corpus", "folio_columns",
+        "recurrence_vectors", "raster_shares", "markov_lines", "hierarchical_letter_bits", "topic_words",
+    )
+    for name in names:
         got = QUERIES[name](spark, data)
         cols = sorted(got.columns)
         cur = con.execute(ORACLE[name])
