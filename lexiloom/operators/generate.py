@@ -24,29 +24,31 @@ def cumulative(counts: DataFrame, by: list[str], value: str, n: str = "n") -> Da
     return at.select(*by, value, (F.col("o_") / F.col("t_")).alias("lo"), ((F.col("o_") + F.col("n_")) / F.col("t_")).alias("hi"))
 
 
-#: Parts of the unit interval by which draws meet the values that lie in them.
+#: Parts of the unit interval by which draws meet the values that lie in them, where there is no context to meet by.
 PARTS = 4096
 
 
 def draw(rows: DataFrame, table: DataFrame, by: list[str], value: str, u: Column) -> DataFrame:
-    """rows with a value drawn from the table of their context: inverse distribution function, by an equi-join on context and part of the unit interval."""
-    last = F.least(F.floor(F.col("hi") * PARTS), F.lit(PARTS - 1))
-    t = table.select(*[F.col(k).alias(f"{k}_t") for k in by], F.col(value), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.explode(F.sequence(F.floor(F.col("lo") * PARTS), last)).alias("part_t"))
+    """rows with a value drawn from the table of their context: inverse distribution function, by an equi-join on the context, or else on the part of the unit interval."""
+    parts = 1 if by else PARTS
+    last = F.least(F.floor(F.col("hi") * parts), F.lit(parts - 1))
+    t = table.select(*[F.col(k).alias(f"{k}_t") for k in by], F.col(value), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.explode(F.sequence(F.least(F.floor(F.col("lo") * parts), F.lit(parts - 1)), last)).alias("part_t"))
     hit = (F.col("part_") == F.col("part_t")) & (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
     for k in by:
         hit = hit & F.col(k).eqNullSafe(F.col(f"{k}_t"))
-    return rows.withColumn("u_", u).withColumn("part_", F.floor(F.col("u_") * PARTS)).join(t, hit).drop("u_", "lo_", "hi_", "part_", "part_t", *[f"{k}_t" for k in by])
+    return rows.withColumn("u_", u).withColumn("part_", F.floor(F.col("u_") * parts)).join(t, hit).drop("u_", "lo_", "hi_", "part_", "part_t", *[f"{k}_t" for k in by])
 
 
 def schema_words(slots: DataFrame, n: int, seed: str) -> DataFrame:
-    """(i, word): n words by P(core), P(prefix | core), P(suffix | core) of a table of slots."""
-    c = slots.groupBy("core").agg(F.count("*").alias("n"))
+    """(i, word): n words by P(core), P(prefix | core), P(suffix | core) of a table of slots, counted n_words times a row if it has that column."""
+    weight = F.sum("n_words") if "n_words" in slots.columns else F.count("*")
+    held = slots.groupBy("core", "prefix", "suffix").agg(weight.alias("n"))
+    count = lambda *k: held.groupBy(*k).agg(F.sum("n").alias("n"))
     rows = slots.sparkSession.range(n).withColumnRenamed("id", "i")
     i = F.col("i").cast("string")
-    rows = draw(rows, cumulative(c, [], "core"), [], "core", uniform(seed, "core", i))
+    rows = draw(rows, cumulative(count("core"), [], "core"), [], "core", uniform(seed, "core", i))
     for part in ("prefix", "suffix"):
-        table = cumulative(slots.groupBy("core", part).agg(F.count("*").alias("n")), ["core"], part)
-        rows = draw(rows, table, ["core"], part, uniform(seed, part, i))
+        rows = draw(rows, cumulative(count("core", part), ["core"], part), ["core"], part, uniform(seed, part, i))
     return rows.select("i", F.concat("prefix", "core", "suffix").alias("word"))
 
 

@@ -152,7 +152,8 @@ p AS (SELECT core, prefix, sum(n) OVER (PARTITION BY core ORDER BY prefix) / (su
 q AS (SELECT core, suffix, sum(n) OVER (PARTITION BY core ORDER BY suffix) / (sum(n) OVER (PARTITION BY core))::DOUBLE AS hi FROM (SELECT core, suffix, count(*) AS n FROM s GROUP BY 1, 2)), ql AS (SELECT core, suffix, coalesce(lag(hi) OVER (PARTITION BY core ORDER BY suffix), 0) AS lo, hi FROM q)
 SELECT a.i, pl.prefix || cl.core || ql.suffix AS word FROM h a JOIN cl ON a.p = 'core' AND a.u >= cl.lo AND a.u < cl.hi JOIN h b ON b.i = a.i AND b.p = 'prefix' JOIN pl ON pl.core = cl.core AND b.u >= pl.lo AND b.u < pl.hi JOIN h d ON d.i = a.i AND d.p = 'suffix' JOIN ql ON ql.core = cl.core AND d.u >= ql.lo AND d.u < ql.hi""")
 def _(t):
-    return generate.schema_words(slots(bare(t)), 300, "gen")
+    words = bare(t).groupBy("word").agg(F.count("*").alias("n_words"))
+    return generate.schema_words(slots(words, "n_words"), 300, "gen")
 
 
 @query("homophonic_symbols", TOK + """, l AS (SELECT doc_id, seq, i, substr(word, i, 1) AS g FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM tokens)) SELECT g || floor(('0x' || substr(md5('hom|' || doc_id || '|' || seq || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 3)::INT AS symbol, count(*) AS n FROM l GROUP BY 1""")
