@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fs_write, lean, materialize, open_fs, scratch, slices, word_codes
+from lexiloom.llm.common import batches_of, fs_write, lean, materialize, open_fs, scratch, slices, word_codes
 
 MAGIC = b"LXBP0001"
 CHUNK = 1 << 16
@@ -36,6 +36,8 @@ LEVEL = 3
 NO_ID = np.iinfo(np.int64).min
 #: Bytes of words, pieces and their ids that a task remembers before it starts afresh.
 KNOWN_BYTES = 48 << 20
+#: Rows that are handed to a task at a time.
+BATCH_ROWS = 1000
 #: Bytes of text that are encoded at a time.
 TEXT_BYTES = 2 << 20
 
@@ -320,7 +322,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
         yield pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int32()), "n_docs": [told["n_docs"]], "n_ids": [told["n_ids"]]})
 
     dealt = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = materialize(dealt.mapInArrow(lean(run), "path string, part int, n_docs long, n_ids long"), "token-files")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        files = materialize(dealt.mapInArrow(lean(run), "path string, part int, n_docs long, n_ids long"), "token-files")
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     return files.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
 
