@@ -1,10 +1,11 @@
 """Near-dedup of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, verified exactly, on top of SimHash keys.
 
-The Golay keys of `simhash` name the closest pairs. They cannot name all: two sets of similarity 0.8 differ in about ten
-bits of a 64-bit SimHash, and codeword indices that meet at ten bits meet everywhere. The rest comes from min-hash bands:
-a set has BANDS keys of ROWS minima each, so that two sets of similarity s share none with a chance of
-(1 - s^4)^30, which is one in seven million at 0.8 and less above, while unlike texts hardly ever meet. The number of
-keys does not grow with a text, and what is shuffled grows in proportion to the texts.
+The Golay keys of `simhash` come first and name the closest pairs; the bands are asked only for partners outside of the
+components that these pairs make, until the sets have refuted a pair. Golay keys cannot name all pairs: two sets of
+similarity 0.8 differ in about ten bits of a 64-bit SimHash, and codeword indices that meet at ten bits meet everywhere.
+The rest comes from min-hash bands: a set has BANDS keys of ROWS minima each, so that two sets of similarity s share none
+with a chance of (1 - s^4)^30, which is one in seven million at 0.8 and less above, while unlike texts hardly ever meet.
+The number of keys does not grow with a text, and what is shuffled grows in proportion to the texts.
 
 A key's texts are compared in blocks of bounded size: by size, and by sets of 1024 parities, which never differ in more
 bits than the sets in shingles. A round names for each text the likeliest partner outside its component only, so what it
@@ -263,20 +264,21 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "similar-shared")
     held = materialize(keys.join(shared, "key").join(node.select("sid", "n", "sketch"), "sid"), "similar-held")
     discard(shared)
+    # the closest pairs by Golay keys of the SimHash, those of equal fingerprints included; the bands are asked only for partners outside of what these join
+    prints = materialize(node.groupBy("fp").agg(F.min("sid").alias("node")), "similar-prints")
+    equal = node.join(prints, "fp").where("sid <> node").select(F.col("sid").alias("a"), F.col("node").alias("b"))
+    close = materialize(simhash.links(prints).unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-close")
+    joined = materialize(connected_components(close).select(F.col("node").alias("sid"), "root"), "similar-joined", 2 * close.count())
     most = held.count()  # a text's likeliest partner is one of a row of these
-    tested = materialize(_partners(held.withColumn("root", F.col("sid")), False), "similar-tested", most)
-    most = min(most, 2 * tested.count())
+    tested = materialize(_partners(held.join(joined, "sid", "left").withColumn("root", F.coalesce("root", "sid")), False), "similar-tested", most)
+    tested = materialize(close.unionByName(tested), "similar-tested", most + close.count())  # no pair is in both
+    most = min(most + 2 * close.count(), 2 * tested.count())
     # a text without any likely partner is settled; the sets of the others are made once
     asked = materialize(tested.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "similar-asked", most)
     sets = _sets(docs, _bits(node.join(asked, "sid").select("first_"), size)).join(asked, "sid", "left_semi").dropDuplicates(["sid"])
     sets = materialize(sets, "similar-sets")
     left = materialize(held.join(asked, "sid", "left_semi").drop("c"), "similar-open", most * BANDS, 50_000)
     discard(held)
-    # the closest pairs by Golay keys of the SimHash, those of equal fingerprints included
-    prints = materialize(node.join(asked, "sid", "left_semi").groupBy("fp").agg(F.min("sid").alias("node")), "similar-prints", most)
-    equal = node.join(asked, "sid", "left_semi").join(prints, "fp").where("sid <> node").select(F.col("sid").alias("a"), F.col("node").alias("b"))
-    close = simhash.links(prints).unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = materialize(close.unionByName(tested).distinct(), "similar-tested", 2 * most)
     edges = [_verified(tested, sets)]
     every, turn = False, 0
     while True:
@@ -299,7 +301,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = materialize(node.join(root, "sid", "left").select("sid", "first_", F.coalesce("root", "sid").alias("root")), "similar-named")
     least = materialize(named.groupBy("root").agg(F.min("first_").alias("keep")), "similar-least")
     keep = materialize(named.join(least, "root").select("sid", "keep"), "similar-keep")
-    discard(node, asked, sets, left, prints, several, root, named, least, *edges)
+    discard(node, asked, sets, left, prints, close, joined, several, root, named, least, *edges)
     return slim, keep
 
 

@@ -246,6 +246,26 @@ def test_pipeline_drops_near_copies_of_similar_shingles(spark, monkeypatch):
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
 
 
+def test_bands_are_asked_only_for_what_simhash_has_not_joined(spark, monkeypatch):
+    from lexiloom.llm import similar, simhash
+
+    rng = random.Random(9)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (3, "something else entirely here now")], "doc_id long, text string")
+    partners, links, named = similar._partners, simhash.links, []
+
+    def seen(held, every):
+        out = partners(held, every)
+        named.append([tuple(r) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(similar, "_partners", seen)
+    assert [r["doc_id"] for r in similar.keep_one(docs).orderBy("doc_id").collect()] == [1, 3] and not any(named)
+    named.clear()
+    monkeypatch.setattr(simhash, "links", lambda fps: links(fps).where("false"))
+    assert [r["doc_id"] for r in similar.keep_one(docs).orderBy("doc_id").collect()] == [1, 3] and len(named[0]) == 1
+
+
 def test_registered_queries_follow_their_contracts(spark, data):
     from lexiloom.llm.registry import QUERIES
 
