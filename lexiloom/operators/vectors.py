@@ -71,16 +71,34 @@ def ridge_predict(rows: DataFrame, key: str, vector: str, labels: list, weights:
     return rows.select(key, F.element_at(F.lit(labels), at).alias("predicted"))
 
 
+def whole(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows whose vector has only finite components, as many as that of the smallest key."""
+    finite = (F.array_max(vector) < F.lit(float("inf"))) & (F.array_min(vector) > F.lit(float("-inf"))) & (F.size(F.array_compact(vector)) == F.size(vector))
+    good = rows.where(F.col(vector).isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size(vector) > 0))
+    first = good.select(key, F.size(vector).alias("d_")).orderBy(key).limit(1).collect()
+    return good.where(F.size(vector) == first[0]["d_"]) if first else good
+
+
 def farthest_first(rows: DataFrame, key: str, vector: str, k: int) -> list[list[float]]:
     """k starting centres: the vector of the smallest key, then each time the one farthest from all before; ties to the smaller key."""
-    v = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k_"), F.col(vector).cast("array<double>").alias("v_"))
+    v = whole(rows, key, vector).select(F.col(key).alias("k_"), F.col(vector).alias("v_"))
     first = v.orderBy("k_").limit(1).collect()
-    centres = [list(r["v_"]) for r in first]
+    centres = [[float(x) for x in r["v_"]] for r in first]
     while centres and len(centres) < k:
-        top = v.select(F.struct((nearest(F.col("v_"), centres)["d"]).alias("d"), (-F.col("k_")).alias("k"), "v_").alias("s")).agg(F.max("s").alias("s")).first()["s"]
+        given = np.array(centres)
+
+        def run(batches: Iterator[pa.RecordBatch], given: np.ndarray = given) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _unfolded(b.column(1), given.shape[1])
+                d = np.min([((x - c) ** 2).sum(1) for c in given], 0)
+                own = b.filter(pa.array(d == d.max(initial=0.0)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, d.max(initial=0.0))), own.column(0), own.column(1)], names=["d", "k_", "v_"])
+
+        far = v.mapInArrow(run, f"d double, k_ {v.schema['k_'].dataType.simpleString()}, v_ {v.schema['v_'].dataType.simpleString()}")
+        top = far.agg(F.max(F.struct("d", (-F.col("k_")).alias("k"), "v_")).alias("s")).first()["s"]
         if top["d"] <= 0:
             break
-        centres.append(list(top["v_"]))
+        centres.append([float(x) for x in top["v_"]])
     return centres
 
 
@@ -90,28 +108,105 @@ def nearest(vector, centres: list[list[float]]):
     return F.array_min(F.transform(F.lit([[float(x) for x in c] for c in centres]), lambda c, i: F.struct(one(c).alias("d"), i.alias("i"))))
 
 
-def kmeans(rows: DataFrame, key: str, vector: str, k: int, most_rounds: int = 200) -> tuple[list[list[float]], DataFrame]:
+def _places(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest centre, the first one on ties, and how much farther the next one is."""
+    d = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
+    at = d.argmin(1)
+    near = np.sqrt(np.partition(d, 1, axis=1)[:, :2]) if len(centres) > 1 else np.stack([np.zeros(len(x)), np.full(len(x), np.inf)], 1)
+    return at, near[:, 1] - near[:, 0]
+
+
+def _sums(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of each centre the number of its rows and their sum."""
+    out = np.zeros((k, 1 + x.shape[1]))
+    for i in range(k):
+        own = x[at == i]
+        out[i] = [len(own), *own.sum(0)]
+    return out
+
+
+def _unfolded(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+#: Margins are counted in so many steps of the logarithm, an eighth of a power of two each; the last step is 16 and more.
+STEPS = 256
+
+
+def _scan(v: DataFrame, centres: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass: sums of the rows whose next centre is farther by more than `bound`, the vectors of the others, and counts of the margins by STEPS."""
+    k, dim = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, steps = np.zeros((k, 1 + dim)), np.zeros(STEPS)
+        for b in batches:
+            x = _unfolded(b.column(0), dim)
+            at, margin = _places(x, centres)
+            firm = margin > bound
+            total += _sums(x[firm], at[firm], k)
+            steps += np.bincount(np.clip(8 * np.log2(np.maximum(margin, 1e-300)) + STEPS - 33, 0, STEPS - 1).astype(np.int64), minlength=STEPS)
+            if not firm.all():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int((~firm).sum()), np.int32)), pa.array(list(x[~firm]), pa.list_(pa.float64()))], names=["kind", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 2], pa.int32()), pa.array([total.ravel(), steps], pa.list_(pa.float64()))], names=["kind", "x"])
+
+    out = v.select("v_").mapInArrow(run, "kind int, x array<double>").toArrow()
+    kind = out["kind"].to_numpy()
+    of = lambda n, width: _unfolded(out["x"].filter(pa.array(kind == n)).combine_chunks(), width)
+    return of(0, k * (1 + dim)).sum(0).reshape(k, 1 + dim), of(1, dim), of(2, STEPS).sum(0)
+
+
+#: Rows near a limit between clusters that the driver goes on with between two passes, about.
+NEAR_ROWS = 50_000
+
+
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, most_rounds: int | None = None) -> tuple[list[list[float]], DataFrame]:
     """(centres, table of key and cluster): Lloyd's rounds from farthest-first centres until no row changes its cluster; an empty cluster keeps its centre.
 
-    Rows without a vector go. RuntimeError if `most_rounds` rounds do not settle it.
+    Rows without a whole vector go (`whole`). RuntimeError if `most_rounds` rounds, where given, do not settle it.
+
+    A row changes its cluster only once the centres have moved by its margin, the difference of its distances from the
+    two nearest ones. A pass adds up the rows of large margins and hands the others, about NEAR_ROWS of them, to the
+    driver, which goes on with these alone until the centres have moved by the least margin of the rows added up. All
+    rounds are those of Lloyd, but only early ones, which move far, take a pass each.
     """
-    centres = farthest_first(rows, key, vector, k)
-    v = rows.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>").alias("v_"))
-    before = None
-    for _ in range(most_rounds if centres else 0):
-        hit = v.select(key, nearest(F.col("v_"), centres)["i"].alias("i"), "v_")
-        means = hit.groupBy("i").agg(F.array(*[F.avg(F.col("v_")[j]) for j in range(len(centres[0]))]).alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("h")).collect()
-        state = sorted((r["i"], r["n"], r["h"]) for r in means)
-        if state == before:
-            break
-        before = state
-        for r in means:
-            centres[r["i"]] = list(r["m"])
-    else:
-        if centres:
-            raise RuntimeError(f"clusters have not settled after {most_rounds} rounds")
-    cluster = nearest(F.col("v_"), centres)["i"] if centres else F.lit(None).cast("int")
-    return centres, v.select(key, cluster.alias("cluster"))
+    start = farthest_first(rows, key, vector, k)
+    v = whole(rows, key, vector).select(key, F.col(vector).alias("v_"))
+    if not start:
+        return [], v.select(key, F.lit(None).cast("int").alias("cluster"))
+    centres, bound, turn, settled = np.array(start, np.float64), 0.0, 0, False
+    if len(start) == 1:
+        bound = np.inf
+    while not settled:
+        given = centres.copy()
+        firm, near, steps = _scan(v, given, bound)
+        before = None
+        while True:
+            at, _ = _places(near, centres) if len(near) else (np.zeros(0, np.int64), None)
+            if before is not None and (at == before).all():
+                settled = True
+                break
+            if most_rounds is not None and turn >= most_rounds:
+                raise RuntimeError(f"clusters have not settled after {most_rounds} rounds")
+            sums = firm + _sums(near, at, len(centres))
+            old, before, turn = centres, at, turn + 1
+            centres = np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), centres)
+            moved = np.sort(np.sqrt(((centres - given) ** 2).sum(1)))[-2:].sum()
+            if (centres == old).all():
+                settled = True
+                break
+            if moved >= bound * (1 - 1e-9):
+                break
+        # the widest bound that leaves at most NEAR_ROWS rows below it
+        within = int((np.cumsum(steps) <= NEAR_ROWS).sum())
+        bound = np.inf if within == STEPS else 2.0 ** ((within - STEPS + 33) / 8) if within else 0.0
+    names, kind = v.schema[key], centres
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, _ = _places(_unfolded(b.column(1), kind.shape[1]), kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32))], names=[key, "cluster"])
+
+    return centres.tolist(), v.mapInArrow(label, f"`{key}` {names.dataType.simpleString()}, cluster int")
 
 
 def balanced_assignment(rows: DataFrame, key: str, vector: str, centres: list[list[float]], capacity: int | None = None) -> DataFrame:

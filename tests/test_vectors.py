@@ -46,6 +46,26 @@ def test_kmeans(points):
     assert vectors.kmeans(df.where("id > 499"), "id", "v", 3)[0] == []
 
 
+def test_kmeans_goes_on_until_it_is_settled(spark, monkeypatch):
+    from lexiloom.operators import vectors
+
+    x = np.sort(np.random.default_rng(1).pareto(0.6, 30_000))[:, None]  # settles after some 300 rounds
+    centres = np.array([x[0], x[-1], x[abs(x - x[-1]).ravel() >= 0][0]])
+    df = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x[:, 0])] + [(-1, [float("nan")]), (-2, [None]), (-3, [1.0, 2.0])], "id long, v array<double>").where("id <> -3")
+    centres, before, rounds = np.array(vectors.farthest_first(df, "id", "v", 3)), None, 0
+    while before is None or (at != before).any():
+        before = None if not rounds else at
+        at = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        if before is None or (at != before).any():
+            centres, rounds = np.array([x[at == i].mean(0) for i in range(3)]), rounds + 1
+    monkeypatch.setattr(vectors, "NEAR_ROWS", 2000)
+    got, table = vectors.kmeans(df, "id", "v", 3)
+    assert np.allclose(got, centres) and table.where("id < 0").count() == 0
+    assert [r["cluster"] for r in table.orderBy("id").collect()] == at.tolist()
+    with pytest.raises(RuntimeError):
+        vectors.kmeans(df, "id", "v", 3, 2)
+
+
 def test_ridge(points):
     from lexiloom.operators import vectors
 
