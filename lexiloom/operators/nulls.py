@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +120,59 @@ def signs(df: DataFrame, key: str, reps: int, seed: str, name: str = "sign") ->
 def bonferroni(p: Column) -> Column:
     """Smallest p times the number of tests, at most 1; an aggregate."""
     return F.least(F.lit(1.0), F.min(p) * F.count(p))
+
+
+#: Rows of whole users that a task holds at a time; one user's rows stay together.
+HELD_ROWS = 1 << 17
+
+
+def dealt_repeats(df: DataFrame, key: str, value: str, user: str, part: str, reps: int, seed: str) -> DataFrame:
+    """(rep, value, n): how often a value repeats the one before of the same user, in order of an integer key: as it is (rep -1) and dealt anew within user and part.
+
+    The deal is that of `permute_within`. Rows are shuffled once, to their users, and replicates are made in the task: a
+    user's rows have to meet for the order anyway. Values without repeats have rows too; null keys come last.
+    """
+    rows = df.select(F.col(user).alias("u_"), F.col(part).alias("p_"), F.col(key).cast("long").alias("k_"), F.col(value).cast("string").alias("v_")).repartition("u_").sortWithinPartitions("u_")
+
+    def users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole users, about HELD_ROWS rows at a time."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= HELD_ROWS:
+                table = pa.Table.from_batches(held)
+                u = pc.fill_null(table["u_"].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new = np.flatnonzero(u[1:] != u[:-1]) + 1
+                if len(new):
+                    yield table.slice(0, int(new[-1]))
+                    held = table.slice(int(new[-1])).to_batches()
+        if sum(x.num_rows for x in held):
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in users(batches):
+            yield from counted(table)
+
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        def codes(name: str) -> tuple[np.ndarray, pa.Array]:
+            c = table[name].combine_chunks().dictionary_encode()
+            return pc.fill_null(c.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), c.dictionary
+
+        (u, _), (p, _), (v, names) = codes("u_"), codes("p_"), codes("v_")
+        gone = table["k_"].is_null().to_numpy()
+        k = pc.fill_null(table["k_"], 0).to_numpy().astype(np.int64)
+        order, slots = np.lexsort((k, gone, u)), np.lexsort((k, gone, p, u))
+        same = u[order][1:] == u[order][:-1]
+        written = [str(x).encode() for x in k.tolist()]
+        for rep in range(-1, reps):
+            now = v
+            if rep >= 0:
+                lead = f"{seed}|{rep}|".encode()
+                h = np.frombuffer(b"".join([hashlib.md5(lead + x).digest() for x in written]), ">u8").reshape(-1, 2).astype(np.uint64)
+                now = np.empty_like(v)
+                now[slots] = v[np.lexsort((k, h[:, 1], h[:, 0], gone, p, u))]
+            x = now[order]
+            n = np.bincount(x[1:][same & (x[1:] == x[:-1]) & (x[1:] >= 0)], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), rep, np.int32)), names, pa.array(n)], names=["rep", value, "n"])
+
+    return rows.mapInArrow(run, f"rep int, `{value}` string, n long").groupBy("rep", value).agg(F.sum("n").alias("n"))

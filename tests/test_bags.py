@@ -77,6 +77,25 @@ def test_followers_are_counted_at_their_place(spark):
     assert got(3, 3, ["a", "c"]) == [("a", "b", 2), ("c", "a", 1)]
 
 
+@pytest.mark.parametrize("held", [1, 1 << 17])
+def test_dealt_repeats_are_those_of_permuted_rows(spark, monkeypatch, held):
+    """Against `permute_within`, user by user or many at a time; with null users, parts and values."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators import nulls
+
+    monkeypatch.setattr(nulls, "HELD_ROWS", held)
+    rows = [(i * 7, None if i % 11 == 0 else i % 5, None if i % 13 == 0 else i % 2, None if i % 17 == 0 else "abc"[i * i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, u long, p long, v string")
+    s = nulls.permute_within(df, "k", "v", ["u", "p"], 3, "x", "w").select("rep", "u", "k", F.col("w").alias("v")).unionByName(df.select(F.lit(-1).alias("rep"), "u", "k", "v"))
+    s = s.withColumn("same", F.col("v") == F.lag("v").over(Window.partitionBy("rep", "u").orderBy("k")))
+    want = {(r.rep, r.v): r.n for r in s.where("v is not null").groupBy("rep", "v").agg(F.count(F.when(F.col("same"), 1)).alias("n")).collect()}
+    got = nulls.dealt_repeats(df, "k", "v", "u", "p", 3, "x")
+    assert {(r.rep, r.v): r.n for r in got.collect()} == want
+    assert "Window" not in plan(got) and "Join" not in plan(got)
+
+
 @pytest.mark.parametrize("name", [*NAMES, "page_reading_orders"])
 def test_words_stay_where_they_are_read(spark, data, name):
     assert not [x for x in ("Join", "Generate") if x in plan(QUERIES[name](spark, data))]
