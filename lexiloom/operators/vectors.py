@@ -133,30 +133,45 @@ def _unfolded(column: pa.Array, dim: int) -> np.ndarray:
 STEPS = 256
 
 
-def _scan(v: DataFrame, centres: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass: sums of the rows whose next centre is farther by more than `bound`, the vectors of the others, and counts of the margins by STEPS."""
+#: Rows near a limit between clusters that the driver goes on with between two passes, at most.
+NEAR_ROWS = 50_000
+
+
+def _scan(v: DataFrame, centres: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One pass: sums of the rows whose next centre is farther by more than a bound, the vectors of the others, counts of the margins by STEPS, and that bound.
+
+    `bound` is a guess from margins of earlier centres and may be far too wide for these. A task hands over its part of
+    NEAR_ROWS at most: one that finds more lowers the bound for itself, adds up what lies beyond, and the least bound of
+    all tasks is returned. It is negative where a task has more rows of one margin than that, and hands over none of them.
+    """
     k, dim = centres.shape
+    most = max(1, NEAR_ROWS // max(1, v.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, steps = np.zeros((k, 1 + dim)), np.zeros(STEPS)
+        total, steps, own = np.zeros((k, 1 + dim)), np.zeros(STEPS), bound
+        held, margins, places = np.zeros((0, dim)), np.zeros(0), np.zeros(0, np.int64)
         for b in batches:
             x = _unfolded(b.column(0), dim)
             at, margin = _places(x, centres)
-            firm = margin > bound
-            total += _sums(x[firm], at[firm], k)
             steps += np.bincount(np.clip(8 * np.log2(np.maximum(margin, 1e-300)) + STEPS - 33, 0, STEPS - 1).astype(np.int64), minlength=STEPS)
-            if not firm.all():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int((~firm).sum()), np.int32)), pa.array(list(x[~firm]), pa.list_(pa.float64()))], names=["kind", "x"])
-        yield pa.RecordBatch.from_arrays([pa.array([0, 2], pa.int32()), pa.array([total.ravel(), steps], pa.list_(pa.float64()))], names=["kind", "x"])
+            firm = margin > own
+            total += _sums(x[firm], at[firm], k)
+            held, margins, places = np.concatenate([held, x[~firm]]), np.r_[margins, margin[~firm]], np.r_[places, at[~firm]]
+            if len(held) > most:
+                edge = np.partition(margins, most)[most]  # rows of this margin and more go
+                below = margins[margins < edge]
+                own = float(below.max()) if len(below) else -1.0
+                firm = margins > own
+                total += _sums(held[firm], places[firm], k)
+                held, margins, places = held[~firm], margins[~firm], places[~firm]
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(held), np.int32)), pa.array(list(held), pa.list_(pa.float64()))], names=["kind", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 2, 3], pa.int32()), pa.array([total.ravel(), steps, np.array([own])], pa.list_(pa.float64()))], names=["kind", "x"])
 
     out = v.select("v_").mapInArrow(run, "kind int, x array<double>").toArrow()
     kind = out["kind"].to_numpy()
     of = lambda n, width: _unfolded(out["x"].filter(pa.array(kind == n)).combine_chunks(), width)
-    return of(0, k * (1 + dim)).sum(0).reshape(k, 1 + dim), of(1, dim), of(2, STEPS).sum(0)
-
-
-#: Rows near a limit between clusters that the driver goes on with between two passes, about.
-NEAR_ROWS = 50_000
+    return of(0, k * (1 + dim)).sum(0).reshape(k, 1 + dim), of(1, dim), of(2, STEPS).sum(0), float(of(3, 1).min(initial=bound))
 
 
 def kmeans(rows: DataFrame, key: str, vector: str, k: int, most_rounds: int | None = None) -> tuple[list[list[float]], DataFrame]:
@@ -165,7 +180,7 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, most_rounds: int | No
     Rows without a whole vector go (`whole`). RuntimeError if `most_rounds` rounds, where given, do not settle it.
 
     A row changes its cluster only once the centres have moved by its margin, the difference of its distances from the
-    two nearest ones. A pass adds up the rows of large margins and hands the others, about NEAR_ROWS of them, to the
+    two nearest ones. A pass adds up the rows of large margins and hands the others, NEAR_ROWS of them at most, to the
     driver, which goes on with these alone until the centres have moved by the least margin of the rows added up. All
     rounds are those of Lloyd, but only early ones, which move far, take a pass each.
     """
@@ -178,7 +193,7 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, most_rounds: int | No
         bound = np.inf
     while not settled:
         given = centres.copy()
-        firm, near, steps = _scan(v, given, bound)
+        firm, near, steps, bound = _scan(v, given, bound)
         before = None
         while True:
             at, _ = _places(near, centres) if len(near) else (np.zeros(0, np.int64), None)

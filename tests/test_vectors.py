@@ -66,6 +66,26 @@ def test_kmeans_goes_on_until_it_is_settled(spark, monkeypatch):
         vectors.kmeans(df, "id", "v", 3, 2)
 
 
+def test_kmeans_hands_over_a_bounded_number_of_rows(spark, monkeypatch):
+    """However wide the bound guessed from earlier centres is, and though many rows have one margin."""
+    from lexiloom.operators import vectors
+
+    x = np.r_[np.random.default_rng(2).normal(size=4000), np.full(900, 0.25)][:, None]
+    df = spark.createDataFrame([([float(v)],) for v in x[:, 0]], "v_ array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "NEAR_ROWS", 300)
+    centres = np.array([[-1.0], [1.0]])
+    at = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    want = np.array([[(at == i).sum(), x[at == i].sum()] for i in range(2)])
+    for guess in (0.0, 0.1, 1.0, np.inf):
+        firm, near, steps, bound = vectors._scan(df, centres, guess)
+        assert len(near) <= 300 and bound <= guess and steps.sum() == len(x)
+        assert np.allclose(firm + vectors._sums(near, vectors._places(near, centres)[0], 2), want)
+        assert (vectors._places(near, centres)[1] <= guess).all() and (bound < 0.5 or guess < 0.5)
+    same = df.where("v_[0] = 0.25")
+    assert len(vectors._scan(same, centres, np.inf)[1]) == 0  # one margin for all of them
+    assert vectors.kmeans(same.selectExpr("v_", "monotonically_increasing_id() as id"), "id", "v_", 2)[0] == [[0.25]]
+
+
 def test_ridge(points):
     from lexiloom.operators import vectors
 
