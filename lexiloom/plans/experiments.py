@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import words as W
-from lexiloom.operators import info, models, nulls, programs, search, sequence, vectors
+from lexiloom.operators import info, models, nulls, packed, programs, search, sequence, vectors
 from lexiloom.operators.info import r6
 from lexiloom.operators.tokens import runs
 from lexiloom.plans.base import TOK, query, slots_sql
@@ -210,12 +210,7 @@ def _(t):
 SELECT rep::INT AS rep, round(sum(g * log2(g) - s) / sum(g), 6) + 0.0 AS h FROM g GROUP BY 1""")
 def _(t):
     """Entropy of a word given the one before: the corpus (rep -1) and its lines shuffled."""
-    c = lined(t).select("doc_id", "line_no", "pos", "word")
-    r = c.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("rep"))
-    key = W.stable_hash("ln", *[F.col(k).cast("string") for k in ("rep", "doc_id", "line_no", "pos")])
-    r = r.withColumn("k", F.when(F.col("rep") < 0, F.lpad(F.col("pos").cast("string"), 12, "0")).otherwise(key))
-    p = r.withColumn("before", F.lag("word").over(Window.partitionBy("rep", "doc_id", "line_no").orderBy("k"))).where("before is not null")
-    return info.conditional_entropy(p, ["word"], ["before"], ["rep"]).select("rep", r6("h").alias("h"))
+    return packed.line_shuffle_entropy(t.documents, 2, "ln").select("rep", r6("h").alias("h"))
 
 
 @query("record_rematch", """WITH s AS (SELECT rep, p_brand, p_partkey, p_size, p_type, row_number() OVER (PARTITION BY rep, p_brand ORDER BY p_partkey) AS k, row_number() OVER (PARTITION BY rep, p_brand ORDER BY md5('rec|' || rep || '|' || p_partkey), p_partkey) AS j FROM part, range(3) r(rep)) SELECT a.rep::INT AS rep, a.p_brand, count(*) FILTER (WHERE a.p_type = b.p_type) AS same_type, sum(abs(a.p_size - b.p_size))::BIGINT AS moved FROM s a JOIN s b ON a.rep = b.rep AND a.p_brand = b.p_brand AND a.k = b.j GROUP BY 1, 2""")

@@ -110,6 +110,37 @@ def test_caches_by_unit_equal_their_sql(spark, tmp_path, monkeypatch, block):
     assert "Generate posexplode" not in shown and "SortMergeJoin" not in shown and "ShuffledHashJoin" not in shown
 
 
+def test_md5_of_many_texts():
+    import hashlib
+
+    import pyarrow as pa
+
+    from lexiloom.operators import packed
+
+    for texts in ([], ["", "a", "ab|1|é", "x" * 55, *map(str, range(9000))], ["a", "x" * 56]):
+        hi, lo = packed.md5(pa.array(texts, pa.string()).slice(0))
+        assert [f"{a:016x}{b:016x}" for a, b in zip(hi.tolist(), lo.tolist(), strict=True)] == [hashlib.md5(x.encode()).hexdigest() for x in texts]
+
+
+@pytest.fixture(params=["once", "twice"])
+def copied(spark, tmp_path, request, monkeypatch):
+    """Documents in many small blocks; "twice": a whole document comes again under its number."""
+    from lexiloom.operators import packed
+
+    monkeypatch.setattr(packed, "PACKED_BYTES", 60)
+    monkeypatch.setattr(packed, "BUCKET_BYTES", 100)
+    rows = ODD + (ODD[4:5] if request.param == "twice" else [])
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    return tmp_path
+
+
+@pytest.mark.parametrize("name", ["line_shuffle_gap"])
+def test_shuffles_in_blocks_equal_their_sql(spark, copied, name):
+    assert differences(spark, copied, name) == []
+    shown = plan(QUERIES[name](spark, str(copied)))
+    assert "Generate" not in shown and "Window" not in shown
+
+
 @pytest.mark.parametrize("name", [*NAMES, "page_reading_orders"])
 def test_words_stay_where_they_are_read(spark, data, name):
     assert not [x for x in ("Join", "Generate") if x in plan(QUERIES[name](spark, data))]
