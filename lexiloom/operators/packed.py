@@ -205,3 +205,63 @@ def line_shuffle_entropy(docs: DataFrame, reps: int, seed: str) -> DataFrame:
 
     blocks = over_words(docs, [], run, "side long, block binary")
     return blocks.groupBy("side").applyInArrow(counted, "rep int, s double, n double").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("h"))
+
+
+#: Bytes of text for each bucket of a shuffle of single words.
+SHUFFLED_BYTES = 32 << 20
+
+
+def shuffled_repeats(docs: DataFrame, by: str, reps: int, seed: str) -> DataFrame:
+    """(by, rep, pairs, same): neighbours, and equal ones, among all words of a group in order of the hash of seed, replicate, document and place.
+
+    Words go to buckets of the hash with their document and place, from which the hash is made again there; the edges of
+    buckets meet by a row for each.
+    """
+    n = buckets(docs, SHUFFLED_BYTES)
+
+    def run(words: Iterator[tuple[pa.RecordBatch, Placed]]) -> Iterator[pa.RecordBatch]:
+        for b, w in words:
+            if not len(w.code):
+                continue
+            order = pc.sort_indices(w.names)
+            names, rank = w.names.take(order), np.empty(len(w.names), np.int64)
+            rank[order.to_numpy()] = np.arange(len(rank))
+            code, ids = rank[w.code], w.ids.take(pa.array(w.doc))
+            group = b.column(2).dictionary_encode()
+            kind = pc.fill_null(group.indices, len(group.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)[w.doc]
+            for rep in range(reps):
+                hi, _ = md5(joined(f"{seed}|{rep}", ids, w.seq))
+                side = kind * n + ((hi >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                at = np.argsort(side, kind="stable")
+                cuts = np.flatnonzero(np.diff(side[at], prepend=-1, append=-1))
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    own = at[x:y]
+                    used, local = np.unique(code[own], return_inverse=True)
+                    first = np.flatnonzero(np.diff(w.doc[own], prepend=-1))
+                    held = w.ids.take(pa.array(w.doc[own][first]))
+                    gap = np.diff(w.seq[own], prepend=0)
+                    gap[first] = w.seq[own][first]
+                    columns = [pc.fill_null(held, 0).to_numpy(zero_copy_only=False), held.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(first, append=y - x).astype(np.uint32), gap.astype(np.uint32), local.astype(np.uint32)]
+                    k = int(side[own[0]])
+                    name = group.dictionary[k // n].as_py() if k // n < len(group.dictionary) else None
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([rep], pa.int32()), pa.array([k % n]), pa.array([pack(names.take(pa.array(used)), *columns)])], names=[by, "rep", "side", "block"])
+
+    def counted(key: tuple, table: pa.Table) -> pa.Table:
+        held = [unpack(x) for x in table["block"].to_pylist()]
+        names, at = together([x for x, _ in held])
+        code = np.concatenate([a[x[4]] for a, (_, x) in zip(at, held, strict=True)])
+        ids = np.concatenate([np.repeat(x[0], x[2]) for _, x in held])
+        null = np.concatenate([np.repeat(x[1], x[2]) for _, x in held]) == 0
+        seq = []
+        for _, x in held:
+            run_, ends = np.cumsum(x[3].astype(np.int64)), np.cumsum(x[2].astype(np.int64))
+            seq.append(run_ - np.repeat(np.r_[0, run_[ends[:-1] - 1]], x[2]))
+        hi, lo = md5(joined(f"{seed}|{key[1].as_py()}", pa.array(ids, mask=null), np.concatenate(seq)))
+        code = code[ordered(hi, lo)]
+        edge = lambda i: pa.array([names[int(code[i])].as_py()], pa.string())
+        return pa.table({by: pa.array([key[0].as_py()], pa.string()), "rep": pa.array([key[1].as_py()], pa.int32()), "side": pa.array([key[2].as_py()], pa.int64()), "n": pa.array([len(code)], pa.int64()), "same": pa.array([int((code[1:] == code[:-1]).sum())], pa.int64()), "first": edge(0), "last": edge(-1)})
+
+    blocks = over_words(docs, [by], run, f"`{by}` string, rep int, side long, block binary")
+    met = blocks.groupBy(by, "rep", "side").applyInArrow(counted, f"`{by}` string, rep int, side long, n long, same long, first string, last string")
+    met = met.withColumn("edge", (F.col("first") == F.lag("last").over(Window.partitionBy(by, "rep").orderBy("side"))).cast("long"))  # a row for each bucket
+    return met.groupBy(by, "rep").agg((F.sum("n") - 1).alias("pairs"), (F.sum("same") + F.coalesce(F.sum("edge"), F.lit(0))).alias("same"))

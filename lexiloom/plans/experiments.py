@@ -199,11 +199,9 @@ def _(t):
 
 @query("shuffled_repeat_rate", TOK + """, h AS (SELECT lang, rep::INT AS rep, word, md5('mix|' || rep || '|' || doc_id || '|' || seq) AS h FROM tokens, range(3) r(rep)), a AS (SELECT lang, rep, word = lag(word) OVER (PARTITION BY lang, rep ORDER BY h) AS same FROM h) SELECT lang, rep, count(same) AS pairs, round(avg(CASE WHEN same THEN 1.0::DOUBLE WHEN NOT same THEN 0 END), 6) + 0.0 AS rate FROM a GROUP BY 1, 2""")
 def _(t):
-    """Rate of equal neighbours after a shuffle of all words of a language; stretches of the hash meet at their edges by a table of their own, so that no task holds a language."""
-    r = nulls.replicate(flow(t, "lang").select("lang", "doc_id", "seq", "word"), 3)
-    h = r.withColumn("h", W.stable_hash("mix", F.col("rep").cast("string"), F.col("doc_id").cast("string"), F.col("seq").cast("string")))
-    n = sequence.neighbours(h.select("lang", "rep", "h", "word"), ["lang", "rep"], F.substring("h", 1, 3), "h", "word")
-    return n.withColumn("same", F.col("word") == F.col("before")).groupBy("lang", "rep").agg(F.count("same").alias("pairs"), r6(F.avg(F.col("same").cast("double"))).alias("rate"))
+    """Rate of equal neighbours after a shuffle of all words of a language; words go to buckets of the hash in blocks, so that no task holds a language."""
+    n = packed.shuffled_repeats(t.documents, "lang", 3, "mix")
+    return n.select("lang", "rep", "pairs", r6(F.when(F.col("pairs") > 0, F.col("same") / F.col("pairs"))).alias("rate"))
 
 
 @query("line_shuffle_gap", TOK + """, s AS (SELECT -1 AS rep, doc_id, line_no, pos, word FROM tokens UNION ALL SELECT rep, doc_id, line_no, row_number() OVER (PARTITION BY rep, doc_id, line_no ORDER BY md5('ln|' || rep || '|' || doc_id || '|' || line_no || '|' || pos)) - 1, word FROM tokens, range(2) r(rep)), p AS (SELECT rep, word, lag(word) OVER (PARTITION BY rep, doc_id, line_no ORDER BY pos) AS before FROM s), c AS (SELECT rep, before, word, count(*)::DOUBLE AS c FROM p WHERE before IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT rep, before, sum(c) AS g, sum(c * log2(c)) AS s FROM c GROUP BY 1, 2)

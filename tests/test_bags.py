@@ -129,16 +129,17 @@ def copied(spark, tmp_path, request, monkeypatch):
 
     monkeypatch.setattr(packed, "PACKED_BYTES", 60)
     monkeypatch.setattr(packed, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(packed, "SHUFFLED_BYTES", 60)
     rows = ODD + (ODD[4:5] if request.param == "twice" else [])
     spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     return tmp_path
 
 
-@pytest.mark.parametrize("name", ["line_shuffle_gap"])
+@pytest.mark.parametrize("name", ["line_shuffle_gap", "shuffled_repeat_rate"])
 def test_shuffles_in_blocks_equal_their_sql(spark, copied, name):
     assert differences(spark, copied, name) == []
     shown = plan(QUERIES[name](spark, str(copied)))
-    assert "Generate" not in shown and "Window" not in shown
+    assert "Generate" not in shown and ("Window" in shown) == (name == "shuffled_repeat_rate")  # over a row for each bucket
 
 
 @pytest.mark.parametrize("name", [*NAMES, "page_reading_orders"])
