@@ -22,7 +22,68 @@ from lexiloom.operators.bags import Words, apart, slices
 _TURNS = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4, np.uint32)
 _ADDED = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint64).astype(np.uint32)
 #: Texts hashed at a time, so that their state stays in the cache.
-HASHED_AT_ONCE = 1 << 13
+HASHED_AT_ONCE = 1 << 15
+_HEX = np.frombuffer(b"".join(b"%02x" % i for i in range(256)), np.uint16)
+
+
+def _digests(words: list[np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """md5 of one block each: its first words (later ones are zero), and its length in bits."""
+    m: list = [*words, *[None] * (16 - len(words))]
+    m[14] = bits
+    n = len(bits)
+    first = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(n, x, np.uint32) for x in first)
+    f, turned = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            g = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        if m[g] is not None:
+            f += m[g]
+        f += _ADDED[i]
+        np.left_shift(f, _TURNS[i], out=turned)
+        f >>= np.uint32(32 - _TURNS[i])
+        f |= turned
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a, b, c, d = (x.byteswap().astype(np.uint64) for x in (a + first[0], b + first[1], c + first[2], d + first[3]))
+    return a << np.uint64(32) | b, c << np.uint64(32) | d
+
+
+def md5_of_hex(lead: str, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """md5 of `lead` followed by the hexadecimal digits of a hash, as `md5` gives it."""
+    start = lead.encode()
+    if len(start) > 23:  # more than one block of md5
+        return md5(pa.array([f"{lead}{x:016x}{y:016x}" for x, y in zip(hi.tolist(), lo.tolist(), strict=True)], pa.string()))
+    size = len(start) + 32
+    out = np.empty((2, len(hi)), np.uint64)
+    for at in range(0, len(hi), HASHED_AT_ONCE):
+        own = slice(at, at + HASHED_AT_ONCE)
+        n = len(hi[own])
+        block = np.zeros((n, 56), np.uint8)
+        block[:, : len(start)] = np.frombuffer(start, np.uint8)
+        for half, x in enumerate((hi, lo)):
+            block[:, len(start) + 16 * half : len(start) + 16 * half + 16] = _HEX[x[own].astype(">u8").view(np.uint8).reshape(n, 8)].view(np.uint8).reshape(n, 16)
+        block[:, size] = 0x80
+        out[:, own] = _digests([np.ascontiguousarray(x) for x in block.view("<u4").T[: size // 4 + 1]], np.full(n, 8 * size, np.uint32))
+    return out[0], out[1]
 
 
 def md5(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,25 +105,7 @@ def md5(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         block[:, :width][inside] = flat[at[0] : at[0] + n.sum()]
         block[np.arange(len(n)), n] = 0x80
         block[:, 56:58] = (8 * n).astype("<u2").view(np.uint8).reshape(-1, 2)
-        m = np.ascontiguousarray(block.view("<u4").T)
-        first = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
-        a, b, c, d = (np.full(len(n), x, np.uint32) for x in first)
-        for i in range(64):
-            if i < 16:
-                f, g = d ^ (b & (c ^ d)), i
-            elif i < 32:
-                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
-            elif i < 48:
-                f, g = b ^ c ^ d, (3 * i + 5) % 16
-            else:
-                f, g = c ^ (b | ~d), 7 * i % 16
-            f += a
-            f += m[g]
-            f += _ADDED[i]
-            a, d, c = d, c, b
-            b = b + ((f << _TURNS[i]) | (f >> np.uint32(32 - _TURNS[i])))
-        a, b, c, d = (x.byteswap().astype(np.uint64) for x in (a + first[0], b + first[1], c + first[2], d + first[3]))
-        out[0, lo : lo + HASHED_AT_ONCE], out[1, lo : lo + HASHED_AT_ONCE] = a << np.uint64(32) | b, c << np.uint64(32) | d
+        out[:, lo : lo + HASHED_AT_ONCE] = _digests([np.ascontiguousarray(x) for x in block.view("<u4").T[: -(-width // 4)]], block.view("<u4")[:, 14].copy())
     return out[0], out[1]
 
 
@@ -112,18 +155,19 @@ PACKED_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 
 
 class Placed:
-    """Words of documents in order of document, line and place, ties by the word. id: document numbers of `doc`; code, doc, line, pos: of each word; names: the words. Texts of one number are one document, as in SQL."""
+    """Words of documents in order of document, line and place, ties by the word. id: document numbers of `doc`; code, doc, line, pos, row: of each word; names: the words. Texts of one number are one document, as in SQL."""
 
     def __init__(self, text: pa.Array, doc: np.ndarray, ids: pa.Array) -> None:
         w = Words(text, 0)
-        self.names, self.ids, self.code, self.doc, self.pos = w.names, ids, w.code, doc[w.row], w.pos
+        self.names, self.ids, self.code, self.doc, self.pos, self.row = w.names, ids, w.code, doc[w.row], w.pos, w.row
         self.line = w.line - w.line_base[w.row]
         if len(ids) < len(text):
             rank = np.empty(len(w.names), np.int64)
             rank[pc.sort_indices(w.names).to_numpy()] = np.arange(len(w.names))
             order = np.lexsort((rank[self.code], self.pos, self.line, self.doc))
-            self.code, self.doc, self.pos, self.line = self.code[order], self.doc[order], self.pos[order], self.line[order]
-        self.seq = np.arange(len(self.code)) - np.searchsorted(self.doc, self.doc)
+            self.code, self.doc, self.pos, self.line, self.row = self.code[order], self.doc[order], self.pos[order], self.line[order], self.row[order]
+        first = np.flatnonzero(np.diff(self.doc, prepend=-1))
+        self.seq = np.arange(len(self.code)) - np.repeat(first, np.diff(first, append=len(self.code)))
 
 
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Placed]]:

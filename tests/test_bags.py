@@ -142,6 +142,34 @@ def test_shuffles_in_blocks_equal_their_sql(spark, copied, name):
     assert "Generate" not in shown and ("Window" in shown) == (name == "shuffled_repeat_rate")  # over a row for each bucket
 
 
+@pytest.mark.parametrize("held", [3, 1 << 22])
+def test_residuals_dealt_in_buckets_equal_their_sql(spark, tmp_path, monkeypatch, held):
+    """Strata whole and in parts, over many slices; a document without a number is never dealt."""
+    from lexiloom.operators import dealt
+
+    for name, most in (("WORDS_HELD", held), ("WORDS_TOGETHER", held), ("READ_BYTES", 60), ("HASHED", 5)):
+        monkeypatch.setattr(dealt, name, most)
+    rows = ODD + [(None, "en", "s1", "a b c\nthe cat")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, tmp_path, "stratified_residual_shuffle") == []
+    shown = plan(QUERIES["stratified_residual_shuffle"](spark, str(tmp_path)))
+    assert "Generate" not in shown and "Window" not in shown
+
+
+def test_md5_of_hexadecimal_digits():
+    import hashlib
+
+    import pyarrow as pa
+
+    from lexiloom.operators import packed
+
+    key = packed.md5(pa.array(map(str, range(40000)), pa.string()))
+    for lead in ("", "res|1|", "x" * 23, "x" * 24):
+        got = packed.md5_of_hex(lead, *key)
+        for i in (0, 1, 32767, 32768, 39999):
+            assert f"{got[0][i]:016x}{got[1][i]:016x}" == hashlib.md5(f"{lead}{key[0][i]:016x}{key[1][i]:016x}".encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", [*NAMES, "page_reading_orders"])
 def test_words_stay_where_they_are_read(spark, data, name):
     assert not [x for x in ("Join", "Generate") if x in plan(QUERIES[name](spark, data))]
