@@ -6,6 +6,9 @@ and places, from which the hashes are made there; it sends back the values that
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -24,7 +27,7 @@ from lexiloom.operators.packed import Placed, _bytes, joined, md5, md5_of_hex, o
 PLACES, LENGTHS = 6, 12
 CELLS = PLACES * LENGTHS
 #: Words of a stratum that one task deals, and of strata that share a task, about; bins of hashes of each part of a larger stratum.
-WORDS_HELD, WORDS_TOGETHER, BINS = 4 << 20, 3 << 20, 16
+WORDS_HELD, WORDS_TOGETHER, BINS = 2 << 20, 2 << 20, 16
 #: Bytes of text that are cut at a time: a slice lists its values once for each bucket.
 READ_BYTES = 12 << 20
 #: Values travel as whole multiples of 1 / UNIT; results have five digits.
@@ -34,6 +37,14 @@ HASHED = 1 << 18
 _NO_NAMES = pa.array([], pa.large_string())
 
 
+def _trim() -> None:
+    """Hands freed memory back to the system, since Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Read(Placed):
     """Words with their cells (place and length), and the letters of their names: letter[i] is one of name of[i]."""
 
@@ -222,6 +233,8 @@ def neighbours(docs: DataFrame, reps: int, seed: str) -> DataFrame:
         for i, w in enumerate(words):
             if len(w.code):
                 yield from told(w, (part << 24) + i)
+        w = None
+        _trim()
 
     def told(w: Read, number: int) -> Iterator[pa.RecordBatch]:
         def row(side: int, kind: int, block: bytes) -> pa.RecordBatch:
@@ -335,6 +348,8 @@ def neighbours(docs: DataFrame, reps: int, seed: str) -> DataFrame:
             out.append(pack(_NO_NAMES, deltas(values[used]), *(local[g].astype(np.uint32) for g in mine)))
             first += n
         mine = [x for x, q in zip(slices, kinds, strict=True) if q == kind]
+        del blocks, places, at, got, key, value, stratum, slots
+        _trim()
         return pa.table({"slice": pa.array(mine, pa.int64()), "bucket": pa.array([side] * len(mine), pa.int64()), "block": pa.array(out, pa.binary())})
 
     def met(key: tuple, table: pa.Table) -> pa.Table:
