@@ -38,8 +38,8 @@ NO_ID = np.iinfo(np.int64).min
 KNOWN_BYTES = 48 << 20
 #: Rows that are handed to a task at a time.
 BATCH_ROWS = 1000
-#: Bytes of text that are encoded at a time.
-TEXT_BYTES = 2 << 20
+#: Bytes of text that are encoded at a time: each time, all that is known is indexed again.
+TEXT_BYTES = 6 << 20
 
 
 class Table:
@@ -308,7 +308,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder, told = Encoder(tokenizer), {}
-        it = slices(batches, 1, TEXT_BYTES)
+        it = slices(gathered(batches, 1, TEXT_BYTES), 1, TEXT_BYTES)
         first = next(it, None)
         if first is None:
             return
@@ -328,6 +328,20 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
     return files.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until the column number `text` holds `most` bytes; none of the rows is copied more than once."""
+    held, size = [], 0
+    for b in batches:
+        own = pc.sum(pc.binary_length(b.column(text))).as_py() or 0
+        if held and size + own > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _and(first, rest):
     yield first
     yield from rest

@@ -407,3 +407,16 @@ def test_a_text_of_seven_languages_gets_all_of_them():
     np.add.at(counts, (row, bucket), 1000 * n)
     share, _ = infer(pa.array([" ".join(texts[:7]), texts[7]]), np.log(counts / counts.sum(axis=1, keepdims=True)))
     assert (share[0] > 0).sum() == 7 and share[0, 7] == 0 and (share[1] > 0).sum() == 1
+
+
+def test_batches_are_gathered_for_the_encoder():
+    import pyarrow as pa
+
+    from lexiloom.llm.tokens import gathered
+
+    texts = ["a" * 10, None, "b" * 10, "c" * 10, "", "d" * 45, "e"]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([i]), "text": pa.array([x], pa.string())}) for i, x in enumerate(texts)]
+    got = list(gathered(iter(batches), 1, 30))
+    assert [b.num_rows for b in got] == [5, 1, 1]
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts
+    assert list(gathered(iter([]), 1, 30)) == []
